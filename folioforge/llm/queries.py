@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import bpe
+from folioforge.llm import bpe, quality
 from folioforge.llm.common import table
 
 
@@ -27,6 +27,22 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def crc_of(column: str) -> F.Column:
+    return F.crc32(F.col(column).cast("string").cast("binary"))
+
+
+#: Scores from here on keep a document.
+QUALITY_CUT = 0.3
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held = F.coalesce(crc_of("doc_id") % 5 == 0, F.lit(False))
+    model = quality.train(docs.where(~held), table(spark, sf_dir, "labels").where(~held))
+    done = quality.score(docs, model, ["doc_id"])
+    return done.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
