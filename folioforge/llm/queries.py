@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import bpe, quality, sharding
+from folioforge.llm import bpe, pii, quality, sharding
 from folioforge.llm.common import table
 
 
@@ -32,6 +32,13 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    kinds = F.transform("base", lambda x: x["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.concat("base", "more")).alias("spans"))
+
+
 def crc_of(column: str) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
