@@ -163,6 +163,12 @@ def lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(values))
 
 
+def run_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values, out=sums[1:])
+    return sums[bounds[1:]] - sums[bounds[:-1]]
+
+
 def signatures(docs: DataFrame, late: np.ndarray) -> DataFrame:
     """(key, n, s1, s2, prefix): set size, two checksums of the set, and the first shingles of the order."""
     shared = docs.sparkSession.sparkContext.broadcast(late)
@@ -174,8 +180,7 @@ def signatures(docs: DataFrame, late: np.ndarray) -> DataFrame:
                 h, b = sets_of(data, offs)
                 n = np.diff(b)
                 u = h.astype(np.uint64)
-                ends = np.concatenate([[0], np.cumsum(mix(u))]).astype(np.uint64), np.concatenate([[0], np.cumsum(mix(u ^ np.uint64(0x5DEECE66D)))]).astype(np.uint64)
-                s1, s2 = [(e[b[1:]] - e[b[:-1]]).astype(np.int64) for e in ends]
+                s1, s2 = [run_sums(mix(u ^ np.uint64(salt)), b).view(np.int64) for salt in (0, 0x5DEECE66D)]
                 if len(last):
                     at = np.searchsorted(last, h)
                     is_late = last[np.minimum(at, len(last) - 1)] == h
