@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import bpe, jaccard, pii, quality, sharding
+from folioforge.llm import bpe, decontaminate, jaccard, pii, quality, sharding
 from folioforge.llm.common import table
 
 
@@ -43,6 +43,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.concat("base", "more")).alias("spans"))
 
 
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def crc_of(column: str) -> F.Column:
     return F.crc32(F.col(column).cast("string").cast("binary"))
 
