@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -50,6 +51,9 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}"
     df.write.parquet(path)
+    # executors delete the shuffle files of a finished job only after the driver has collected what refers to them
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -12,7 +12,7 @@ passages out of the buckets; any order gives the same result.
 
 Links are kept as spanning edges, never as all pairs of a group:
   1. every remaining text goes, with its set, to the bucket of its first shared shingle and is linked there;
-  2. components that still meet in some bucket try one pair each (twice);
+  2. components that still meet in some bucket try one pair each;
   3. what then still meets is joined in full by an R-tree over group counts, and surviving pairs are verified.
 Buckets of any size are cut into blocks, and each pair of blocks is a task of its own.
 """
@@ -36,6 +36,8 @@ ORDER_SAMPLE, ORDER_SHARE = 4000, 0.01
 BLOCK = 500_000
 #: Groups of the count vectors of step 3.
 GROUPS = 256
+#: l is n // SHARE + 1: the larger it is, the more shingles are looked up and the fewer texts remain.
+SHARE = 8
 LATE = 1 << 62
 
 
@@ -191,7 +193,7 @@ def signatures(docs: DataFrame, late: np.ndarray) -> DataFrame:
                 else:
                     v = h
                 least = -(-NUM * n // DEN)
-                p = np.where(n > 0, n - least + np.minimum(n // 20 + 1, least), 0)
+                p = np.where(n > 0, n - least + np.minimum(n // SHARE + 1, least), 0)
                 out = np.repeat(b[:-1], p) + np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
                 bounds = np.concatenate([[0], np.cumsum(p)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(s1), pa.array(s2), lists(v[out], bounds)], ["key", "n", "s1", "s2", "prefix"])
@@ -284,6 +286,16 @@ def with_counts(sets: DataFrame) -> DataFrame:
     return sets.select("key", "elements").mapInArrow(run, "key long, counts binary")
 
 
+def contested(met: DataFrame, comp: DataFrame) -> DataFrame:
+    """The rows (tok, key, n) of buckets in which components still meet, with `component` and the bucket's least one, `_lo`.
+
+    Buckets of the same members (the shingles of one shared passage) are one bucket.
+    """
+    named = met.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    mixed = named.groupBy("tok").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("_m"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("_s")).where("_lo <> _hi")
+    return stored(named.join(mixed.groupBy("_m", "_s", "_lo").agg(F.min("tok").alias("tok")).select("tok", "_lo"), "tok"))
+
+
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, n_shingles, component_id) for every row of `docs`.
 
@@ -302,26 +314,23 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     shared = prefix.groupBy("tok").agg(F.min("s1").alias("_lo"), F.max("s1").alias("_hi")).where("_lo <> _hi").select("tok")
     met = prefix.join(shared, "tok").join(least.select(F.col("rep").alias("key"), "s1", "n"), ["key", "s1", "n"], "left_semi").select("tok", "key", "n")
     met = stored(met)
-    homes = met.groupBy("key").agg(F.count("*").alias("_c"), F.max("n").alias("n"), F.min("tok").alias("bucket")).where("_c > CAST(FLOOR(n * 0.04) AS LONG)").select("key", "n", "bucket")
+    homes = met.groupBy("key").agg(F.count("*").alias("_c"), F.max("n").alias("n"), F.min("tok").alias("bucket")).where(f"_c > (n * {NUM}) DIV {SHARE * DEN}").select("key", "n", "bucket")
     homes = stored(homes)
     reps = known.join(homes, "key").join(least.select(F.col("rep").alias("key"), F.col("n")), ["key", "n"], "left_semi")
     sets = stored(with_sets(reps, ["bucket", "key", "n"]))
     met = stored(met.join(homes.select("key"), "key", "left_semi"))
 
     edges = stored(link_buckets(sets))
-    for turn in range(3):
-        comp = components(edges)
-        named = met.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-        mixed = named.groupBy("tok").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo <> _hi")
-        left = stored(named.join(mixed, "tok"))
-        if turn < 2:
-            # one member of each component against one of the bucket's least component
-            one = left.groupBy("tok", "component", "_lo").agg(F.min("key").alias("key"))
-            first = one.where("component = _lo").select("tok", F.col("key").alias("a"))
-            pairs = one.where("component <> _lo").join(first, "tok").select("a", F.col("key").alias("b")).distinct()
-        else:
+    for last in (False, True):
+        left = contested(met, components(edges))
+        if last:
             counts = with_counts(sets.join(left.select("key").distinct(), "key", "left_semi"))
             pairs = bounded_pairs(left.select(F.col("tok").alias("bucket"), "key", "component", "n").join(counts, "key"))
+        else:
+            # one pair for each two components that meet often enough, members of the same bucket
+            one = left.groupBy("tok", "component", "_lo").agg(F.min("key").alias("b"), F.min("n").alias("n"))
+            first = one.where("component = _lo").select("tok", F.col("b").alias("a"))
+            pairs = one.where("component <> _lo").join(first, "tok").groupBy("component", "_lo").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b").distinct()
         edges = stored(edges.union(verified(pairs, sets)))
     comp = components(edges)
 
