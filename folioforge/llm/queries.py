@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioforge.llm import bpe, chunks, decontaminate, html_blocks, jaccard, neighbours, pii, quality, sharding
+from folioforge.llm import bpe, chunks, decontaminate, html_blocks, jaccard, language_model, neighbours, pii, quality, sharding
 from folioforge.llm.common import table
 
 
@@ -36,6 +36,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.coalesce(crc_of("doc_id") % 7 == 2, F.lit(False))
+    return language_model.score(table(spark, sf_dir, "documents"), held)
+
+
 def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_blocks.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
 
