@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from folioforge.llm.common import stored
 from folioforge.llm.jaccard import by_group, flat, lists
 
-DIMS, SURE, LEAF = 8, 0.95, 64
+DIMS, SURE, LEAF = 8, 0.95, 256
 #: Entries that the top of the tree is fitted on, at most, and entries of a cell, about.
 SAMPLE, CELL = 20_000, 8_192
 
@@ -92,30 +92,36 @@ class Tree:
                 continue
             order = rows[np.argsort(p[rows, int(np.argmax(spread))], kind="stable")]
             stack += [order[: len(order) // 2], order[len(order) // 2 :]]
-        self.leaves = leaves
+        self.order = np.concatenate(leaves) if leaves else np.zeros(0, int)
+        self.ends = np.cumsum([len(r) for r in leaves])
         self.low, self.high = np.array([p[r].min(0) for r in leaves]), np.array([p[r].max(0) for r in leaves])
 
     def walk(self, q: np.ndarray):
-        """(least squared projected distance, entries) of the leaves, the nearest first."""
+        """(least squared projected distance, first place, last place + 1 in `order`) of the leaves, the nearest first."""
         gap = np.maximum(self.low - q, 0) + np.maximum(q - self.high, 0)
         d = (gap * gap).sum(1)
-        for leaf in np.argsort(d, kind="stable"):
-            yield d[leaf], self.leaves[leaf]
+        for leaf in np.argsort(d, kind="stable").tolist():
+            yield d[leaf], int(self.ends[leaf - 1]) if leaf else 0, int(self.ends[leaf])
 
 
 def search(tree: Tree, x: np.ndarray, copies: np.ndarray, q: np.ndarray, qp: np.ndarray, top: float, k: int, known: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
-    """Entries and scores of at least the k nearest ids of one query; `known` is a k-th score found elsewhere."""
+    """Places and scores of at least the k nearest ids of one query; x and copies stand in the tree's order, `known` is a
+    k-th score found elsewhere."""
     rows, scores, floor = [], [], known
     reach = top**2 + inner(q[None, :], q)[0]
-    for d, leaf in tree.walk(qp):
+    slack = 1e-9 * max(top**2, reach)
+    for d, a, b in tree.walk(qp):
         # squared distance of the k-th best: |q|^2 + M^2 - 2 score
         if d > STOP * max(reach - 2 * floor, 0.0) and floor > -np.inf:
             break
-        s = inner(x[leaf], q)
-        take = s >= floor
-        if take.any():
-            rows.append(leaf[take])
-            scores.append(s[take])
+        # a fast product leaves out what is clearly too far; the rest is summed in the one fixed order
+        near = np.flatnonzero(x[a:b] @ q >= floor - slack)
+        if len(near):
+            near += a
+            s = inner(x[near], q)
+            near, s = near[s >= floor], s[s >= floor]
+            rows.append(near)
+            scores.append(s)
             if sum(map(len, rows)) >= 4 * k or floor == -np.inf:
                 r, s = np.concatenate(rows), np.concatenate(scores)
                 order = np.argsort(-s, kind="stable")
@@ -188,13 +194,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
         x, p = flat(own["v"])[0].reshape(-1, dim), flat(own["p"])[0].reshape(-1, DIMS)
         ids, bounds = flat(own["ids"])
         copies, tree = np.diff(bounds), Tree(p)
+        x, copies = x[tree.order], copies[tree.order]
         ask = t.filter(pa.array(kind == 1))
         out_q, out_id, out_s = [], [], []
         for q, qv, qp, known in zip(ask["q"].to_pylist(), flat(ask["v"])[0].reshape(-1, dim), flat(ask["p"])[0].reshape(-1, DIMS), ask["known"].to_numpy(zero_copy_only=False)):
             at, s = search(tree, x, copies, qv, qp, top, k + 1, known)
             if not len(at):
                 continue
-            each = np.concatenate([ids[bounds[i] : bounds[i + 1]] for i in at])
+            each = np.concatenate([ids[bounds[i] : bounds[i + 1]] for i in tree.order[at]])
             s = np.repeat(s, copies[at])
             keep = np.lexsort((each, -s))[: k + 1]
             out_q += [q] * len(keep)
