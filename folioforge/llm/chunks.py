@@ -95,8 +95,9 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least_word
     """(key, start, bytes, words, copies, first): the passages of each text that stand elsewhere too.
 
     A passage is a run of chunks, at least `least_words` words long, each of which occurs in another place of the
-    corpus (another text, or the same one again). copies: the least number of texts and places that one of its chunks
-    has; first: the least key that holds its rarest chunk; `kept` marks the passage's first holder, whose text stays.
+    corpus (another text, or the same one again); it has a row for each piece whose chunks have the same first holder.
+    copies: the least number of places that a chunk of the piece has; first: the least key that holds it; `kept`: this
+    row is that holder, whose text stays.
     Rows with a null key take no part; rows with one key are one text's parts, and count as places.
     """
     parts = chunked(docs.where(F.col(key).isNotNull()), key, text)
@@ -105,10 +106,11 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least_word
     place = Window.partitionBy("key").orderBy("start", "pos", "digest")
     # a chunk opens a passage unless the one before it ends where it starts
     opened = F.when(F.lag(F.col("start") + F.col("n")).over(place) == F.col("start"), 0).otherwise(1)
-    runs = met.withColumn("_new", opened).withColumn("_run", F.sum("_new").over(place))
-    spans = runs.groupBy("key", "_run").agg(F.min("start").alias("start"), F.sum("n").alias("bytes"), F.sum("words").alias("words"), F.min(F.struct("copies", "first")).alias("_c"))
-    spans = spans.where(F.col("words") >= least_words)
-    return spans.select(F.col("key").alias(key), "start", "bytes", "words", F.col("_c.copies").alias("copies"), F.col("_c.first").alias("first"), (F.col("_c.first") == F.col("key")).alias("kept"))
+    turned = F.when(F.lag("first").over(place) == F.col("first"), F.col("_new")).otherwise(1)
+    runs = met.withColumn("_new", opened).withColumn("_piece", turned).withColumns({"_run": F.sum("_new").over(place), "_piece": F.sum("_piece").over(place)})
+    pieces = runs.groupBy("key", "_run", "_piece").agg(F.min("start").alias("start"), F.sum("n").alias("bytes"), F.sum("words").alias("words"), F.min("copies").alias("copies"), F.min("first").alias("first"))
+    long = pieces.withColumn("_all", F.sum("words").over(Window.partitionBy("key", "_run"))).where(F.col("_all") >= least_words)
+    return long.select(F.col("key").alias(key), "start", "bytes", "words", "copies", "first", (F.col("first") == F.col("key")).alias("kept"))
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:

@@ -23,7 +23,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.llm.common import mix, stored, text_slices, window_hashes, word_hashes
@@ -35,7 +35,7 @@ ORDER_SAMPLE, ORDER_SHARE = 4000, 0.01
 #: Shingles of the sets that one block of a bucket holds, about.
 BLOCK = 500_000
 #: Groups of the count vectors of step 3.
-GROUPS = 256
+GROUPS = 128
 #: l is n // SHARE + 1: the larger it is, the more shingles are looked up and the fewer texts remain.
 SHARE = 8
 LATE = 1 << 62
@@ -286,6 +286,29 @@ def with_counts(sets: DataFrame) -> DataFrame:
     return sets.select("key", "elements").mapInArrow(run, "key long, counts binary")
 
 
+#: Shingles that a text shares with any similar one among those looked up, at least; n is its set size.
+LEAST_SHARED = f"((n * {NUM}) DIV {SHARE * DEN} + 1)"
+
+
+def promising(met: DataFrame) -> DataFrame:
+    """The rows (tok, key, n) of shingles that two texts have, for texts with enough of them."""
+    pairs = met.join(met.groupBy("tok").agg(F.count("*").alias("_m")).where("_m > 1").select("tok"), "tok")
+    enough = pairs.groupBy("key").agg(F.count("*").alias("_c"), F.max("n").alias("n")).where(f"_c >= {LEAST_SHARED}").select("key")
+    return pairs.join(enough, "key", "left_semi").select("tok", "key", "n")
+
+
+def trimmed(met: DataFrame) -> DataFrame:
+    """Without each text's LEAST_SHARED - 1 largest buckets.
+
+    Similar texts share at least as many buckets as either has to; the one of these that comes first by size and shingle
+    has the others after it in both lists, so both keep it.
+    """
+    sizes = met.groupBy("tok").agg(F.count("*").alias("_m"))
+    last = Window.partitionBy("key").orderBy(F.desc("_m"), F.desc("tok"))
+    placed = met.join(sizes, "tok").withColumn("_r", F.row_number().over(last)).where(f"_r >= {LEAST_SHARED}")
+    return placed.select("tok", "key", "n")
+
+
 def contested(met: DataFrame, comp: DataFrame) -> DataFrame:
     """The rows (tok, key, n) of buckets in which components still meet, with `component` and the bucket's least one, `_lo`.
 
@@ -314,11 +337,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     shared = prefix.groupBy("tok").agg(F.min("s1").alias("_lo"), F.max("s1").alias("_hi")).where("_lo <> _hi").select("tok")
     met = prefix.join(shared, "tok").join(least.select(F.col("rep").alias("key"), "s1", "n"), ["key", "s1", "n"], "left_semi").select("tok", "key", "n")
     met = stored(met)
-    homes = met.groupBy("key").agg(F.count("*").alias("_c"), F.max("n").alias("n"), F.min("tok").alias("bucket")).where(f"_c > (n * {NUM}) DIV {SHARE * DEN}").select("key", "n", "bucket")
-    homes = stored(homes)
+    for _ in range(2):
+        met = stored(promising(met))
+    met = stored(trimmed(met))
+    homes = stored(met.groupBy("key").agg(F.max("n").alias("n"), F.min("tok").alias("bucket")))
     reps = known.join(homes, "key").join(least.select(F.col("rep").alias("key"), F.col("n")), ["key", "n"], "left_semi")
     sets = stored(with_sets(reps, ["bucket", "key", "n"]))
-    met = stored(met.join(homes.select("key"), "key", "left_semi"))
 
     edges = stored(link_buckets(sets))
     for last in (False, True):

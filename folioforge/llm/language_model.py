@@ -16,6 +16,7 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,7 +25,7 @@ from folioforge.llm.common import LOWER, mix, range_hash, stored, text_slices, w
 from folioforge.llm.jaccard import lists
 
 HEAD, HEAD_CLASS, TAILS = 512, 16, 64
-HIDDEN, WINDOW, LANES = 24, 20, 128
+HIDDEN, WINDOW, LANES = 16, 20, 128
 #: Documents of the first training, at most, and its rounds; one of SHARE documents trains on in its part.
 SAMPLE, ROUNDS, SHARE = 1200, 3, 16
 #: Words whose counts every task holds, at most: the commonest.
@@ -87,6 +88,14 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(text).mapInArrow(run, "h long, c long, tail long").groupBy("h").agg(F.sum("c").alias("c"), F.min("tail").alias("tail"))
 
 
+def commonest(counts: DataFrame, most: int | None = None) -> pd.DataFrame:
+    """The words above the least count that at most `most` words reach, by count, then hash: one filter, no global sort."""
+    sizes = counts.groupBy(F.least("c", F.lit(10_000)).alias("c")).count().toPandas().sort_values("c", ascending=False)  # at most 10,000 rows
+    fits = sizes["c"][sizes["count"].cumsum() <= (most or COMMON)]
+    got = counts.where(F.col("c") >= (int(fits.min()) if len(fits) else 1 << 62)).toPandas()
+    return got.sort_values(["c", "h"], ascending=[False, True], ignore_index=True)
+
+
 # The network ---------------------------------------------------------------------------------------------------------
 
 
@@ -136,13 +145,19 @@ class Network:
         """Natural log of the probability of each target symbol: its class and, in the head, the word in it."""
         cls = class_of(target)
         z = h @ self.p["c"] + self.p["cb"]
-        z -= z.max(1, keepdims=True)
-        out = z[np.arange(len(z)), cls] - np.log(np.exp(z).sum(1))
+        top = z.max() if z.size else 0.0  # one shift for all: logits stay far from the limits of a float
+        z -= top
+        out = z[np.arange(len(z)), cls] - np.log(np.exp(z).sum(1) + 1e-30)
         head = np.flatnonzero(target < HEAD)
-        group = cls[head][:, None] * HEAD_CLASS + np.arange(HEAD_CLASS)
-        y = np.einsum("nkh,nh->nk", self.p["w"][group], h[head]) + self.p["wb"][group]
-        y -= y.max(1, keepdims=True)
-        out[head] += y[np.arange(len(head)), target[head] % HEAD_CLASS] - np.log(np.exp(y).sum(1))
+        head = head[np.argsort(cls[head], kind="stable")]
+        cuts = np.searchsorted(cls[head], np.arange(HEAD // HEAD_CLASS + 1))
+        for k in range(HEAD // HEAD_CLASS):
+            rows = head[cuts[k] : cuts[k + 1]]
+            if len(rows):
+                own = slice(k * HEAD_CLASS, (k + 1) * HEAD_CLASS)
+                y = h[rows] @ self.p["w"][own].T + self.p["wb"][own]
+                y -= y.max(1, keepdims=True)
+                out[rows] += y[np.arange(len(rows)), target[rows] % HEAD_CLASS] - np.log(np.exp(y).sum(1))
         return out
 
     def train(self, symbols: list[np.ndarray], rounds: int, rate: float, lanes: int = 48, seed: int = 0) -> int:
@@ -307,7 +322,7 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     facts = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
     ends = learn.count()
     total, kinds = facts.n + ends, facts.v + (ends > 0)
-    common = counts.orderBy(F.desc("c"), "h").limit(COMMON).toPandas()
+    common = commonest(counts)
     head = common["h"].to_numpy()[:HEAD].astype(np.int64).view(np.uint64)
     words = Vocabulary(head)
     sums = counts.groupBy("tail").agg(F.sum("c").alias("c"), F.count("*").alias("v")).toPandas().set_index("tail").reindex(range(TAILS), fill_value=0)
