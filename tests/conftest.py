@@ -20,4 +20,3 @@ def spark():
     return session
 
 
-SF = "/root/testdata/sf0.001"
