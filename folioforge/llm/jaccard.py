@@ -37,7 +37,7 @@ BLOCK = 500_000
 #: Groups of the count vectors of step 3.
 GROUPS = 128
 #: l is n // SHARE + 1: the larger it is, the more shingles are looked up and the fewer texts remain.
-SHARE = 8
+SHARE = 12
 LATE = 1 << 62
 
 
@@ -333,9 +333,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     least = sig.where("key IS NOT NULL AND n > 0").groupBy("s1", "s2", "n").agg(F.min("key").alias("rep"))
     least = stored(least)
 
-    prefix = sig.where("key IS NOT NULL").select("key", "n", "s1", F.explode("prefix").alias("tok"))
-    shared = prefix.groupBy("tok").agg(F.min("s1").alias("_lo"), F.max("s1").alias("_hi")).where("_lo <> _hi").select("tok")
-    met = prefix.join(shared, "tok").join(least.select(F.col("rep").alias("key"), "s1", "n"), ["key", "s1", "n"], "left_semi").select("tok", "key", "n")
+    # half a checksum tells the sets of a bucket apart here; the rows of these two shuffles are the operator's largest
+    prefix = sig.where("key IS NOT NULL").select("key", "n", F.col("s1").bitwiseAND(F.lit((1 << 32) - 1)).alias("s"), F.explode("prefix").alias("tok"))
+    shared = prefix.groupBy("tok").agg(F.min("s").alias("_lo"), F.max("s").alias("_hi")).where("_lo <> _hi").select("tok")
+    met = prefix.select("key", "n", "tok").join(shared, "tok").join(least.select(F.col("rep").alias("key"), "n"), ["key", "n"], "left_semi").select("tok", "key", "n")
     met = stored(met)
     for _ in range(2):
         met = stored(promising(met))
