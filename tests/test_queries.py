@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 
-from folioforge.plans import documents, registry, relational  # noqa: F401
+from folioforge.plans import documents, navigation, registry, relational  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
