@@ -3,9 +3,10 @@
 The commonest words of the corpus are the head: classes of HEAD_CLASS words by rank. All other words fall into TAILS
 classes by their ending. The network predicts the class of the next word (class-factored softmax) and, in a head class,
 the word; in a tail class the word has its smoothed share of the class's counts, so every text has a probability. Counts
-cover the whole corpus. The network starts from a bounded sample; then every part of the corpus trains a copy further on
-a fixed share of its documents, and the copies are averaged. Gradients are truncated after WINDOW words while the state
-runs on; in scoring it runs through the whole document.
+cover the whole corpus. The network starts from a bounded sample; then it learns from every training document, in turns:
+in each, every part of the corpus trains a copy on its documents of that turn, and the next turn starts from the mean of
+the copies. Gradients are truncated after WINDOW words while the state runs on; in scoring it runs through the whole
+document.
 
 Only what a document's rare words add depends on counts that are too many for a task: it is a sum over words, and comes
 from a join.
@@ -25,9 +26,11 @@ from folioforge.llm.common import LOWER, mix, range_hash, stored, text_slices, w
 from folioforge.llm.jaccard import lists
 
 HEAD, HEAD_CLASS, TAILS = 512, 16, 64
-HIDDEN, WINDOW, LANES = 16, 20, 128
-#: Documents of the first training, at most, and its rounds; one of SHARE documents trains on in its part.
-SAMPLE, ROUNDS, SHARE = 1200, 3, 16
+HIDDEN, WINDOW, LANES = 24, 20, 128
+#: Documents of the first training, at most, and its rounds.
+SAMPLE, ROUNDS = 1200, 3
+#: The training documents are dealt into TURNS turns by hash; each turn trains on from the mean of the turn before.
+TURNS, RATE = 4, 0.001
 #: Words whose counts every task holds, at most: the commonest.
 COMMON = 300_000
 END = HEAD
@@ -191,13 +194,15 @@ class Network:
         grads.p["c"][:], grads.p["cb"][:] = h.T @ e, e.sum(0)
         down = e @ self.p["c"].T
         head = np.flatnonzero(y < HEAD)
-        group = cls[head][:, None] * HEAD_CLASS + np.arange(HEAD_CLASS)
-        f = np.exp(softmax_log(np.einsum("nkh,nh->nk", self.p["w"][group], h[head]) + self.p["wb"][group]))
-        f[np.arange(len(head)), y[head] % HEAD_CLASS] -= 1
-        f /= n
-        np.add.at(grads.p["w"], group.ravel(), (f[:, :, None] * h[head][:, None, :]).reshape(-1, HIDDEN))
-        grads.p["wb"][:] = np.bincount(group.ravel(), f.ravel(), HEAD)
-        down[head] += np.einsum("nk,nkh->nh", f, self.p["w"][group])
+        head = head[np.argsort(cls[head], kind="stable")]
+        cuts = np.searchsorted(cls[head], np.arange(HEAD // HEAD_CLASS + 1))
+        for k in np.flatnonzero(np.diff(cuts)):
+            at, own = head[cuts[k] : cuts[k + 1]], slice(k * HEAD_CLASS, (k + 1) * HEAD_CLASS)
+            f = np.exp(softmax_log(h[at] @ self.p["w"][own].T + self.p["wb"][own]))
+            f[np.arange(len(at)), y[at] % HEAD_CLASS] -= 1
+            f /= n
+            grads.p["w"][own], grads.p["wb"][own] = f.T @ h[at], f.sum(0)
+            down[at] += f @ self.p["w"][own]
         d_states = np.zeros((states.shape[0] * states.shape[1], HIDDEN), np.float32)
         d_states[rows] = down
         d_states = d_states.reshape(states.shape)
@@ -213,7 +218,9 @@ class Network:
             d_gates[t] = np.concatenate([dr, dz, dn], 1)
             grads.p["u"] += hp.T @ dg
             dh = (dh * z + dg @ u.T) * keep[t][:, None]
-        np.add.at(grads.p["x"], inputs.ravel(), d_gates.reshape(-1, 3 * HIDDEN))
+        order = np.argsort(inputs.ravel(), kind="stable")
+        used, first = np.unique(inputs.ravel()[order], return_index=True)
+        grads.p["x"][used] = np.add.reduceat(d_gates.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
         return np.clip(grads.flat, -0.5, 0.5), states[-1]
 
     def document_scores(self, symbols: list[np.ndarray]) -> np.ndarray:
@@ -286,10 +293,10 @@ def averaged(docs: DataFrame, text: str, words: Vocabulary, start: np.ndarray, r
                 held += v.symbols(*words_of(data, offs), hi - lo)
                 size += len(data)
                 if size > 4_000_000:
-                    seen += net.train(held, 1, rate)
+                    seen += net.train(held, 1, rate, LANES)
                     held, size = [], 0
         if held:
-            seen += net.train(held, 1, rate)
+            seen += net.train(held, 1, rate, LANES)
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([(net.flat * np.float64(seen)).tobytes()])], ["n", "w"])
 
@@ -338,8 +345,9 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
         sample += words.symbols(*words_of(data, offs), hi - lo)
     if sample:
         net.train(sample, ROUNDS, 0.01)
-    part = learn.where(F.pmod(F.xxhash64("key", F.lit(31)), F.lit(SHARE)) == 0)
-    weights = averaged(part, "text", words, net.flat.copy(), 0.001)
+    weights, turn = net.flat.copy(), F.pmod(F.xxhash64("key", "text", F.lit(31)), F.lit(TURNS))
+    for k in range(TURNS):
+        weights = averaged(learn.where(turn == k), "text", words, weights, RATE)
 
     order = np.argsort(common["h"].to_numpy().astype(np.int64).view(np.uint64)) if len(common) else np.zeros(0, int)
     held_h = common["h"].to_numpy().astype(np.int64).view(np.uint64)[order]

@@ -207,6 +207,24 @@ def test_scores_base_and_held_out(frame, monkeypatch):
     assert language_model.score(frame([]), held).count() == 0
 
 
+def test_every_training_document_is_learnt_from(frame, monkeypatch):
+    rows = [(k, prose(12, k), "s", "k") for k in range(200)] + [(None, "no key", "s", "k"), (7, None, "s", "k"), (8, "twice", "s", "k"), (8, "twice", "s", "k")]
+    held = F.coalesce(F.col("doc_id") % 7 == 2, F.lit(False))
+    seen, starts, whole = [], [], language_model.averaged
+
+    def noted(docs, text, words, start, rate):
+        seen.extend(r[0] or "" for r in docs.select(text).collect())
+        starts.append(start)
+        done = whole(docs, text, words, start, rate)
+        assert not np.array_equal(done, start)
+        return done
+
+    monkeypatch.setattr(language_model, "averaged", noted)
+    assert language_model.score(frame(rows), held).count() == len(rows)
+    assert sorted(seen) == sorted(t or "" for k, t, *_ in rows if k is None or k % 7 != 2)
+    assert len(starts) > 1 and not any(np.array_equal(a, b) for a, b in zip(starts, starts[1:]))
+
+
 # Pages -------------------------------------------------------------------------------------------------------------------
 
 
