@@ -2,7 +2,9 @@
 
 Words become tokens of a template: numbers, units and names turn into typed placeholders, everything else is lower-case
 letters. Windows of the template are hash-joined with the windows of the benchmark items, so a question whose numbers
-or names were exchanged still meets its original. For every (document, item) that meets, the slots are then compared:
+or names were exchanged still meets its original. Every text has three templates (TEMPLATES), since what is a name can
+only be guessed: one without names meets copies in another case, one in which each capitalised word is a name meets
+copies with other names at the start of a sentence. Items shorter than a window are searched with their own length. For every (document, item) that meets, the slots are then compared:
 one value of the item must always be replaced by the same value, as a re-parameterised copy does and chance does not.
 """
 
@@ -20,6 +22,11 @@ from folioforge.llm.common import LOWER, MULT, mix, powers, range_hash, stored,
 WINDOW, CONTAINED, CONSISTENT = 8, 0.6, 0.9
 #: Bits of the filter that keeps windows of no item from the join: 2 MB, whatever the benchmark's size.
 FILTER_BITS = 24
+#: What counts as a name: capitalised words inside a sentence, none, all capitalised words.
+TEMPLATES = ("inner", "none", "all")
+#: Words of the shortest item that is searched inside documents; in how many literal words its numbers and units may be
+#: exchanged. Shorter items are found only as a whole document: one or two words are no sign of a leak.
+SHORTEST, LITERAL = 3, 4
 
 #: Words after a number that are units (fixed values).
 UNITS = (
@@ -31,6 +38,8 @@ UNITS = (
 _SEP = np.ones(256, bool)
 for _lo, _hi in ((48, 58), (65, 91), (97, 123), (128, 256)):
     _SEP[_lo:_hi] = False
+_DIGIT = np.zeros(256, bool)
+_DIGIT[48:58] = True
 _END = np.zeros(256, bool)
 _END[[*b".!?:;\n\"|"]] = True
 NUMBER, NAME, UNIT = (np.uint64(k) for k in (0x1F83D9ABFB41BD6B, 0x5BE0CD19137E2179, 0xCBBB9D5DC1059ED8))
@@ -61,15 +70,25 @@ def lowered(data: np.ndarray) -> np.ndarray:
 
 
 def template(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(token, value, row, place): template token and own hash of every word, its row and its number in the row.
+    """(token, value, row, place): token of the first template and own hash of every word, its row and its number in the row."""
+    tokens, value, rows, place = templates(data, offs)
+    return tokens[0], value, rows, place
 
-    A word is a run of letters, digits and bytes above 127. Words with a digit are numbers; unit words after a number
-    are units; capitalised words that open no sentence are names.
+
+def templates(data: np.ndarray, offs: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(tokens, value, row, place): the tokens of every word in each of TEMPLATES, its own hash, row and number in the row.
+
+    A word is a run of letters, digits and bytes above 127; one point or comma between two digits belongs to the word.
+    Words with a digit are numbers; unit words after a number are units; the names are those of the template.
     """
     starts, ends, rows = word_bounds(data, offs, _SEP)
+    if len(starts) > 1:
+        gap = np.minimum(ends[:-1], len(data) - 1)
+        joined = (starts[1:] - ends[:-1] == 1) & (rows[1:] == rows[:-1]) & ((data[gap] == 44) | (data[gap] == 46)) & _DIGIT[data[ends[:-1] - 1]] & _DIGIT[data[starts[1:]]]
+        starts, rows, ends = starts[np.append(True, ~joined)], rows[np.append(True, ~joined)], ends[np.append(~joined, True)]
     value = range_hash(lowered(data), starts, ends)
     if not len(starts):
-        return value, value, rows, rows
+        return [value] * len(TEMPLATES), value, rows, rows
     digit = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data >= 48) & (data < 58), out=digit[1:])
     number = digit[ends] > digit[starts]
@@ -87,10 +106,10 @@ def template(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     after[1:] = number[:-1] & ~new_row[1:]
     at = np.minimum(np.searchsorted(_UNITS, value), len(_UNITS) - 1)
     unit = after & (_UNITS[at] == value)
-    token = np.where(number, NUMBER, np.where(unit, UNIT, np.where(upper & ~opens & second, NAME, value)))
+    tokens = [np.where(number, NUMBER, np.where(unit, UNIT, np.where(name, NAME, value))) for name in (upper & ~opens & second, np.zeros(len(starts), bool), upper & second)]
     first = np.flatnonzero(new_row)
     place = np.arange(len(starts)) - np.repeat(first, np.diff(np.append(first, len(starts))))
-    return token, value, rows, place
+    return tokens, value, rows, place
 
 
 def windows(token: np.ndarray, rows: np.ndarray, width: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -119,35 +138,64 @@ def windows(token: np.ndarray, rows: np.ndarray, width: int = WINDOW) -> tuple[n
     return np.concatenate(hashes), np.concatenate(at)
 
 
+def short_windows(token: np.ndarray, rows: np.ndarray, width: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
+    """windows of `width` tokens, without those of shorter rows."""
+    h, at = windows(token, rows, width)
+    m = int((rows[: max(len(rows) - width + 1, 0)] == rows[width - 1 :]).sum()) if len(rows) >= width else 0
+    return mix(h[:m] + np.uint64(salt) * NAME), at[:m]
+
+
 def item_windows(items: DataFrame, key: str, text: str) -> DataFrame:
-    """(item, h, at, total, values): each window of an item with the word hashes in it and the item's window count."""
+    """(item, mode, h, at, values): each window of an item with the word hashes in it.
+
+    mode is the place in TEMPLATES, or the next number for an item that is shorter than a window.
+    """
     return _windows(items, key, text, None).withColumnRenamed("key", "item")
 
 
-def _windows(rows: DataFrame, key: str, text: str, bits) -> DataFrame:
+def _windows(rows: DataFrame, key: str, text: str, shared) -> DataFrame:
+    """The windows of items (`shared` is None), or those of documents that the shared filter and widths let through."""
     kind = rows.schema[key].dataType.simpleString()
+    short, names = len(TEMPLATES), ["key", "mode", "h", "at", "values"]
+
+    def drawn(data, offs, widths):
+        """(mode, width, hash, first word) of all windows, and the words."""
+        tokens, value, of, place = templates(data, offs)
+        out = [(m, WINDOW, mix(h + np.uint64(m) * NUMBER), at) for m, (h, at) in enumerate(windows(t, of) for t in tokens)]
+        plain = tokens[1]
+        if widths is None:  # an item's own length, its numbers and units exchangeable if enough literal words are left
+            size = np.bincount(of, minlength=len(offs) - 1)
+            literal = np.bincount(of, (plain != NUMBER) & (plain != UNIT), len(offs) - 1)
+            for w in range(SHORTEST, WINDOW):
+                for salt, token, rows_of in ((1, plain, (size == w) & (literal >= LITERAL)), (2, value, (size == w) & (literal < LITERAL))):
+                    own = np.flatnonzero(rows_of[of])
+                    if len(own):
+                        h, at = short_windows(token[own], of[own], w, salt)
+                        out.append((short, w, h, own[at]))
+        for w in widths or ():
+            out += [(short, w, *short_windows(token, of, w, salt)) for salt, token in ((1, plain), (2, value))]
+        return out, value, of, place
 
     def run(batches):
-        sieve = None if bits is None else bits.value
+        sieve, widths = (None, None) if shared is None else shared.value
         for batch in batches:
             for lo, hi, data, offs in text_slices(batch.column(1)):
-                token, value, of, place = template(data, offs)
-                h, at = windows(token, of)
-                total = np.bincount(of[at], minlength=hi - lo)
-                if sieve is not None:
-                    b = h >> np.uint64(64 - FILTER_BITS)
-                    keep = (sieve[(b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8)) & 1 > 0
-                    h, at = h[keep], at[keep]
-                if not len(h):
-                    continue
-                span = at[:, None] + np.arange(WINDOW)
-                inside = (span < len(of)) & (of[np.minimum(span, len(of) - 1)] == of[at][:, None])
-                bounds = np.concatenate([[0], np.cumsum(inside.sum(1))])
-                lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(value[span[inside]].view(np.int64)))
-                row = pa.array(of[at])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo).take(row), pa.array(h.view(np.int64)), pa.array(place[at].astype(np.int64)), pa.array(total[of[at]].astype(np.int64)), lists], ["key", "h", "at", "total", "values"])
-
-    return rows.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, h long, at long, total long, values array<long>")
+                keys = batch.column(0).slice(lo, hi - lo)
+                out, value, of, place = drawn(data, offs, widths)
+                for mode, width, h, at in out:
+                    if sieve is not None:
+                        b = h >> np.uint64(64 - FILTER_BITS)
+                        keep = (sieve[(b >> np.uint64(3)).astype(np.int64)] >> (b & np.uint64(7)).astype(np.uint8)) & 1 > 0
+                        h, at = h[keep], at[keep]
+                    if not len(h):
+                        continue
+                    span = at[:, None] + np.arange(width)
+                    inside = (span < len(of)) & (of[np.minimum(span, len(of) - 1)] == of[at][:, None])
+                    bounds = np.concatenate([[0], np.cumsum(inside.sum(1))])
+                    lists = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(value[span[inside]].view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([keys.take(pa.array(of[at])), pa.array(np.full(len(h), mode, np.int32)), pa.array(h.view(np.int64)), pa.array(place[at].astype(np.int64)), lists], names)
+
+    return rows.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, mode int, h long, at long, values array<long>")
 
 
 def sieve_of(windows: DataFrame) -> np.ndarray:
@@ -163,7 +211,8 @@ def sieve_of(windows: DataFrame) -> np.ndarray:
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id", text: str = "text", item_text: str = "text") -> DataFrame:
     """(key, item, windows, total, contained, consistent, exact): the items that each document holds.
 
-    contained: the share of the item's distinct template windows found in the document, at least CONTAINED.
+    contained: the share of the item's distinct template windows found in the document, at least CONTAINED. The figures
+    are those of the first template by which the document holds the item.
     consistent: over all words of the found windows, the share in which the item's word is exchanged for its commonest
     counterpart, at least CONSISTENT. exact: the share of words that are the same in both.
     Null or empty texts and items hold nothing; rows with a null key take no part; repeated rows with one key count as
@@ -171,17 +220,20 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str
     """
     spark = docs.sparkSession
     known = stored(item_windows(items.where(F.col(item_key).isNotNull()), item_key, item_text))
-    bits = spark.sparkContext.broadcast(sieve_of(known))
-    found = _windows(docs.where(F.col(key).isNotNull()), key, text, bits)
-    sizes = known.groupBy("item").agg(F.countDistinct("h").alias("of"))
-    met = found.join(known.select("item", "h", F.col("values").alias("own")), "h")
+    widths = sorted(r.w for r in known.where(F.col("mode") == len(TEMPLATES)).select(F.size("values").alias("w")).distinct().collect())  # fewer than WINDOW
+    shared = spark.sparkContext.broadcast((sieve_of(known), widths))
+    found = _windows(docs.where(F.col(key).isNotNull()), key, text, shared)
+    pair = ["key", "item", "mode"]
+    sizes = known.groupBy("item", "mode").agg(F.countDistinct("h").alias("of"))
+    met = found.join(known.select("item", "mode", "h", F.col("values").alias("own")), ["mode", "h"])
     # a document may hold a window many times: one row for each pair, window and set of values
-    pairs = met.groupBy("key", "item", "h", "own", "values").agg(F.lit(1).alias("_one"))
-    words = pairs.select("key", "item", F.explode(F.arrays_zip("own", "values")).alias("w")).groupBy("key", "item", "w.own", "w.values").agg(F.count("*").alias("c"))
-    best = words.groupBy("key", "item", "own").agg(F.max("c").alias("top"), F.sum("c").alias("all"), F.sum(F.when(F.col("own") == F.col("values"), F.col("c")).otherwise(0)).alias("same"))
-    slots = best.groupBy("key", "item").agg((F.sum("top") / F.sum("all")).alias("consistent"), (F.sum("same") / F.sum("all")).alias("exact"))
-    held = pairs.groupBy("key", "item").agg(F.countDistinct("h").alias("windows")).join(sizes, "item").withColumn("contained", F.col("windows") / F.col("of")).where(F.col("contained") >= CONTAINED)
-    done = held.join(slots, ["key", "item"]).where(F.col("consistent") >= CONSISTENT)
+    pairs = met.groupBy(*pair, "h", "own", "values").agg(F.lit(1).alias("_one"))
+    words = pairs.select(*pair, F.explode(F.arrays_zip("own", "values")).alias("w")).groupBy(*pair, "w.own", "w.values").agg(F.count("*").alias("c"))
+    best = words.groupBy(*pair, "own").agg(F.max("c").alias("top"), F.sum("c").alias("all"), F.sum(F.when(F.col("own") == F.col("values"), F.col("c")).otherwise(0)).alias("same"))
+    slots = best.groupBy(*pair).agg((F.sum("top") / F.sum("all")).alias("consistent"), (F.sum("same") / F.sum("all")).alias("exact"))
+    held = pairs.groupBy(*pair).agg(F.countDistinct("h").alias("windows")).join(sizes, ["item", "mode"]).withColumn("contained", F.col("windows") / F.col("of")).where(F.col("contained") >= CONTAINED)
+    done = held.join(slots, pair).where(F.col("consistent") >= CONSISTENT)
+    done = done.groupBy("key", "item").agg(F.min(F.struct("mode", "windows", "of", "contained", "consistent", "exact")).alias("b")).select("key", "item", "b.*")
     return done.select(F.col("key").alias(key), F.col("item").alias(item_key), "windows", F.col("of").alias("total"), "contained", "consistent", "exact")
 
 

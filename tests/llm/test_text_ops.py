@@ -129,6 +129,24 @@ def test_leaks_are_caught_reparameterised_too(spark, frame):
     assert {3, 4} <= left and not {1, 2} & left
 
 
+def test_leaks_in_other_guises_are_caught(spark, frame):
+    bridge = "The train leaves Berlin at 9 and travels 120 km toward Hamburg while another train covers 80 km from Bremen; when do they meet near the old bridge"
+    apples = "Tom has 5 apples. Mary has 3 apples. Tom gives Mary 2 apples. How many apples does Mary have"
+    tank = "A tank holds 300 l and 12 kg of salt; how much is left when 40 l have run out of it"
+    short = "Name the largest lake of Finland"
+    copies = {
+        1: bridge.upper(), 2: bridge.lower(), 3: apples.replace("Tom", "Ann").replace("Mary", "Bob").replace("5", "7"),
+        4: tank.replace("300", "1,250").replace("12", "12.5"), 5: short.lower(), 6: apples.upper().replace("5", "1,005"),
+    }
+    want = {1: 0, 2: 0, 3: 1, 4: 2, 5: 3, 6: 1}
+    rows = [(k, prose(40, k) + ". " + t + ". " + prose(30, 50 + k), "s", "k") for k, t in copies.items()] + [(k, prose(300, 700 + k), "s", "k") for k in range(10, 30)]
+    rows += [(40, prose(30, 1) + " the largest lake. " + prose(9, 2), "s", "k"), (41, prose(20, 3) + " yes. " + prose(20, 4), "s", "k")]
+    known = items(spark, [bridge, apples, tank, short, "Yes", ""])
+    got = decontaminate.leaks(frame(rows), known).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == set(want.items()) and len(got) == len(want)
+    assert {r.doc_id for r in decontaminate.cleaned(frame(rows), known).collect()} == {r[0] for r in rows} - set(want)
+
+
 def test_windows_match_a_plain_version():
     texts = [prose(40, k) for k in range(5)] + ["", "one two", "A 12 km Xy"]
     data, offs = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
