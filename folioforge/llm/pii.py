@@ -34,13 +34,17 @@ NEEDS = {"email": ("@",), "ip": (".",), "card": (), "phone": ("+",)}
 
 #: Generators of further candidates: (kind, Java and Python pattern), in the order in which they are listed.
 GENERATORS = (
-    ("secret", r"[A-Za-z0-9_+/=-]{20,200}"),
+    ("secret", r"[A-Za-z0-9_+/=-]{20,}+"),
     ("local_phone", r"\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}"),
     ("id_number", r"[0-9]{3}-[0-9]{2}-[0-9]{4}"),
-    ("account", r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}"),
+    ("account", r"[A-Z]{2}[0-9]{2}(?:(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?|(?: ?[A-Z0-9]{4}){2} ?[A-Z0-9]{3})(?![A-Za-z0-9])"),
     ("spelled_email", r"[A-Za-z0-9._-]{1,64}(?: at |\(at\)|\[at\]| \[at\] )[A-Za-z0-9-]{1,64}(?: dot |\(dot\)|\[dot\]| \[dot\] )[A-Za-z]{2,20}"),
 )
+#: Characters of an account number by country, and how many letters follow its check digits.
+IBAN = {"DE": (22, 0), "FR": (27, 0), "ES": (24, 0), "GB": (22, 4), "IT": (27, 1), "NL": (18, 4), "BE": (16, 0), "AT": (20, 0), "CH": (21, 0), "NO": (15, 0), "PL": (28, 0), "PT": (25, 0), "MT": (31, 4)}
 BEFORE = 24
+#: Characters of a candidate in which runs of digits and distinct characters are counted; spans have no such bound.
+LOOK = 4096
 
 CUES = (
     r"(?i)(token|key|secret|passw(or)?d|auth|bearer)[^A-Za-z0-9]*$",
@@ -104,7 +108,7 @@ def candidate_features(g: int, m: str, b: str, a: str) -> list[float]:
     count = lambda chars: sum(c in chars for c in m)
     return [
         g, len(m), count(string.digits), count(string.ascii_uppercase), count("0123456789abcdefABCDEF"), len(m) - count(string.digits + string.ascii_letters),
-        len(re.findall("[0-9]+", m)), len(set(m)), *[float(bool(re.search(c, b))) for c in CUES], float(bool(re.match("[A-Za-z0-9_]", a))),
+        len(re.findall("[0-9]+", m[:LOOK])), len(set(m[:LOOK])), *[float(bool(re.search(c, b))) for c in CUES], float(bool(re.match("[A-Za-z0-9_]", a))),
     ]
 
 
@@ -113,7 +117,7 @@ def candidate_sql(g: int, x: Column) -> list[Column]:
     kept = lambda chars: F.length(F.regexp_replace(m, f"[^{chars}]", ""))
     return [
         F.lit(g), F.length(m), kept("0-9"), kept("A-Z"), kept("0-9a-fA-F"), F.length(m) - kept("0-9A-Za-z"),
-        F.size(F.regexp_extract_all(m, F.lit("[0-9]+"), F.lit(0))), F.size(F.array_distinct(F.regexp_extract_all(m, F.lit("."), F.lit(0)))), *[b.rlike(c).cast("int") for c in CUES], x["a"].rlike("^[A-Za-z0-9_]").cast("int"),
+        F.size(F.regexp_extract_all(F.substring(m, 1, LOOK), F.lit("[0-9]+"), F.lit(0))), F.size(F.array_distinct(F.regexp_extract_all(F.substring(m, 1, LOOK), F.lit("."), F.lit(0)))), *[b.rlike(c).cast("int") for c in CUES], x["a"].rlike("^[A-Za-z0-9_]").cast("int"),
     ]
 
 
@@ -123,13 +127,20 @@ def grammar(r: random.Random) -> tuple[int, str, str, str, int]:
     d = lambda n: "".join(r.choices(string.digits, k=n))
     filler = (words(4) + r.choice([" ", " ", ", ", ". ", "\n", " | "]))[-BEFORE:]
     cue = lambda *c: (words(3) + " " + r.choice(c) + r.choice([" ", ": ", " = \"", "=", ": '"]))[-BEFORE:]
+
+    def account() -> str:
+        land = r.choice(list(IBAN))
+        return land + d(2) + "".join(r.choices(string.ascii_uppercase, k=IBAN[land][1])) + d(IBAN[land][0] - 4 - IBAN[land][1])
+
     g, good = r.randrange(len(GENERATORS)), r.random() < 0.5
     after = r.choice([" ", "\"", ".", ",", "\n", ""])
     if g == 0:
         if good:
-            alphabet = r.choice(["0123456789abcdef", string.ascii_letters + string.digits, string.ascii_uppercase + string.digits])
-            return g, "".join(r.choices(alphabet, k=r.choice([20, 24, 32, 40, 48, 64]))), r.choice([cue("token", "api_key", "secret", "password", "auth"), cue("token", "key")]), after, 1
-        m = r.choice(["".join(r.choices("etaoinshrdlu", k=r.randint(20, 60))), "-" * r.randint(20, 60), "=" * r.randint(20, 80), "-".join("".join(r.choices("etaoinshrdlu", k=r.randint(3, 9))) for _ in range(5)), "_" * 30, d(r.randint(20, 30)), "/".join(words(1) for _ in range(6)), "".join(r.choices("ETAOINSHRDLU", k=r.randint(20, 40))), "".join(r.choices("0123456789abcdef", k=r.choice([32, 40])))])
+            alphabet = r.choice(["0123456789abcdef", string.ascii_letters + string.digits, string.ascii_uppercase + string.digits, string.ascii_letters, string.ascii_letters + string.digits + "+/"])
+            return g, "".join(r.choices(alphabet, k=r.choice([20, 24, 32, 40, 48, 64, 128, 256, 441, 900]))), r.choice([cue("token", "api_key", "secret", "password", "auth"), cue("token", "key")]), after, 1
+        if r.random() < 0.15 and len(m := account()) >= 20:
+            return g, m, cue("iban", "account", "konto", "IBAN"), after, 0  # an account, not a secret
+        m = r.choice(["".join(r.choices("etaoinshrdlu", k=r.randint(20, 60))), r.choice("-=_") * r.randint(20, 900), "=" * r.randint(20, 80), "-".join("".join(r.choices("etaoinshrdlu", k=r.randint(3, 9))) for _ in range(r.choice([5, 5, 30, 90]))), "_" * 30, d(r.randint(20, 30)), "/".join(words(1) for _ in range(r.choice([6, 6, 30, 90]))), "".join(r.choices("ETAOINSHRDLU", k=r.randint(20, 40))), "".join(r.choices("0123456789abcdef", k=r.choice([32, 40])))])
         return g, m.ljust(20, "e"), filler, after, 0
     if g == 1:
         m = r.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "{} {} {}"]).format(d(3), d(3), d(4))
@@ -139,7 +150,9 @@ def grammar(r: random.Random) -> tuple[int, str, str, str, int]:
     if g == 2:
         return (g, f"{d(3)}-{d(2)}-{d(4)}", cue("ssn", "social", "SSN", "id"), after, 1) if good else (g, f"{d(3)}-{d(2)}-{d(4)}", r.choice([filler, cue("isbn", "order", "ref"), d(2)]), r.choice([after, d(1)]), 0)
     if g == 3:
-        m = r.choice(["DE", "FR", "ES", "GB"]) + d(2) + "".join(r.choice(["", " "]) + d(4) for _ in range(r.randint(4, 5)))
+        m = account()
+        if r.random() < 0.5:
+            m = " ".join(m[i : i + 4] for i in range(0, len(m), 4))
         return (g, m, cue("iban", "account", "konto", "IBAN"), after, 1) if good else (g, r.choice([m[:2] + d(2) + "".join(" " + "".join(r.choices(string.ascii_uppercase, k=4)) for _ in range(3)), m[:2] + d(2) + "".join("".join(r.choices(string.ascii_uppercase, k=4)) for _ in range(5))]), filler, r.choice([after, "A"]), 0)
     name, host = "".join(r.choices("abcdefgh", k=6)), "".join(r.choices("mnopqr", k=7))
     if good:
@@ -217,7 +230,7 @@ def find(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: tuple[s
     margin, taken = tree_sql(model), F.col("base")
     more = []
     for g, (kind, pattern) in enumerate(GENERATORS):
-        need = F.col("_t").rlike(r"[\[( ]dot[\]) ]") if kind == "spelled_email" else F.col("_digits")
+        need = F.col("_t").rlike(r"[\[( ]dot[\]) ]") if kind == "spelled_email" else F.lit(True) if kind == "secret" else F.col("_digits")
         fenced = rf"(?:(?<![A-Za-z0-9_+/=-])|\G){pattern}" if kind == "secret" else pattern
         raw = F.when(need, candidates(F.col("_t"), g, fenced))
         rows = rows.withColumn(f"_g{g}", raw)

@@ -247,6 +247,23 @@ def test_further_spans_and_redaction(frame):
     assert row[0].clean.startswith('say token = "[SECRET]" and mail [EMAIL]. ') and row[0].clean.endswith(text[-80:])
 
 
+def test_long_secrets_and_accounts_are_whole(frame):
+    r = random.Random(5)
+    drawn = lambda alphabet, n: "".join(r.choices(alphabet, k=n))
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    accounts = ["DE89 3704 0044 0532 0130 00", "FR14 2004 1010 0505 0001 3026 606", "GB29 NWBK 6016 1331 9268 19", "NO93 8601 1117 947"]
+    secrets = [drawn(letters + "0123456789", 441), drawn(letters, 40), drawn(letters + "0123456789+/", 2000) + "=="]
+    spans = [("secret", f'the token = "', m, '" ends here') for m in secrets] + [("account", "paid to iban ", m, " before noon") for a in accounts for m in (a, a.replace(" ", ""))]
+    rows = [(k, b + m + e, "s", "k") for k, (_, b, m, e) in enumerate(spans)]
+    rows += [(100, "a row " + "-" * 441 + " and " + "a-slug-of-words-" * 30 + " end", "s", "k")]
+    got = {x.doc_id: x for x in pii.find(frame(rows), keep=("text",)).withColumn("clean", pii.redacted(F.col("text"), F.concat("base", "more"))).collect()}
+    for k, (kind, b, m, e) in enumerate(spans):
+        assert not set(re.findall("[A-Za-z0-9+/=]+", m)) & set(re.findall("[A-Za-z0-9+/=]+", got[k].clean)), (m, got[k].clean)
+        if kind == "secret" or not got[k].base:
+            assert got[k].clean == f"{b}[{kind.upper()}]{e}"
+    assert got[100].clean == got[100].text
+
+
 def test_crc_of_keys(frame):
     from folioforge.llm.queries import crc_of
 
