@@ -70,9 +70,10 @@ def text_encode_pdf(spark, d):
 
 @query("SELECT doc_id, md5(string_agg(chr(255 - ascii(c)), '')) IS NOT NULL AS ok, count(*) AS bytes FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '[^ -~]', '', 'g'), '')) AS c FROM documents) GROUP BY doc_id")
 def image_bits_invert(spark, d):
-    plain = F.encode(F.regexp_replace("text", "[^ -~]", ""), "UTF-8")
+    plain = F.encode("text", "UTF-8")
     twice = codecs.bytes_udf(lambda b: codecs.inverted_bits(codecs.inverted_bits(b)))(plain)
-    return table(spark, d, "documents").select("doc_id", (twice == plain).alias("ok"), F.octet_length(twice).cast("long").alias("bytes"))
+    kept = F.regexp_replace(F.decode(twice, "UTF-8"), "[^ -~]", "")  # what the SQL counts
+    return table(spark, d, "documents").select("doc_id", (twice == plain).alias("ok"), F.octet_length(kept).cast("long").alias("bytes"))
 
 
 def _files(spark, d, packed=False):

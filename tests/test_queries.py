@@ -32,6 +32,18 @@ def test_entry_module():
     assert set(e.oracle_sql()) <= set(e.queries()) and len(registry.QUERIES) >= 70
 
 
+def test_inversion_covers_all_bytes(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from folioforge.functions import codecs
+
+    # an inversion that goes wrong for bytes above 127 must show
+    monkeypatch.setattr(codecs, "bytes_udf", lambda f: lambda c: F.unhex(F.regexp_replace(F.hex(c), "C3BC", "C3BD")))
+    spark.createDataFrame([(1, "plain"), (2, "gr\u00fcn")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: (r.ok, r.bytes) for r in documents.image_bits_invert(spark, str(tmp_path)).collect()}
+    assert got == {1: (True, 5), 2: (False, 3)}
+
+
 def test_streamed_files(spark, tmp_path):
     from folioforge.sources import files, writer
     from folioforge.streaming.arrivals import arriving
