@@ -37,7 +37,7 @@ def _fields(text: str) -> tuple[Field, ...]:
     return tuple(Field(*p.split(":")) for p in text.split())
 
 
-#: Every dictionary record: name -> (type check, other checks, key:type ...). Nested values keep their reference.
+#: The dictionary records with a view (README names the missing ones): name -> (type check, other checks, key:type ...). Nested values keep their reference.
 RECORDS = {r.name: r for r in (
     Record("Catalog", _fields("Version:name Pages:ref PageLabels:ref Names:ref Dests:ref PageLayout:name Outlines:ref AcroForm:ref Metadata:ref StructTreeRoot:ref"), "Catalog?"),
     Record("Pages", _fields("Parent:ref Count:int Resources:ref Rotate:int"), "Pages"),
