@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
@@ -51,12 +50,19 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}"
     df.write.parquet(path)
-    # executors delete the shuffle files of a finished job only after the driver has collected what refers to them
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*frames: DataFrame) -> None:
+    """Deletes what stored() wrote for these frames, once nothing reads them any more."""
+    for df in frames:
+        jvm = df.sparkSession.sparkContext._jvm
+        for file in df.inputFiles()[:1]:
+            folder = jvm.org.apache.hadoop.fs.Path(file).getParent().getParent()
+            if folder.getName().startswith("folioforge-"):
+                folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def powers(base: np.uint64, n: int, kept: dict = {}) -> np.ndarray:  # noqa: B006  one array a process and base
     have = kept.get(int(base))
     if have is None or len(have) < n:

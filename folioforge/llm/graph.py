@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import stored
+from folioforge.llm.common import discard, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,11 +20,13 @@ def components(edges: DataFrame) -> DataFrame:
     last = None
     while True:
         near = both.join(labels, both.a == labels.v).groupBy("b").agg(F.min("l").alias("m")).withColumnRenamed("b", "v")
-        step = near.join(labels, "v").select("v", F.least("m", "l").alias("l"))
-        labels = stored(step)
-        top = labels.select(F.col("v").alias("l"), F.col("l").alias("t"))
-        labels = stored(labels.join(top, "l").select("v", F.col("t").alias("l")))
+        step = stored(near.join(labels, "v").select("v", F.least("m", "l").alias("l")))
+        top = step.select(F.col("v").alias("l"), F.col("l").alias("t"))
+        after = stored(step.join(top, "l").select("v", F.col("t").alias("l")))
+        discard(labels, step)
+        labels = after
         now = labels.agg(F.sum(F.col("l").cast("decimal(38,0)")), F.count("*")).first()
         if now == last:
+            discard(both)
             return labels.select(F.col("v").alias("node"), F.col("l").alias("component"))
         last = now

@@ -1,20 +1,17 @@
-"""N-gram Jaccard join: count-vector R-trees over buckets of texts that share a shingle.
+"""N-gram Jaccard join: count-vector R-trees over families of texts that share groups of shingles.
 
 The shingles of a text are hashed into groups; the group counts are a point, and the summed coordinate minima of two
 points bound the overlap of the two sets from above. An R-tree over the points carries coordinate maxima, so whole
 nodes fall away; pairs that survive are verified on the sets.
 
-Group counts of unrelated long texts are alike, so one tree over everything would prune little. Texts therefore meet
-in buckets first, exactly: ordered by a fixed order of the shingles, two sets with Jaccard >= t share at least
-min(l_x, l_y) shingles among the first n - ceil(t n) + l of each. Shingles that only one set has, and texts with too
-few shared ones, drop out. The order puts shingles that are frequent in a bounded sample last, which keeps common
-passages out of the buckets; any order gives the same result.
-
-Links are kept as spanning edges, never as all pairs of a group:
-  1. every remaining text goes, with its set, to the bucket of its first shared shingle and is linked there;
-  2. components that still meet in some bucket try one pair each;
-  3. what then still meets is joined in full by an R-tree over group counts, and surviving pairs are verified.
-Buckets of any size are cut into blocks, and each pair of blocks is a task of its own.
+Group counts of unrelated long texts are alike, so one tree over everything would prune little. Which texts come into
+one tree is settled by the groups themselves, exactly: sets of a and b shingles with Jaccard similarity >= 0.8 differ in
+at most D = (a + b) / 9 shingles, which lie in at most D of K groups, so of any D + m groups that are not empty in one of
+them, m hold the very same shingles in both. Every text therefore lists its first D + m groups that are not empty
+(`meetings`); those that two texts have in common are kept, texts that share fewer than m drop out, each text leaves out
+its m - 1 most crowded ones, and what still hangs together is a family. A family goes to one R-tree with its texts, once;
+a family of more than BLOCK shingles is cut into blocks, and each pair of blocks is a task of its own. Pairs never leave
+their task: it emits spanning edges between components.
 """
 
 from __future__ import annotations
@@ -26,19 +23,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import mix, stored, text_slices, window_hashes, word_hashes
+from folioforge.llm.common import discard, mix, stored, text_slices, window_hashes, word_hashes
 from folioforge.llm.graph import components
 
 WIDTH, NUM, DEN = 5, 80, 100
-#: Texts that the order of shingles is taken from, about; and the share of them from which on a shingle goes last.
-ORDER_SAMPLE, ORDER_SHARE = 4000, 0.01
-#: Shingles of the sets that one block of a bucket holds, about.
-BLOCK = 500_000
-#: Groups of the count vectors of step 3.
-GROUPS = 128
-#: l is n // SHARE + 1: the larger it is, the more shingles are looked up and the fewer texts remain.
-SHARE = 12
-LATE = 1 << 62
+#: m is n // MARGIN + 1: the larger it is, the more groups are listed and the fewer texts remain.
+MARGIN = 32
+#: Shingles and texts that one block of a family holds, about.
+BLOCK, BLOCK_TEXTS = 1_000_000, 2048
+#: A group that so many texts of one slice of the input have is spread over SALTS places.
+HOT, SALTS = 32, 64
+#: Bits of the filter that keeps texts without a family from the shuffle: 8 MB, whatever the input's size.
+SIEVE_BITS = 26
+_GROUP, _SIZE, _SINGLE = (np.uint64(k) for k in (0x9FB21C651E98DF25, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F))
 
 
 def sets_of(data: np.ndarray, offs: np.ndarray, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
@@ -59,6 +56,55 @@ def overlap_needed(a, b, num: int = NUM, den: int = DEN):
     return -((-num * (a + b)) // (num + den))
 
 
+def listed_groups(h: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, row) of the groups that each set has to list; h and b as of sets_of.
+
+    Sizes from 2^j to 2^(j+1) - 1 are class j with its own number of groups; a set that can be similar to one of the next
+    class lists groups of that class too. A set with fewer groups than it would have to list lists them all and, since
+    two such sets may have none in common, the first of its shingles one by one as well.
+    """
+    n = np.diff(b)
+    out_t, out_r = [], []
+    if not len(h):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    row = np.repeat(np.arange(len(n)), n)
+    u = h.astype(np.uint64)
+    code, high = mix(u ^ _GROUP), u >> np.uint64(30)
+    level = np.frexp(np.maximum(n, 1).astype(float))[1]  # 2^(level - 1) <= n < 2^level
+    most = n * DEN // NUM
+    margin = n // MARGIN + 1
+    few = np.zeros(len(n), bool)
+    for step in (0, 1):
+        top = np.left_shift(1, level + step)
+        use = (n > 0) if step == 0 else most >= np.left_shift(1, level)
+        differ = (n + np.minimum(most, top - 1)) * (DEN - NUM) // (DEN + NUM)
+        quota = np.where(use, differ + margin, 0)
+        groups = (top * 8 // 25 + 8).astype(np.uint64)
+        at = np.flatnonzero(use[row])
+        if not len(at):
+            continue
+        r = row[at]
+        g = (high[at] * groups[r]) >> np.uint64(32)
+        first = np.ones(len(at), bool)
+        first[1:] = (g[1:] != g[:-1]) | (r[1:] != r[:-1])
+        starts = np.flatnonzero(first)
+        total = np.add.reduceat(code[at], starts)
+        of = r[starts]
+        have = np.bincount(of, minlength=len(n))
+        place = np.arange(len(of)) - np.repeat(np.cumsum(have) - have, have)
+        keep = place < quota[of]
+        few |= use & (have < quota)
+        out_t.append(mix(total + (g[starts] + np.uint64(1)) * _SIZE + (level[of] + step).astype(np.uint64) * _SINGLE)[keep])
+        out_r.append(of[keep])
+    least = -(-NUM * n // DEN)
+    p = np.where(few, n - least + np.minimum(margin, least), 0)
+    if p.sum():
+        out = np.repeat(b[:-1], p) + np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
+        out_t.append(mix(u[out] ^ _SINGLE))
+        out_r.append(np.repeat(np.arange(len(n)), p))
+    return np.concatenate(out_t), np.concatenate(out_r)
+
+
 class CountTree:
     """An R-tree over count vectors, packed by size and then by the first coordinates."""
 
@@ -93,11 +139,12 @@ class CountTree:
         return self.order[at]
 
 
-def group_counts(elements: np.ndarray, bounds: np.ndarray, groups: int, top: int = 65535) -> np.ndarray:
+def group_counts(elements: np.ndarray, bounds: np.ndarray, groups: int) -> np.ndarray:
     n = len(bounds) - 1
     row = np.repeat(np.arange(n), np.diff(bounds))
     part = (mix(elements.astype(np.uint64)) & np.uint64(groups - 1)).astype(np.int64)
-    return np.minimum(np.bincount(row * groups + part, minlength=n * groups), top).reshape(n, groups)
+    counts = np.bincount(row * groups + part, minlength=n * groups).reshape(n, groups)
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0))))
 
 
 def similar(a: np.ndarray, b: np.ndarray, num: int = NUM, den: int = DEN) -> bool:
@@ -109,21 +156,33 @@ def similar(a: np.ndarray, b: np.ndarray, num: int = NUM, den: int = DEN) -> boo
     return len(a) > 0 and same >= overlap_needed(len(a), len(b), num, den)
 
 
-def linked(keys: np.ndarray, elements: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning edges (key, key) of the similarity graph of one block."""
+def linked(keys: np.ndarray, elements: np.ndarray, bounds: np.ndarray, side: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Spanning edges (key, key) of the similarity graph of one block; of two sides, only pairs across them are tried."""
     sizes = np.diff(bounds)
     m, edges = len(keys), []
     if m < 2:
         return edges
-    groups = 1 << int(np.clip(np.log2(max(sizes.mean(), 1) / 4), 4, 10))
+    groups = 1 << int(np.clip(np.log2(max(sizes.mean(), 1) / 2), 4, 9))
     counts = group_counts(elements, bounds, groups)
     tree, root = CountTree(counts, sizes), np.arange(m)
+    codes = np.unique(elements, return_inverse=True)[1]
+    mark = np.zeros(len(elements) + 1, bool)
     for i in range(1, m):
         near = tree.near(counts[i], int(sizes[i]))
         near = near[near < i]
+        if side is not None:
+            near = near[side[near] != side[i]]
+        own = codes[bounds[i] : bounds[i + 1]]
+        # one of each component first: the rest of a component that is met need not be looked at
         while len(near := near[root[near] != root[i]]):
-            j, near = int(near[0]), near[1:]
-            if keys[i] == keys[j] or similar(elements[bounds[i] : bounds[i + 1]], elements[bounds[j] : bounds[j + 1]]):
+            one = np.unique(root[near], return_index=True)[1]
+            tried = near[one]
+            mark[own] = True
+            at = np.repeat(bounds[tried] - np.concatenate([[0], np.cumsum(sizes[tried])[:-1]]), sizes[tried]) + np.arange(sizes[tried].sum())
+            same = np.add.reduceat(mark[codes[at]].astype(np.int64), np.concatenate([[0], np.cumsum(sizes[tried])[:-1]]))
+            mark[own] = False
+            near = np.delete(near, one)
+            for j in tried[(same >= overlap_needed(int(sizes[i]), sizes[tried])) | (keys[tried] == keys[i])].tolist():
                 edges.append((int(keys[i]), int(keys[j])))
                 a, b = sorted((int(root[i]), int(root[j])))
                 root[root == b] = a
@@ -171,152 +230,155 @@ def run_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return sums[bounds[1:]] - sums[bounds[:-1]]
 
 
-def signatures(docs: DataFrame, late: np.ndarray) -> DataFrame:
-    """(key, n, s1, s2, prefix): set size, two checksums of the set, and the first shingles of the order."""
-    shared = docs.sparkSession.sparkContext.broadcast(late)
+def signatures(docs: DataFrame) -> DataFrame:
+    """(key, n, s1, s2) of rows (key, text): set size and two 64-bit checksums of the set."""
 
     def run(batches):
-        last = shared.value
         for batch in batches:
             for lo, hi, data, offs in text_slices(batch.column(1)):
                 h, b = sets_of(data, offs)
-                n = np.diff(b)
-                u = h.astype(np.uint64)
-                s1, s2 = [run_sums(mix(u ^ np.uint64(salt)), b).view(np.int64) for salt in (0, 0x5DEECE66D)]
-                if len(last):
-                    at = np.searchsorted(last, h)
-                    is_late = last[np.minimum(at, len(last) - 1)] == h
-                    v = h + is_late * LATE
-                    row = np.repeat(np.arange(len(n)), n)
-                    order = np.lexsort((v, row)) if is_late.any() else slice(None)
-                    v = v[order]
-                else:
-                    v = h
-                least = -(-NUM * n // DEN)
-                p = np.where(n > 0, n - least + np.minimum(n // SHARE + 1, least), 0)
-                out = np.repeat(b[:-1], p) + np.arange(p.sum()) - np.repeat(np.cumsum(p) - p, p)
-                bounds = np.concatenate([[0], np.cumsum(p)])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(s1), pa.array(s2), lists(v[out], bounds)], ["key", "n", "s1", "s2", "prefix"])
-
-    return docs.mapInArrow(run, "key long, n long, s1 long, s2 long, prefix array<long>")
-
-
-def with_sets(docs: DataFrame, rest: list[str]) -> DataFrame:
-    """The columns `rest` and `elements`, the set of the text, for rows (*rest, text)."""
-    schema = docs.select(*rest).schema
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(b), pa.int64()), *map(pa.array, checksums(h, b))], ["key", "n", "s1", "s2"])
 
-    def run(batches):
-        for batch in batches:
-            for lo, hi, data, offs in text_slices(batch.column(len(rest))):
-                yield pa.RecordBatch.from_arrays([*(batch.column(i).slice(lo, hi - lo) for i in range(len(rest))), lists(*sets_of(data, offs))], [*rest, "elements"])
+    return docs.select("key", "text").mapInArrow(run, "key long, n long, s1 long, s2 long")
 
-    return docs.select(*rest, "text").mapInArrow(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema) + ", elements array<long>")
 
+def checksums(h: np.ndarray, b: np.ndarray) -> list[np.ndarray]:
+    u = h.astype(np.uint64)
+    return [run_sums(mix(u ^ np.uint64(salt)), b).view(np.int64) for salt in (0, 0x5DEECE66D)]
 
-def late_shingles(docs: DataFrame) -> np.ndarray:
-    """Shingles of at least ORDER_SHARE of a sample of about ORDER_SAMPLE texts (all, if fewer), ascending.
 
-    They only settle the order; their number is bounded by the sample's.
-    """
-    total = docs.count()
-    step = max(1, total // ORDER_SAMPLE)
-    some = docs.where(F.pmod(F.xxhash64("key"), F.lit(step)) == 0)
-    rows = with_sets(some.select("key", "text"), ["key"]).select(F.explode("elements").alias("tok")).groupBy("tok").count()
-    return np.sort(np.array([r.tok for r in rows.where(F.col("count") >= max(20, ORDER_SHARE * min(total, ORDER_SAMPLE))).collect()], np.int64))
+#: Groups that a set of n shingles shares with any similar one among those that both list, at least.
+LEAST_SHARED = f"CAST((n * {NUM}) DIV {MARGIN * DEN} + 1 AS INT)"
 
 
-def link_buckets(rows: DataFrame) -> DataFrame:
-    """Edges (a, b) from rows (bucket, key, n, elements): each bucket in blocks, each pair of blocks a group."""
-    sizes = rows.groupBy("bucket").agg(F.sum("n").alias("_all"), F.count("*").alias("_m")).where("_m > 1")
-    blocks = F.ceil(F.col("_all") / BLOCK).cast("int")
-    dealt = rows.join(sizes.select("bucket", blocks.alias("_b")), "bucket").withColumn("_r", F.pmod(F.xxhash64("key", F.lit(7)), F.col("_b")).cast("int"))
-    dealt = dealt.withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
-    group = F.xxhash64("bucket", F.least("_r", "_s"), F.greatest("_r", "_s"))
+def meetings(docs: DataFrame) -> DataFrame:
+    """(tok, s, n): the listed groups of every set that another set has too; a set is named by its first checksum.
 
-    def body(t: pa.Table):
-        edges = linked(t["key"].to_numpy(), *flat(t["elements"]))
-        if edges:
-            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
-
-    sent = dealt.select(group.alias("g"), "key", "elements").repartition("g").sortWithinPartitions("g", "key")
-    return sent.mapInArrow(by_group(["g", "key", "elements"], body), "a long, b long")
-
-
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets are similar."""
+    One shuffle. A task sends a set once, however many copies it reads, and spreads groups that are common in its input
+    over SALTS places, with two witnesses at the place where the rest of the group is counted.
+    """
 
     def run(batches):
+        seen: set[int] = set()
         for batch in batches:
-            (x, xb), (y, yb) = flat(batch.column(2)), flat(batch.column(3))
-            keep = [similar(x[xb[i] : xb[i + 1]], y[yb[i] : yb[i + 1]]) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("elements").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("elements").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def bounded_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of different components whose count vectors allow similarity, from rows (bucket, key, component, n, counts)."""
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("_m"))
-    dealt = rows.join(sizes.select("bucket", F.ceil(F.col("_m") / 4096).cast("int").alias("_b")), "bucket").withColumn("_r", F.pmod(F.xxhash64("key", F.lit(7)), F.col("_b")).cast("int"))
-    dealt = dealt.withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
-    group = F.xxhash64("bucket", F.least("_r", "_s"), F.greatest("_r", "_s"))
-
-    def body(t: pa.Table):
-        keys, comp, n = (t[c].to_numpy() for c in ("key", "component", "n"))
-        counts = np.frombuffer(b"".join(t["counts"].to_pylist()), np.uint16).reshape(len(keys), GROUPS)
-        tree, a, b = CountTree(counts, n), [], []
-        for i in range(1, len(keys)):
-            near = tree.near(counts[i], int(n[i]))
-            near = near[(near < i) & (comp[near] != comp[i])]
-            a += [int(keys[i])] * len(near)
-            b += keys[near].tolist()
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-    sent = dealt.select(group.alias("g"), "key", "component", "n", "counts").repartition("g").sortWithinPartitions("g", "key")
-    return sent.mapInArrow(by_group([], body), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
+            for _, _, data, offs in text_slices(batch.column(0)):
+                h, b = sets_of(data, offs)
+                s = checksums(h, b)[0]
+                fresh = np.zeros(len(s), bool)
+                for i, x in enumerate(s.tolist()):
+                    if x not in seen:
+                        seen.add(x)
+                        fresh[i] = True
+                if len(seen) > 1_000_000:
+                    seen = set()
+                t, r = listed_groups(h, b)
+                keep = fresh[r]
+                t, r = t[keep], r[keep]
+                of, n = s[r], np.diff(b)[r].astype(np.int64)
+                _, back, many = np.unique(t, return_inverse=True, return_counts=True)
+                salt = np.where(many[back] >= HOT, 1 + (mix(of.view(np.uint64)) % np.uint64(SALTS)).astype(np.int64), 0)
+                if salt.any():
+                    hot = np.flatnonzero(salt)
+                    hot = hot[np.argsort(back[hot], kind="stable")]
+                    new = np.flatnonzero(np.append(True, np.diff(back[hot]) > 0))
+                    two = hot[np.concatenate([new, new + 1])]
+                    t, of, n, salt = (np.concatenate([x, y]) for x, y in ((t, t[two]), (of, of[two]), (n, n[two]), (salt, np.zeros(len(two), np.int64))))
+                yield pa.RecordBatch.from_arrays([pa.array(t.view(np.int64)), pa.array(of), pa.array(salt << 40 | n)], ["tok", "s", "w"])
+
+    def shared(batches):
+        """Rows of runs (tok, salt) with two sets at least; a row waits until its run has a second set."""
+        held, known = None, None
+        for batch in batches:
+            tok, s, w = (batch.column(i).to_numpy() for i in range(3))
+            if held is not None:
+                tok, s, w = (np.concatenate([[a], b]) for a, b in zip(held, (tok, s, w)))
+                held = None
+            if not len(tok):
+                continue
+            salt = w >> 40
+            new = np.append(True, (tok[1:] != tok[:-1]) | (salt[1:] != salt[:-1]))
+            starts = np.flatnonzero(new)
+            run_of = np.cumsum(new) - 1
+            more = np.add.reduceat((s != s[starts][run_of]).astype(np.int64), starts) > 0
+            more |= salt[starts] > 0
+            if known == (int(tok[0]), int(salt[0])):
+                more[0] = True
+            known = (int(tok[-1]), int(salt[-1])) if more[-1] else None
+            if not more[-1]:
+                held = (tok[-1], s[-1], w[-1])
+            once = np.append(True, new[1:] | (s[1:] != s[:-1]))
+            keep = more[run_of] & once
+            yield pa.RecordBatch.from_arrays([pa.array(tok[keep]), pa.array(s[keep]), pa.array(w[keep] & ((1 << 40) - 1))], ["tok", "s", "n"])
+
+    sent = docs.select("text").mapInArrow(run, "tok long, s long, w long")
+    salt = F.shiftright("w", 40)
+    return sent.repartition("tok", salt).sortWithinPartitions("tok", salt, "s").mapInArrow(shared, "tok long, s long, n long")
+
+
+def families(met: DataFrame) -> DataFrame:
+    """(node, component): the sets that may be similar to another one, and their family, from rows (tok, s, n)."""
+    own = Window.partitionBy("s")
+    enough = stored(met.withColumn("_c", F.count("*").over(own)).where(f"_c >= {LEAST_SHARED}").drop("_c"))
+    sizes = enough.groupBy("tok").agg(F.count("*").alias("_m"), F.min("s").alias("_lo"), F.max("s").alias("_hi")).where("_lo <> _hi").select("tok", "_m")
+    # similar sets share at least as many groups as either has to; the one of these that comes first by size has the
+    # others after it in both lists, so both keep it although each leaves out its LEAST_SHARED - 1 largest
+    largest = own.orderBy(F.desc("_m"), F.desc("tok"))
+    placed = enough.join(sizes, "tok").withColumns({"_r": F.row_number().over(largest), "_c": F.count("*").over(own)})
+    kept = stored(placed.where(f"_c >= {LEAST_SHARED} AND _r >= {LEAST_SHARED}").select("tok", "s"))
+    least = kept.groupBy("tok").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("tok", "lo")
+    edges = stored(kept.join(least, "tok").where("s <> lo").select(F.col("s").alias("a"), F.col("lo").alias("b")).distinct())
+    out = components(edges)
+    discard(enough, kept, edges)
+    return out
+
+
+def sieve_of(keys: DataFrame) -> np.ndarray:
+    """A bit for each SIEVE_BITS-bit prefix of a hash of `key`; words are combined on the executors."""
+    place = F.shiftrightunsigned(F.xxhash64("key"), 64 - SIEVE_BITS)
+    words = keys.select(place.alias("p")).selectExpr("shiftright(p, 6) AS w", "shiftleft(1L, CAST(p & 63 AS INT)) AS v")
+    got = words.groupBy("w").agg(F.bit_or("v").alias("v")).toPandas()  # at most 2^20 rows
+    out = np.zeros(1 << (SIEVE_BITS - 6), np.uint64)
+    out[got["w"].to_numpy(np.int64)] = got["v"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def sifted(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows (key, text) whose key may be among `keys`; most others stay where they are read."""
+    shared = docs.sparkSession.sparkContext.broadcast(sieve_of(keys))
 
-def with_counts(sets: DataFrame) -> DataFrame:
     def run(batches):
+        bits = shared.value
         for batch in batches:
-            counts = group_counts(*flat(batch.column(1)), GROUPS).astype(np.uint16)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([c.tobytes() for c in counts], pa.binary())], ["key", "counts"])
-
-    return sets.select("key", "elements").mapInArrow(run, "key long, counts binary")
-
-
-#: Shingles that a text shares with any similar one among those looked up, at least; n is its set size.
-LEAST_SHARED = f"((n * {NUM}) DIV {SHARE * DEN} + 1)"
+            p = batch.column(2).to_numpy().view(np.uint64)
+            keep = (bits[(p >> np.uint64(6)).astype(np.int64)] >> (p & np.uint64(63))) & np.uint64(1) > 0
+            yield batch.select([0, 1]).filter(pa.array(keep))
 
+    return docs.select("key", "text", F.shiftrightunsigned(F.xxhash64("key"), 64 - SIEVE_BITS).alias("p")).mapInArrow(run, "key long, text string")
 
-def promising(met: DataFrame) -> DataFrame:
-    """The rows (tok, key, n) of shingles that two texts have, for texts with enough of them."""
-    pairs = met.join(met.groupBy("tok").agg(F.count("*").alias("_m")).where("_m > 1").select("tok"), "tok")
-    enough = pairs.groupBy("key").agg(F.count("*").alias("_c"), F.max("n").alias("n")).where(f"_c >= {LEAST_SHARED}").select("key")
-    return pairs.join(enough, "key", "left_semi").select("tok", "key", "n")
 
+def family_edges(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Edges (a, b) between similar texts of one family, from texts (key, text) and rows (key, s, n, component)."""
+    sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.count("*") / BLOCK_TEXTS)).cast("int").alias("_b"))
+    dealt = members.join(sizes, "component").withColumn("_r", F.pmod(F.xxhash64("key", "s", F.lit(7)), F.col("_b")).cast("int"))
+    rows = sifted(docs, members).join(dealt, "key").withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
+    group = F.xxhash64("component", F.least("_r", "_s"), F.greatest("_r", "_s"))
 
-def trimmed(met: DataFrame) -> DataFrame:
-    """Without each text's LEAST_SHARED - 1 largest buckets.
-
-    Similar texts share at least as many buckets as either has to; the one of these that comes first by size and shingle
-    has the others after it in both lists, so both keep it.
-    """
-    sizes = met.groupBy("tok").agg(F.count("*").alias("_m"))
-    last = Window.partitionBy("key").orderBy(F.desc("_m"), F.desc("tok"))
-    placed = met.join(sizes, "tok").withColumn("_r", F.row_number().over(last)).where(f"_r >= {LEAST_SHARED}")
-    return placed.select("tok", "key", "n")
-
-
-def contested(met: DataFrame, comp: DataFrame) -> DataFrame:
-    """The rows (tok, key, n) of buckets in which components still meet, with `component` and the bucket's least one, `_lo`.
+    def body(t: pa.Table):
+        sets, sums = [], []
+        for _, _, data, offs in text_slices(t["text"], 1 << 22):
+            h, b = sets_of(data, offs)
+            sums.append(checksums(h, b)[0])
+            sets += np.split(h, b[1:-1])
+        right = np.concatenate(sums) == t["s"].to_numpy()  # another text of a repeated key has a set of its own
+        sets = [x for x, ok in zip(sets, right) if ok]
+        side = t["side"].to_numpy()[right]
+        bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int64)
+        edges = linked(t["key"].to_numpy()[right], np.concatenate(sets) if sets else np.zeros(0, np.int64), bounds, side if (side != side[:1]).any() else None)
+        if edges:
+            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
 
-    Buckets of the same members (the shingles of one shared passage) are one bucket.
-    """
-    named = met.join(comp.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    mixed = named.groupBy("tok").agg(F.min("component").alias("_lo"), F.max("component").alias("_hi"), F.count("*").alias("_m"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("_s")).where("_lo <> _hi")
-    return stored(named.join(mixed.groupBy("_m", "_s", "_lo").agg(F.min("tok").alias("tok")).select("tok", "_lo"), "tok"))
+    sent = rows.select(group.alias("g"), "key", "s", F.col("_r").alias("side"), "text").repartition("g").sortWithinPartitions("g", "key", "s")
+    return sent.mapInArrow(by_group(["g", "key", "s", "side", "text"], body), "a long, b long")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -324,42 +386,25 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
 
     component_id is the least key reachable over links of Jaccard similarity >= 0.8 between the five-word shingle sets
     (A-Z lower-cased); a text of fewer words is one shingle, a null or blank text an empty set linked with nothing.
-    Rows with a null key take no part and have a null component. Equal sets are one class throughout, so groups of
-    copies of any size cost one representative. Repeated keys are one document.
+    Rows with a null key take no part and have a null component. Equal sets (by size and 128 bits of checksum) are one
+    class throughout, so groups of copies of any size cost one representative. Rows with one key are one document: what
+    is linked with one of its texts is linked with all. Other columns of `docs` are not read; an empty table gives none.
     """
     base = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     known = base.where("key IS NOT NULL")
-    sig = stored(signatures(base, late_shingles(known)))
-    least = sig.where("key IS NOT NULL AND n > 0").groupBy("s1", "s2", "n").agg(F.min("key").alias("rep"))
-    least = stored(least)
-
-    # half a checksum tells the sets of a bucket apart here; the rows of these two shuffles are the operator's largest
-    prefix = sig.where("key IS NOT NULL").select("key", "n", F.col("s1").bitwiseAND(F.lit((1 << 32) - 1)).alias("s"), F.explode("prefix").alias("tok"))
-    shared = prefix.groupBy("tok").agg(F.min("s").alias("_lo"), F.max("s").alias("_hi")).where("_lo <> _hi").select("tok")
-    met = prefix.select("key", "n", "tok").join(shared, "tok").join(least.select(F.col("rep").alias("key"), "n"), ["key", "n"], "left_semi").select("tok", "key", "n")
-    met = stored(met)
-    for _ in range(2):
-        met = stored(promising(met))
-    met = stored(trimmed(met))
-    homes = stored(met.groupBy("key").agg(F.max("n").alias("n"), F.min("tok").alias("bucket")))
-    reps = known.join(homes, "key").join(least.select(F.col("rep").alias("key"), F.col("n")), ["key", "n"], "left_semi")
-    sets = stored(with_sets(reps, ["bucket", "key", "n"]))
-
-    edges = stored(link_buckets(sets))
-    for last in (False, True):
-        left = contested(met, components(edges))
-        if last:
-            counts = with_counts(sets.join(left.select("key").distinct(), "key", "left_semi"))
-            pairs = bounded_pairs(left.select(F.col("tok").alias("bucket"), "key", "component", "n").join(counts, "key"))
-        else:
-            # one pair for each two components that meet often enough, members of the same bucket
-            one = left.groupBy("tok", "component", "_lo").agg(F.min("key").alias("b"), F.min("n").alias("n"))
-            first = one.where("component = _lo").select("tok", F.col("b").alias("a"))
-            pairs = one.where("component <> _lo").join(first, "tok").groupBy("component", "_lo").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b").distinct()
-        edges = stored(edges.union(verified(pairs, sets)))
+    sig = stored(signatures(base))
+    held = sig.where("key IS NOT NULL AND n > 0")
+    least = stored(held.groupBy("s1", "s2", "n").agg(F.min("key").alias("rep")))
+
+    met = stored(meetings(known))
+    family = families(met)
+    discard(met)
+    members = stored(least.join(family, F.col("s1") == F.col("node")).select(F.col("rep").alias("key"), F.col("s1").alias("s"), "n", "component"))
+    twice = held.groupBy("key").agg(F.min(F.struct("s1", "s2", "n")).alias("_lo"), F.max(F.struct("s1", "s2", "n")).alias("_hi")).where("_lo <> _hi").select("key")
+    same = held.join(twice, "key", "left_semi").join(least, ["s1", "s2", "n"]).select(F.col("key").alias("a"), F.col("rep").alias("b"))
+    edges = stored(family_edges(known, members).union(same))
     comp = components(edges)
 
     named = least.join(comp, F.col("rep") == F.col("node"), "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("_c"))
-    rows = sig.select("key", "n", "s1", "s2").join(named, ["s1", "s2", "n"], "left")
-    rows = rows.select("key", "n", F.when(F.col("key").isNotNull(), F.coalesce("_c", "key")).alias("c"))
-    return rows.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"))
+    rows = sig.join(named, ["s1", "s2", "n"], "left")
+    return rows.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.when(F.col("key").isNotNull(), F.coalesce("_c", "key")).alias("component_id"))

@@ -71,12 +71,48 @@ def test_join_of_nothing(frame):
     assert jaccard.join(frame([])).count() == 0
 
 
-def test_blocks_of_a_large_bucket(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "BLOCK", 400)
-    base = list(range(100))
-    sets = [(0, k, 100, sorted({*base[: 100 - k % 3], *(1000 + 100 * k + j for j in range(k % 3))})) for k in range(30)]
-    edges = jaccard.link_buckets(spark.createDataFrame(sets, "bucket long, key long, n long, elements array<long>"))
-    assert graph.components(edges).select("component").distinct().count() == 1
+def test_blocks_of_a_large_family(frame, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK", 900)
+    monkeypatch.setattr(jaccard, "BLOCK_TEXTS", 7)
+    base = prose(150, 3)
+    rows = [(k, edited(base, 0.015, k), "s", "k") for k in range(60)]
+    want = plain_components(rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(frame(rows)).collect()}
+    assert got == want and 1 < len({c for _, c in want.values()}) < 60
+
+
+def test_a_repeated_key_is_one_document(frame):
+    one, two = prose(40, 1), prose(40, 2)
+    rows = [(5, one, "s", "k"), (5, two, "s", "k"), (3, one, "s", "k"), (2, two + " end", "s", "k"), (9, prose(40, 7), "s", "k")]
+    got = {(r.doc_id, r.component_id) for r in jaccard.join(frame(rows)).collect()}
+    assert got == {(5, 2), (3, 2), (2, 2), (9, 9)}
+
+
+def test_similar_sets_list_a_common_group():
+    r = np.random.default_rng(8)
+    for n in [1, 2, 3, 4, 5, 6, 7, 9, 11, 15, 16, 17, 30, 31, 33, 50, 63, 64, 65, 100, 127, 130, 250, 500, 900]:
+        for _ in range(12):
+            a = np.sort(r.integers(0, 1 << 62, n))
+            grow = int(r.integers(0, n // 4 + 1))
+            b = np.append(a, r.integers(0, 1 << 62, grow))
+            drop = 0
+            while 100 * (n - drop - 1) >= 80 * (n + grow) and r.random() < 0.97:
+                drop += 1
+            b = np.sort(np.delete(b, r.choice(n, drop, replace=False)))
+            if not len(b) or 100 * (n - drop) < 80 * (n + grow):
+                continue
+            t, row = jaccard.listed_groups(np.concatenate([a, b]), np.array([0, n, n + len(b)]))
+            x, y = set(t[row == 0].tolist()), set(t[row == 1].tolist())
+            for size in (n, len(b)):
+                assert len(x & y) >= size * 80 // (jaccard.MARGIN * 100) + 1
+
+
+def test_hot_groups_are_spread_and_kept(frame, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT", 4)
+    base = prose(90, 5)
+    rows = [(k, edited(base, 0.01, k), "s", "k") for k in range(30)] + [(100 + k, prose(90, 50 + k), "s", "k") for k in range(20)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(frame(rows)).collect()}
+    assert got == plain_components(rows)
 
 
 def test_tree_never_loses_a_candidate():
