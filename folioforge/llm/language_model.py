@@ -4,9 +4,9 @@ The commonest words of the corpus are the head: classes of HEAD_CLASS words by r
 classes by their ending. The network predicts the class of the next word (class-factored softmax) and, in a head class,
 the word; in a tail class the word has its smoothed share of the class's counts, so every text has a probability. Counts
 cover the whole corpus. The network starts from a bounded sample; then it learns from every training document, in turns:
-in each, every part of the corpus trains a copy on its documents of that turn, and the next turn starts from the mean of
-the copies. Gradients are truncated after WINDOW words while the state runs on; in scoring it runs through the whole
-document.
+in each, the documents of that turn are dealt by hash into parts of about COPY words, a copy trains on each part, and the
+next turn starts from the mean of the copies: scores depend on the rows alone, not on how they lie in files. Gradients
+are truncated after WINDOW words while the state runs on; in scoring it runs through the whole document.
 
 Only what a document's rare words add depends on counts that are too many for a task: it is a sum over words, and comes
 from a join.
@@ -23,14 +23,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.llm.common import LOWER, mix, range_hash, stored, text_slices, word_bounds
-from folioforge.llm.jaccard import lists
+from folioforge.llm.jaccard import by_group, lists
 
-HEAD, HEAD_CLASS, TAILS = 512, 16, 64
+HEAD, HEAD_CLASS, TAILS = 1024, 32, 64
 HIDDEN, WINDOW, LANES = 24, 20, 128
+#: Words of a text that training runs through before the state starts anew; scoring runs through the whole text.
+PIECE = 2000
 #: Documents of the first training, at most, and its rounds.
 SAMPLE, ROUNDS = 1200, 3
 #: The training documents are dealt into TURNS turns by hash; each turn trains on from the mean of the turn before.
 TURNS, RATE = 4, 0.001
+#: Words that one copy learns from in a turn, about; copies that are added up at a time.
+COPY, FAN = 1_000_000, 32
 #: Words whose counts every task holds, at most: the commonest.
 COMMON = 300_000
 END = HEAD
@@ -92,11 +96,22 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def commonest(counts: DataFrame, most: int | None = None) -> pd.DataFrame:
-    """The words above the least count that at most `most` words reach, by count, then hash: one filter, no global sort."""
-    sizes = counts.groupBy(F.least("c", F.lit(10_000)).alias("c")).count().toPandas().sort_values("c", ascending=False)  # at most 10,000 rows
-    fits = sizes["c"][sizes["count"].cumsum() <= (most or COMMON)]
-    got = counts.where(F.col("c") >= (int(fits.min()) if len(fits) else 1 << 62)).toPandas()
-    return got.sort_values(["c", "h"], ascending=[False, True], ignore_index=True)
+    """About the `most` commonest words (all, if fewer; never more), by count, then hash.
+
+    Two histograms of at most 65,536 rows find the cut, without a global sort: counts to ten binary digits tell which
+    words are in for certain; of those at the cut, the ones whose mixed hash is below a bound.
+    """
+    most = most or COMMON
+    rows = counts.withColumns({"_b": F.expr("CAST(floor(log2(c)) AS BIGINT)") * 4096 + F.expr("c >> greatest(CAST(floor(log2(c)) AS INT) - 10, 0)"), "_p": F.shiftrightunsigned(F.xxhash64("h"), 48)})
+    sizes = rows.groupBy("_b").count().toPandas().sort_values("_b", ascending=False)
+    total = sizes["count"].cumsum()
+    over = sizes["_b"][total > most]
+    if len(over):
+        edge, room = int(over.iloc[0]), most - int(total[total <= most].max() if (total <= most).any() else 0)
+        places = rows.where(F.col("_b") == edge).groupBy("_p").count().toPandas().sort_values("_p")
+        fits = places["_p"][places["count"].cumsum() <= room]
+        rows = rows.where((F.col("_b") > edge) | ((F.col("_b") == edge) & (F.col("_p") <= (int(fits.max()) if len(fits) else -1))))
+    return rows.select("h", "c", "tail").toPandas().sort_values(["c", "h"], ascending=[False, True], ignore_index=True)
 
 
 # The network ---------------------------------------------------------------------------------------------------------
@@ -106,11 +121,6 @@ def sigmoid(x):
     return 1 / (1 + np.exp(-x))
 
 
-def softmax_log(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(-1, keepdims=True)
-    return z - np.log(np.exp(z).sum(-1, keepdims=True))
-
-
 class Network:
     """Gated recurrent units over symbols with a class-factored output; parameters are one flat vector of float32."""
 
@@ -144,35 +154,40 @@ class Network:
             out[t] = h
         return out
 
+    def in_class(self, h: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rows, cuts, logits): the rows whose target is a head word, sorted by class, and the logits of their class's words."""
+        rows = np.flatnonzero(y < HEAD)
+        rows = rows[np.argsort(y[rows] // HEAD_CLASS, kind="stable")]
+        cuts = np.searchsorted(y[rows] // HEAD_CLASS, np.arange(HEAD // HEAD_CLASS + 1)).tolist()
+        z, own = np.empty((len(rows), HEAD_CLASS), h.dtype), h[rows]
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if b > a:
+                z[a:b] = own[a:b] @ self.p["w"][k * HEAD_CLASS : (k + 1) * HEAD_CLASS].T
+        z += self.p["wb"].reshape(-1, HEAD_CLASS)[y[rows] // HEAD_CLASS]
+        z -= z.max(1, keepdims=True)
+        return rows, cuts, z
+
     def log_probability(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each target symbol: its class and, in the head, the word in it."""
-        cls = class_of(target)
         z = h @ self.p["c"] + self.p["cb"]
-        top = z.max() if z.size else 0.0  # one shift for all: logits stay far from the limits of a float
-        z -= top
-        out = z[np.arange(len(z)), cls] - np.log(np.exp(z).sum(1) + 1e-30)
-        head = np.flatnonzero(target < HEAD)
-        head = head[np.argsort(cls[head], kind="stable")]
-        cuts = np.searchsorted(cls[head], np.arange(HEAD // HEAD_CLASS + 1))
-        for k in range(HEAD // HEAD_CLASS):
-            rows = head[cuts[k] : cuts[k + 1]]
-            if len(rows):
-                own = slice(k * HEAD_CLASS, (k + 1) * HEAD_CLASS)
-                y = h[rows] @ self.p["w"][own].T + self.p["wb"][own]
-                y -= y.max(1, keepdims=True)
-                out[rows] += y[np.arange(len(rows)), target[rows] % HEAD_CLASS] - np.log(np.exp(y).sum(1))
+        z -= z.max() if z.size else 0.0  # one shift for all: logits stay far from the limits of a float
+        out = z[np.arange(len(z)), class_of(target)] - np.log(np.exp(z).sum(1) + 1e-30)
+        rows, _, y = self.in_class(h, target)
+        out[rows] += y[np.arange(len(rows)), target[rows] % HEAD_CLASS] - np.log(np.exp(y).sum(1))
         return out
 
     def train(self, symbols: list[np.ndarray], rounds: int, rate: float, lanes: int = 48, seed: int = 0) -> int:
         """Truncated backpropagation through time over documents laid out in lanes; the number of words seen."""
-        inputs, targets, keep, _ = laid_out(symbols, lanes)
+        inputs, targets, keep, _ = laid_out([s[i : i + PIECE] for s in symbols for i in range(0, len(s), PIECE)], lanes)
+        sizes = (targets >= 0).sum(0)
         square, first = np.full_like(self.flat, 1e-6), np.zeros_like(self.flat)
         step = 0
         for k in range(rounds):
             h = np.zeros((inputs.shape[1], HIDDEN), np.float32)
             for lo in range(0, len(inputs), WINDOW):
-                i, y, m = inputs[lo : lo + WINDOW], targets[lo : lo + WINDOW], keep[lo : lo + WINDOW]
-                g, h = self.gradients(i, y, m, h)
+                live = np.searchsorted(-sizes, -lo)  # the lanes that still have words: the first ones
+                i, y, m = (np.ascontiguousarray(x[lo : lo + WINDOW, :live]) for x in (inputs, targets, keep))
+                g, h = self.gradients(i, y, m, h[:live])
                 step += 1
                 first = 0.9 * first + 0.1 * g
                 square = 0.995 * square + 0.005 * g * g
@@ -187,37 +202,43 @@ class Network:
         h, y = states.reshape(-1, HIDDEN)[rows], targets.ravel()[rows]
         grads = Network(np.zeros_like(self.flat))
         n = max(len(rows), 1)
-        cls = class_of(y)
-        e = np.exp(softmax_log(h @ self.p["c"] + self.p["cb"]))
-        e[np.arange(len(y)), cls] -= 1
+        e = h @ self.p["c"] + self.p["cb"]
+        e -= e.max(1, keepdims=True)
+        np.exp(e, out=e)
+        e /= e.sum(1, keepdims=True)
+        e[np.arange(len(y)), class_of(y)] -= 1
         e /= n
         grads.p["c"][:], grads.p["cb"][:] = h.T @ e, e.sum(0)
         down = e @ self.p["c"].T
-        head = np.flatnonzero(y < HEAD)
-        head = head[np.argsort(cls[head], kind="stable")]
-        cuts = np.searchsorted(cls[head], np.arange(HEAD // HEAD_CLASS + 1))
-        for k in np.flatnonzero(np.diff(cuts)):
-            at, own = head[cuts[k] : cuts[k + 1]], slice(k * HEAD_CLASS, (k + 1) * HEAD_CLASS)
-            f = np.exp(softmax_log(h[at] @ self.p["w"][own].T + self.p["wb"][own]))
-            f[np.arange(len(at)), y[at] % HEAD_CLASS] -= 1
-            f /= n
-            grads.p["w"][own], grads.p["wb"][own] = f.T @ h[at], f.sum(0)
-            down[at] += f @ self.p["w"][own]
+        at, cuts, f = self.in_class(h, y)
+        np.exp(f, out=f)
+        f /= f.sum(1, keepdims=True)
+        f[np.arange(len(at)), y[at] % HEAD_CLASS] -= 1
+        f /= n
+        own, more = h[at], np.empty((len(at), HIDDEN), f.dtype)
+        for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+            if b > a:
+                words = slice(k * HEAD_CLASS, (k + 1) * HEAD_CLASS)
+                grads.p["w"][words], grads.p["wb"][words] = f[a:b].T @ own[a:b], f[a:b].sum(0)
+                more[a:b] = f[a:b] @ self.p["w"][words]
+        down[at] += more
         d_states = np.zeros((states.shape[0] * states.shape[1], HIDDEN), np.float32)
         d_states[rows] = down
         d_states = d_states.reshape(states.shape)
-        u, dh = self.p["u"], np.zeros_like(h0)
-        d_gates = np.empty((*inputs.shape, 3 * HIDDEN), np.float32)
+        back, dh = np.ascontiguousarray(self.p["u"].T), np.zeros_like(h0)
+        d_gates, d_inner = (np.empty((*inputs.shape, 3 * HIDDEN), np.float32) for _ in range(2))
         for t in range(len(inputs) - 1, -1, -1):
             hp, r, z, nn, gn = memo[t]
             dh = dh + d_states[t]
             dn = dh * (1 - z) * (1 - nn * nn)
-            dz = dh * (hp - nn) * z * (1 - z)
-            dr = dn * gn * r * (1 - r)
-            dg = np.concatenate([dr, dz, dn * r], 1)
-            d_gates[t] = np.concatenate([dr, dz, dn], 1)
-            grads.p["u"] += hp.T @ dg
-            dh = (dh * z + dg @ u.T) * keep[t][:, None]
+            g = d_gates[t]
+            np.multiply(dn * gn, r * (1 - r), out=g[:, :HIDDEN])
+            np.multiply(dh * (hp - nn), z * (1 - z), out=g[:, HIDDEN : 2 * HIDDEN])
+            g[:, 2 * HIDDEN :] = dn
+            d_inner[t] = g
+            d_inner[t, :, 2 * HIDDEN :] *= r
+            dh = (dh * z + d_inner[t] @ back) * keep[t][:, None]
+        grads.p["u"][:] = np.concatenate([m[0] for m in memo]).T @ d_inner.reshape(-1, 3 * HIDDEN)
         order = np.argsort(inputs.ravel(), kind="stable")
         used, first = np.unique(inputs.ravel()[order], return_index=True)
         grads.p["x"][used] = np.add.reduceat(d_gates.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
@@ -226,13 +247,15 @@ class Network:
     def document_scores(self, symbols: list[np.ndarray]) -> np.ndarray:
         """Natural log probability of the class-and-head part of each document, with the state carried to its end."""
         inputs, targets, keep, doc = laid_out(symbols, LANES)
-        h, out = np.zeros((inputs.shape[1], HIDDEN), np.float32), np.zeros(len(symbols))
+        h, out, sizes = np.zeros((inputs.shape[1], HIDDEN), np.float32), np.zeros(len(symbols)), (targets >= 0).sum(0)
         for lo in range(0, len(inputs), 64):
-            states = self.states(inputs[lo : lo + 64], keep[lo : lo + 64], h)
+            live = np.searchsorted(-sizes, -lo)
+            i, y, m, d = (np.ascontiguousarray(x[lo : lo + 64, :live]) for x in (inputs, targets, keep, doc))
+            states = self.states(i, m, h[:live])
             h = states[-1]
-            rows = np.flatnonzero(targets[lo : lo + 64].ravel() >= 0)
-            got = self.log_probability(states.reshape(-1, HIDDEN)[rows], targets[lo : lo + 64].ravel()[rows])
-            out += np.bincount(doc[lo : lo + 64].ravel()[rows], got.astype(np.float64), len(symbols))
+            rows = np.flatnonzero(y.ravel() >= 0)
+            got = self.log_probability(states.reshape(-1, HIDDEN)[rows], y.ravel()[rows])
+            out += np.bincount(d.ravel()[rows], got.astype(np.float64), len(symbols))
         return out
 
 
@@ -242,13 +265,15 @@ def class_of(symbol: np.ndarray) -> np.ndarray:
 
 def laid_out(symbols: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(inputs, targets, keep, document) as (time, lanes): whole documents one after another, the longest first, each in
-    the lane with the least. A document's input is its own text, one word late, after an END; targets past the last are -1."""
+    the lane with the least, lanes with more words first. A document's input is its own text, one word late, after an END;
+    targets past the last are -1."""
     lanes = max(1, min(lanes, len(symbols)))
     heap, rows = [(0, k) for k in range(lanes)], [[] for _ in range(lanes)]
     for d in sorted(range(len(symbols)), key=lambda d: (-len(symbols[d]), d)):
         size, k = heap[0]
         rows[k].append(d)
         heapq.heapreplace(heap, (size + len(symbols[d]), k))
+    rows = [rows[k] for _, k in sorted(heap, key=lambda x: (-x[0], x[1]))]
     steps = max((s for s, _ in heap), default=0)
     targets, doc = np.full((lanes, steps), -1, np.int64), np.zeros((lanes, steps), np.int64)
     keep = np.ones((lanes, steps), np.float32)
@@ -281,37 +306,41 @@ class Vocabulary:
         return [np.append(out[cuts[i] : cuts[i + 1]], END) for i in range(n)]
 
 
-def averaged(docs: DataFrame, text: str, words: Vocabulary, start: np.ndarray, rate: float) -> np.ndarray:
-    """The mean, by words, of copies of the network that each part of `docs` has trained on."""
-    shared = docs.sparkSession.sparkContext.broadcast((words, start))
+def added(rows: DataFrame, size: int) -> DataFrame:
+    """(part, n, w): the sums of n and w over each FAN parts in a row, always in the order of the parts."""
 
-    def run(batches):
-        v, first = shared.value
-        net, seen, held, size = Network(first), 0, [], 0
-        for batch in batches:
-            for lo, hi, data, offs in text_slices(batch.column(0)):
-                held += v.symbols(*words_of(data, offs), hi - lo)
-                size += len(data)
-                if size > 4_000_000:
-                    seen += net.train(held, 1, rate, LANES)
-                    held, size = [], 0
-        if held:
-            seen += net.train(held, 1, rate, LANES)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen]), pa.array([(net.flat * np.float64(seen)).tobytes()])], ["n", "w"])
+    def body(t: pa.Table):
+        total = np.zeros(size)
+        for w in t["w"].to_pylist():
+            total += np.frombuffer(w)
+        yield pa.RecordBatch.from_arrays([t["part"][:1].combine_chunks(), pa.array([sum(t["n"].to_pylist())]), pa.array([total.tobytes()])], ["part", "n", "w"])
 
-    def added(batches):
-        n, total = 0, np.zeros(len(start))
-        for batch in batches:
-            n += sum(batch.column(0).to_pylist())
-            for w in batch.column(1).to_pylist():
-                total += np.frombuffer(w)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total.tobytes()])], ["n", "w"])
+    dealt = rows.select(F.expr(f"part DIV {FAN}").alias("part"), F.col("part").alias("_at"), "n", "w")
+    return dealt.repartition("part").sortWithinPartitions("part", "_at").select("part", "n", "w").mapInArrow(by_group([], body), "part long, n long, w binary")
+
+
+def averaged(parts: DataFrame, copies: int, words: Vocabulary, start: np.ndarray, rate: float) -> np.ndarray:
+    """The mean, by words, of copies of the network: one trains on each part of rows (part, o, text), in the order of o.
+
+    What a copy sees is settled by the parts alone, not by files or tasks. The copies are added up FAN at a time, so no
+    task and not the driver holds more than FAN of them.
+    """
+    shared = parts.sparkSession.sparkContext.broadcast((words, start))
+
+    def body(t: pa.Table):
+        v, first = shared.value
+        net, symbols = Network(first), []
+        for lo, hi, data, offs in text_slices(t["text"]):
+            symbols += v.symbols(*words_of(data, offs), hi - lo)
+        seen = net.train(symbols, 1, rate, LANES)
+        yield pa.RecordBatch.from_arrays([t["part"][:1].combine_chunks(), pa.array([seen]), pa.array([(net.flat * np.float64(seen)).tobytes()])], ["part", "n", "w"])
 
-    got = docs.select(text).mapInArrow(run, "n long, w binary").repartition(8).mapInArrow(added, "n long, w binary").collect()  # 8 rows
-    n = sum(r.n for r in got)
-    return start if not n else (sum(np.frombuffer(r.w) for r in got) / n).astype(np.float32)
+    got = parts.repartition(max(copies, 1), "part").sortWithinPartitions("part", "o").select("part", "text").mapInArrow(by_group([], body), "part long, n long, w binary")
+    while copies > FAN:
+        got, copies = added(got, len(start)), -(-copies // FAN)
+    rows = sorted(got.collect(), key=lambda r: r.part)  # FAN rows at most
+    n = sum(r.n for r in rows)
+    return start if not n else (sum(np.frombuffer(r.w) for r in rows) / n).astype(np.float32)
 
 
 def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -345,9 +374,10 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
         sample += words.symbols(*words_of(data, offs), hi - lo)
     if sample:
         net.train(sample, ROUNDS, 0.01)
-    weights, turn = net.flat.copy(), F.pmod(F.xxhash64("key", "text", F.lit(31)), F.lit(TURNS))
-    for k in range(TURNS):
-        weights = averaged(learn.where(turn == k), "text", words, weights, RATE)
+    weights, copies = net.flat.copy(), -(-total // (TURNS * COPY))
+    dealt = learn.select(F.pmod(F.xxhash64("key", "text", F.lit(31)), F.lit(TURNS * copies)).alias("part"), F.xxhash64("text", "key").alias("o"), F.coalesce("text", F.lit("")).alias("text"))
+    for k in range(TURNS if copies else 0):
+        weights = averaged(dealt.where(F.expr(f"part % {TURNS} = {k}")).withColumn("part", F.expr(f"part DIV {TURNS}")), copies, words, weights, RATE)
 
     order = np.argsort(common["h"].to_numpy().astype(np.int64).view(np.uint64)) if len(common) else np.zeros(0, int)
     held_h = common["h"].to_numpy().astype(np.int64).view(np.uint64)[order]

@@ -244,21 +244,35 @@ def test_scores_base_and_held_out(frame, monkeypatch):
 
 
 def test_every_training_document_is_learnt_from(frame, monkeypatch):
+    monkeypatch.setattr(language_model, "COPY", 150)
+    monkeypatch.setattr(language_model, "FAN", 2)
     rows = [(k, prose(12, k), "s", "k") for k in range(200)] + [(None, "no key", "s", "k"), (7, None, "s", "k"), (8, "twice", "s", "k"), (8, "twice", "s", "k")]
     held = F.coalesce(F.col("doc_id") % 7 == 2, F.lit(False))
     seen, starts, whole = [], [], language_model.averaged
 
-    def noted(docs, text, words, start, rate):
-        seen.extend(r[0] or "" for r in docs.select(text).collect())
-        starts.append(start)
-        done = whole(docs, text, words, start, rate)
+    def noted(parts, copies, words, start, rate):
+        seen.extend(r[0] for r in parts.select("text").collect())
+        starts.append((start, copies))
+        done = whole(parts, copies, words, start, rate)
         assert not np.array_equal(done, start)
         return done
 
     monkeypatch.setattr(language_model, "averaged", noted)
-    assert language_model.score(frame(rows), held).count() == len(rows)
+    first = {(r.doc_id, r.n_tokens): r.score for r in language_model.score(frame(rows), held).collect()}
     assert sorted(seen) == sorted(t or "" for k, t, *_ in rows if k is None or k % 7 != 2)
-    assert len(starts) > 1 and not any(np.array_equal(a, b) for a, b in zip(starts, starts[1:]))
+    assert len(starts) == 4 and starts[0][1] > 2 and not any(np.array_equal(a[0], b[0]) for a, b in zip(starts, starts[1:]))
+    # however the rows lie in partitions, the scores are the same
+    again = {(r.doc_id, r.n_tokens): r.score for r in language_model.score(frame(rows[::-1]).repartition(7), held).collect()}
+    assert again == pytest.approx(first, rel=1e-6)
+
+
+def test_commonest_words_are_never_too_many_and_never_none(spark):
+    many = spark.createDataFrame([(h, 10_000, 0) for h in range(6)] + [(10 + h, 3, 0) for h in range(9)], "h long, c long, tail long")
+    got = language_model.commonest(many, 3)
+    assert len(got) == 3 and set(got["c"]) == {10_000}
+    got = language_model.commonest(many, 8)
+    assert len(got) == 8 and (got["c"] == 10_000).sum() == 6
+    assert len(language_model.commonest(many, 100)) == 15 and not len(language_model.commonest(many.limit(0), 5))
 
 
 # Pages -------------------------------------------------------------------------------------------------------------------
