@@ -22,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import LOWER, mix, range_hash, stored, text_slices, word_bounds
+from folioforge.llm.common import LOWER, discard, mix, range_hash, stored, text_slices, word_bounds
 from folioforge.llm.jaccard import by_group, lists
 
 HEAD, HEAD_CLASS, TAILS = 1024, 32, 64
-HIDDEN, WINDOW, LANES = 24, 20, 128
+HIDDEN, WINDOW, LANES = 24, 20, 256
 #: Words of a text that training runs through before the state starts anew; scoring runs through the whole text.
 PIECE = 2000
 #: Documents of the first training, at most, and its rounds.
@@ -34,7 +34,7 @@ SAMPLE, ROUNDS = 1200, 3
 #: The training documents are dealt into TURNS turns by hash; each turn trains on from the mean of the turn before.
 TURNS, RATE = 4, 0.001
 #: Words that one copy learns from in a turn, about; copies that are added up at a time.
-COPY, FAN = 1_000_000, 32
+COPY, FAN = 2_000_000, 32
 #: Words whose counts every task holds, at most: the commonest.
 COMMON = 300_000
 END = HEAD
@@ -275,7 +275,7 @@ def laid_out(symbols: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndar
         heapq.heapreplace(heap, (size + len(symbols[d]), k))
     rows = [rows[k] for _, k in sorted(heap, key=lambda x: (-x[0], x[1]))]
     steps = max((s for s, _ in heap), default=0)
-    targets, doc = np.full((lanes, steps), -1, np.int64), np.zeros((lanes, steps), np.int64)
+    targets, doc = np.full((lanes, steps), -1, np.int32), np.zeros((lanes, steps), np.int32)
     keep = np.ones((lanes, steps), np.float32)
     for k, ds in enumerate(rows):
         at = 0
@@ -319,23 +319,33 @@ def added(rows: DataFrame, size: int) -> DataFrame:
     return dealt.repartition("part").sortWithinPartitions("part", "_at").select("part", "n", "w").mapInArrow(by_group([], body), "part long, n long, w binary")
 
 
-def averaged(parts: DataFrame, copies: int, words: Vocabulary, start: np.ndarray, rate: float) -> np.ndarray:
-    """The mean, by words, of copies of the network: one trains on each part of rows (part, o, text), in the order of o.
+def symbol_rows(rows: DataFrame, words: Vocabulary) -> DataFrame:
+    """(part, o, sym): the symbols of each text of rows (part, o, text), two bytes each."""
+    shared = rows.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches):
+        for batch in batches:
+            for lo, hi, data, offs in text_slices(batch.column(2)):
+                got = [x.astype(np.uint16).tobytes() for x in shared.value.symbols(*words_of(data, offs), hi - lo)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(got, pa.binary())], ["part", "o", "sym"])
+
+    return rows.select("part", "o", "text").mapInArrow(run, "part long, o long, sym binary")
+
+
+def averaged(parts: DataFrame, copies: int, start: np.ndarray, rate: float) -> np.ndarray:
+    """The mean, by words, of copies of the network: one trains on each part of rows (part, o, sym), in the order of o.
 
     What a copy sees is settled by the parts alone, not by files or tasks. The copies are added up FAN at a time, so no
     task and not the driver holds more than FAN of them.
     """
-    shared = parts.sparkSession.sparkContext.broadcast((words, start))
+    shared = parts.sparkSession.sparkContext.broadcast(start)
 
     def body(t: pa.Table):
-        v, first = shared.value
-        net, symbols = Network(first), []
-        for lo, hi, data, offs in text_slices(t["text"]):
-            symbols += v.symbols(*words_of(data, offs), hi - lo)
-        seen = net.train(symbols, 1, rate, LANES)
+        net = Network(shared.value)
+        seen = net.train([np.frombuffer(x, np.uint16).astype(np.int32) for x in t["sym"].to_pylist()], 1, rate, LANES)
         yield pa.RecordBatch.from_arrays([t["part"][:1].combine_chunks(), pa.array([seen]), pa.array([(net.flat * np.float64(seen)).tobytes()])], ["part", "n", "w"])
 
-    got = parts.repartition(max(copies, 1), "part").sortWithinPartitions("part", "o").select("part", "text").mapInArrow(by_group([], body), "part long, n long, w binary")
+    got = parts.repartition(max(copies, 1), "part").sortWithinPartitions("part", "o").select("part", "sym").mapInArrow(by_group([], body), "part long, n long, w binary")
     while copies > FAN:
         got, copies = added(got, len(start)), -(-copies // FAN)
     rows = sorted(got.collect(), key=lambda r: r.part)  # FAN rows at most
@@ -366,18 +376,17 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     tail_words, tail_kinds = (sums["c"] - of_head["sum"]).to_numpy(float), (sums["v"] - of_head["count"]).to_numpy(float)
     shares = np.concatenate([np.add.reduceat(np.append(common["c"].to_numpy(float)[:HEAD], np.zeros(HEAD - len(head))), np.arange(0, HEAD, HEAD_CLASS)), [ends], tail_words]) + 1.0
 
-    drawn = learn.select(F.xxhash64("key", "text").alias("o"), "key").orderBy("o", "key").limit(SAMPLE)
-    texts = learn.withColumn("o", F.xxhash64("key", "text")).join(F.broadcast(drawn.select("o").distinct()), "o", "left_semi").orderBy("o").select("text").limit(SAMPLE).toArrow()["text"]
+    copies = max(1, -(-total // (TURNS * COPY)))
+    part = F.pmod(F.xxhash64("key", "text", F.lit(31)), F.lit(TURNS * copies))
+    dealt = stored(symbol_rows(learn.select(part.alias("part"), F.xxhash64("text", "key").alias("o"), "text"), words))
     net = Network(shares=shares / shares.sum())
-    sample: list[np.ndarray] = []
-    for lo, hi, data, offs in text_slices(texts):
-        sample += words.symbols(*words_of(data, offs), hi - lo)
+    sample = [np.frombuffer(r.sym, np.uint16).astype(np.int32) for r in dealt.orderBy("o", "sym").limit(SAMPLE).select("sym").collect()]
     if sample:
         net.train(sample, ROUNDS, 0.01)
-    weights, copies = net.flat.copy(), -(-total // (TURNS * COPY))
-    dealt = learn.select(F.pmod(F.xxhash64("key", "text", F.lit(31)), F.lit(TURNS * copies)).alias("part"), F.xxhash64("text", "key").alias("o"), F.coalesce("text", F.lit("")).alias("text"))
-    for k in range(TURNS if copies else 0):
-        weights = averaged(dealt.where(F.expr(f"part % {TURNS} = {k}")).withColumn("part", F.expr(f"part DIV {TURNS}")), copies, words, weights, RATE)
+    weights = net.flat.copy()
+    for k in range(TURNS if sample else 0):
+        weights = averaged(dealt.where(F.expr(f"part % {TURNS} = {k}")).withColumn("part", F.expr(f"part DIV {TURNS}")), copies, weights, RATE)
+    discard(dealt)
 
     order = np.argsort(common["h"].to_numpy().astype(np.int64).view(np.uint64)) if len(common) else np.zeros(0, int)
     held_h = common["h"].to_numpy().astype(np.int64).view(np.uint64)[order]
@@ -392,7 +401,7 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
         v, w, hs, logs, is_tail, tails, end_log = shared.value
         net = Network(w)
         for batch in batches:
-            for lo, hi, data, offs in text_slices(batch.column(2), 6_000_000):
+            for lo, hi, data, offs in text_slices(batch.column(2), 12_000_000):
                 n = hi - lo
                 parts = [words_of(data[a:b], o) for a, b, o in cut(data, offs)]
                 firsts = np.cumsum([0, *(len(o) - 1 for _, _, o in cut(data, offs))])
