@@ -4,8 +4,9 @@ A merge can only be prevented by a merge of higher priority that straddles its r
 merge of still higher priority. Following these chains through the merge list, highest priority first, bounds how many
 symbols to the right can have a say in a token boundary: the sufficient lookahead. The transducer holds one window of
 symbols, emits the tokens that end at least that far before the window's end, and drops their symbols, so its memory
-does not grow with the input. Decoding runs ids through a machine that holds at most three bytes of an unfinished
-character.
+does not grow with the input. Texts come in pieces, every word of them goes through the transducer, and a word that is
+longer than a piece stays open in it. Decoding runs ids through a machine that holds at most three bytes of an
+unfinished character.
 """
 
 from __future__ import annotations
@@ -24,8 +25,10 @@ from pyspark.sql import DataFrame
 
 #: Symbols that are merged at a time in addition to the lookahead.
 WINDOW = 4096
-#: Entries of a worker's memo of whole words; it starts anew when full.
+#: Entries of a worker's memo of what the transducer made of whole words; it starts anew when full.
 MEMO = 600_000
+#: Characters of a text that are split into words at a time.
+PIECE = 1 << 16
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -169,15 +172,22 @@ class Encoder:
 
 
 class Decoder:
-    """Ids to text, as they come: bytes of an unfinished character wait in the state; malformed ones become U+FFFD."""
+    """Ids to text, as they come: bytes of an unfinished character wait in the state; malformed ones become U+FFFD.
 
-    def __init__(self, vocabulary: Vocabulary):
+    `table` has the bytes of each id, `between` those between two ids.
+    """
+
+    def __init__(self, table: dict[int, bytes], between: bytes = b""):
         import codecs
 
-        self.bytes_of, self.machine = vocabulary.bytes_of, codecs.getincrementaldecoder("utf-8")("replace")
+        self.table, self.between, self.machine, self.begun = table, between, codecs.getincrementaldecoder("utf-8")("replace"), False
 
-    def push(self, token: int) -> str:
-        return self.machine.decode(self.bytes_of[token])
+    def push(self, ids: Iterable[int]) -> str:
+        data = self.between.join(map(self.table.__getitem__, ids))
+        if self.begun:
+            data = self.between + data
+        self.begun = True
+        return self.machine.decode(data)
 
     def finish(self) -> str:
         return self.machine.decode(b"", True)
@@ -197,18 +207,18 @@ def _ranges(kind: str, top: int = 0x250) -> str:
 
 
 class Memo(dict):
-    """Words to their ids; starts anew when full, and leaves out long words."""
+    """Words to what the transducer makes of them; starts anew when full, and does not keep long words."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.v = vocabulary
+        self.encoder = Encoder(vocabulary)
 
     def __missing__(self, word: str) -> tuple[int, ...]:
         data = word.encode()
-        if len(data) > 64:
-            return tuple(Encoder(self.v).word(data))
-        if len(self) >= MEMO:
-            self.clear()
-        got = self[word] = tuple(self.v.merged([*map(self.v.single.__getitem__, data[:-1]), self.v.final[data[-1]]]))
+        got = tuple(self.encoder.word(data))
+        if len(data) <= 64:
+            if len(self) >= MEMO:
+                self.clear()
+            self[word] = got
         return got
 
 
@@ -224,31 +234,96 @@ class Tokenizer:
         self.near = re.compile(f"{self.ENDINGS}|[{letter}]+|[{number}]|[^{space}{letter}{number}]+").findall
         self.far = regex.compile(rf"{self.ENDINGS}|\p{{L}}+|\p{{N}}|[^\p{{White_Space}}\p{{L}}\p{{N}}]+").findall
         self.other = re.compile("[^\\u0000-\\u024f]").search
+        #: What continues an open word: letters after letters, marks after marks; a number never goes on.
+        self.runs = [regex.compile(rf"\p{{L}}+"), regex.compile(rf"[^\p{{White_Space}}\p{{L}}\p{{N}}]+")]
         self.memo = Memo(self.v)
+        self.bytes_of = self.v.bytes_of
+        self.printed = {i: t.encode() for i, t in self.v.names.items()}
 
-    def words(self, text: str) -> list[str]:
+    def normal(self, text: str) -> str:
         if not text.isascii() and not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
-        text = text.replace("Σ", "σ").lower()  # characters are lowered one by one, without a final sigma
+        return text.replace("Σ", "σ").lower()  # characters are lowered one by one, without a final sigma
+
+    def words(self, text: str) -> list[str]:
         return self.far(text) if self.other(text) else self.near(text)
 
+    def settled(self, held: str) -> tuple[int, bool]:
+        """Up to where `held` can be split whatever follows, and whether that place may be inside a word; 0: nowhere yet."""
+        for space in " \n\t\r":
+            if (at := held.rfind(space)) >= 0:
+                return at + 1, False
+        for at in range(len(held) - 1, max(len(held) - 4096, 20), -1):
+            a, b = held[at - 1], held[at]
+            whole = not (unicodedata.combining(a) or unicodedata.combining(b)) and unicodedata.is_normalized("NFC", a + b)
+            if whole and "<" not in held[at - 20 : at] and "'" not in held[at - 3 : at]:
+                return at, True
+        return 0, False
+
+    def stream(self, pieces: Iterable[str]) -> Iterator[Iterable[int]]:
+        """The ids of the text that the pieces make up, as soon as they are stable. A piece, its overhang and one open word's
+        window are all that is held."""
+        held, open_word = "", None  # (run that goes on, its transducer)
+
+        def split(text: str, cut: bool):
+            nonlocal open_word
+            parts = self.v.marks.split(text) if self.v.marks and "<|" in text else [text]
+            for k, part in enumerate(parts):
+                inside = cut and k + 1 == len(parts)
+                if part in self.v.added:
+                    if open_word:
+                        yield open_word[1].finish()
+                        open_word = None
+                    yield (self.v.added[part],)
+                    continue
+                part = self.normal(part)
+                if open_word:
+                    more = open_word[0].match(part)
+                    if more:
+                        yield open_word[1].push(more[0].encode())
+                        part = part[more.end() :]
+                    if not part and inside:
+                        return
+                    yield open_word[1].finish()
+                    open_word = None
+                words = self.words(part)
+                if inside and words and part.endswith(words[-1]):
+                    last = words.pop()
+                    yield chain.from_iterable(map(self.memo.__getitem__, words))
+                    run = next((r for r in self.runs if r.fullmatch(last)), None)
+                    if run is None:
+                        yield self.memo[last]
+                    else:
+                        open_word = (run, Encoder(self.v))
+                        yield open_word[1].push(last.encode())
+                else:
+                    yield chain.from_iterable(map(self.memo.__getitem__, words))
+
+        for piece in pieces:
+            held += piece
+            if len(held) >= PIECE:
+                at, inside = self.settled(held)
+                if at:
+                    yield from split(held[:at], inside)
+                    held = held[at:]
+        yield from split(held, False)
 
     def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        for part in self.v.marks.split(text) if self.v.marks and "<|" in text else [text]:
-            if part in self.v.added:
-                ids.append(self.v.added[part])
-            else:
-                ids.extend(chain.from_iterable(map(self.memo.__getitem__, self.words(part))))
-        return ids
+        if len(text) < PIECE:
+            return list(chain.from_iterable(self.stream((text,))))
+        return list(chain.from_iterable(self.stream(text[i : i + PIECE] for i in range(0, len(text), PIECE))))
+
+    def decoded(self, ids: list[int], table: dict[int, bytes], between: bytes, step: int = 4096) -> str:
+        machine = Decoder(table, between)
+        return "".join([*(machine.push(ids[i : i + step]) for i in range(0, len(ids), step)), machine.finish()])
 
-    def joined(self, ids: Iterable[int]) -> str:
-        """The vocabulary's strings, joined by a blank: what a file without a decoder states."""
-        return " ".join(map(self.v.names.__getitem__, ids))
+    def joined(self, ids: list[int]) -> str:
+        """The vocabulary's strings with a blank between: what a file without a decoder states."""
+        return self.decoded(ids, self.printed, b" ")
 
-    def text(self, ids: Iterable[int]) -> str:
-        machine = Decoder(self.v)
-        return "".join(map(machine.push, ids)) + machine.finish()
+    def text(self, ids: list[int]) -> str:
+        """The bytes that the ids stand for, a word's end as a blank."""
+        return self.decoded(ids, self.bytes_of, b"")
 
 
 _held: dict[str, Tokenizer] = {}
@@ -264,7 +339,8 @@ def tokenize(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text"
     """key, ids array<int>, decoded string for every row.
 
     A null text reads as empty: no ids, an empty decoded string. Repeated and null keys stay as they are; other columns
-    of `docs` are not read. Whole texts, no shuffle; a task holds `rows` texts at a time.
+    of `docs` are not read, and an empty table gives no rows. Whole texts, no shuffle; a task holds `rows` texts, their
+    ids and their decoded strings at a time.
     """
     kind = docs.schema[key].dataType.simpleString()
 

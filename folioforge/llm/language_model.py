@@ -27,6 +27,8 @@ from folioforge.llm.jaccard import by_group, lists
 
 HEAD, HEAD_CLASS, TAILS = 1024, 32, 64
 HIDDEN, WINDOW, LANES = 24, 20, 256
+#: Words that scoring takes at a time in each lane.
+STRIDE = 16
 #: Words of a text that training runs through before the state starts anew; scoring runs through the whole text.
 PIECE = 2000
 #: Documents of the first training, at most, and its rounds.
@@ -117,8 +119,12 @@ def commonest(counts: DataFrame, most: int | None = None) -> pd.DataFrame:
 # The network ---------------------------------------------------------------------------------------------------------
 
 
-def sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
 
 
 class Network:
@@ -171,9 +177,11 @@ class Network:
         """Natural log of the probability of each target symbol: its class and, in the head, the word in it."""
         z = h @ self.p["c"] + self.p["cb"]
         z -= z.max() if z.size else 0.0  # one shift for all: logits stay far from the limits of a float
-        out = z[np.arange(len(z)), class_of(target)] - np.log(np.exp(z).sum(1) + 1e-30)
+        out = z[np.arange(len(z)), class_of(target)]
+        out -= np.log(np.exp(z, out=z).sum(1) + 1e-30)
         rows, _, y = self.in_class(h, target)
-        out[rows] += y[np.arange(len(rows)), target[rows] % HEAD_CLASS] - np.log(np.exp(y).sum(1))
+        own = y[np.arange(len(rows)), target[rows] % HEAD_CLASS]
+        out[rows] += own - np.log(np.exp(y, out=y).sum(1))
         return out
 
     def train(self, symbols: list[np.ndarray], rounds: int, rate: float, lanes: int = 48, seed: int = 0) -> int:
@@ -248,9 +256,9 @@ class Network:
         """Natural log probability of the class-and-head part of each document, with the state carried to its end."""
         inputs, targets, keep, doc = laid_out(symbols, LANES)
         h, out, sizes = np.zeros((inputs.shape[1], HIDDEN), np.float32), np.zeros(len(symbols)), (targets >= 0).sum(0)
-        for lo in range(0, len(inputs), 64):
+        for lo in range(0, len(inputs), STRIDE):
             live = np.searchsorted(-sizes, -lo)
-            i, y, m, d = (np.ascontiguousarray(x[lo : lo + 64, :live]) for x in (inputs, targets, keep, doc))
+            i, y, m, d = (np.ascontiguousarray(x[lo : lo + STRIDE, :live]) for x in (inputs, targets, keep, doc))
             states = self.states(i, m, h[:live])
             h = states[-1]
             rows = np.flatnonzero(y.ravel() >= 0)
@@ -401,7 +409,7 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
         v, w, hs, logs, is_tail, tails, end_log = shared.value
         net = Network(w)
         for batch in batches:
-            for lo, hi, data, offs in text_slices(batch.column(2), 12_000_000):
+            for lo, hi, data, offs in text_slices(batch.column(2), 8_000_000):
                 n = hi - lo
                 parts = [words_of(data[a:b], o) for a, b, o in cut(data, offs)]
                 firsts = np.cumsum([0, *(len(o) - 1 for _, _, o in cut(data, offs))])

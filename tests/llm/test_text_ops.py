@@ -60,8 +60,60 @@ def test_transducer_emits_early_and_keeps_little(pair):
 def test_decoder_is_incremental(pair):
     t = pair[0]
     ids = t.encode("grün 漢字 😀!")
-    d = bpe.Decoder(t.v)
-    assert "".join(map(d.push, ids)) + d.finish() == t.text(ids) == "grün 漢字 😀! "
+    d = bpe.Decoder(t.bytes_of)
+    assert "".join(d.push([i]) for i in ids) + d.finish() == t.text(ids) == "grün 漢字 😀! "
+
+
+def test_texts_in_pieces(pair, monkeypatch):
+    mine, theirs = pair
+    r = random.Random(9)
+    runs = ["a", "lower", "!!", "'s", "'re'", "é", "e\u0301", "漢", "<|endoftext|>", "<|", "7", " ", "\n", "Ünï", "...", "\u3000", "ᄀ", "ᅡ"]
+    texts = ["".join(r.choice(runs) for _ in range(400)) for _ in range(30)] + ["".join(r.choice(runs[:6]) for _ in range(600)) for _ in range(10)] + ["x" * 30_000, "=" * 9_000, "字" * 5000]
+    for piece in (40, 300):
+        monkeypatch.setattr(bpe, "PIECE", piece)
+        for t in texts:
+            assert mine.encode(t) == theirs.encode(t, add_special_tokens=False).ids, t[:60]
+
+
+def test_early_tokens_equal_whole_merging_for_any_merge_list(tmp_path):
+    import json
+
+    for seed in range(25):
+        r = random.Random(seed)
+        vocab = {c: i for i, c in enumerate([*bpe.byte_alphabet().values(), *(c + "</w>" for c in bpe.byte_alphabet().values())])}
+        known, merges = list("abc"), []
+        for _ in range(r.randint(3, 40)):
+            a, b = r.choice(known), r.choice(known)
+            if len(a + b) <= 12 and a + b not in vocab:
+                vocab[a + b] = len(vocab)
+                known.append(a + b)
+                merges.append(f"{a} {b}")
+        if r.random() < 0.7:
+            a = r.choice(known)
+            if a + "b</w>" not in vocab:
+                vocab[a + "b</w>"] = len(vocab)
+                merges.insert(r.randint(0, len(merges)), f"{a} b</w>")
+                merges.sort(key=lambda m: max((merges.index(x) for x in merges if x.replace(" ", "") in m.split()), default=-1))
+        path = tmp_path / f"{seed}.json"
+        path.write_text(json.dumps({"added_tokens": [], "model": {"vocab": vocab, "merges": merges, "end_of_word_suffix": "</w>"}}))
+        v = bpe.Vocabulary(str(path))
+        for _ in range(20):
+            word = "".join(r.choice("aabbc") for _ in range(r.randint(1, 300))).encode()
+            assert bpe.Encoder(v, window=r.randint(1, 9)).word(word) == v.merged([*[v.single[b] for b in word[:-1]], v.final[word[-1]]]), (seed, word)
+
+
+def test_memory_stays_level_on_a_text_of_100_mb(pair):
+    import resource
+
+    t, piece = pair[0], (prose(12_000, 4) + " ")[: bpe.PIECE]
+    for ids in t.stream([piece] * 2):
+        list(ids)
+    before, count = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss, 0
+    for ids in t.stream(piece for _ in range(100_000_000 // len(piece))):
+        count += sum(1 for _ in ids)
+    for ids in t.stream("abcdefgh" * 8000 for _ in range(16)):  # one word of a million letters
+        count += sum(1 for _ in ids)
+    assert count > 10_000_000 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 60_000
 
 
 def test_bpe_operator_on_odd_rows(frame):
