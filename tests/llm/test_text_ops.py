@@ -316,6 +316,29 @@ def test_long_secrets_and_accounts_are_whole(frame):
     assert got[100].clean == got[100].text
 
 
+def test_recall_of_further_spans_in_several_languages(frame):
+    planted = {
+        "id_number": ["Ausweis 123-45-6789 liegt bei", "her SSN: 078-05-1120 was on file", "número 219-09-9999 del titular", "identité 457-55-5462 reçue", "social security number 321-54-9876"],
+        "spelled_email": ["reach jane.doe at example dot com today", "schreiben an max(at)firma(dot)de bitte", "correo ana_lopez [at] correo [dot] es ahora", "p.martin at exemple dot fr", "write to joe99[at]mail[dot]org"],
+        "account": ["überwiesen auf DE89370400440532013000 gestern", "GB29 NWBK 6016 1331 9268 19 is hers", "versez au compte FR1420041010050500013026606", "conto NL91 ABNA 0417 1643 00"],
+        "local_phone": ["Telefon (030) 555-0123 anrufen", "phone 212-555-0187 after six", "teléfono 555 010 4477 por la tarde", "téléphone 555.013.9911", "Call (415) 555-2671"],
+        "secret": ["Passwort: x8Kq2LmZ0pRt5VyB7nWc", "clave = 'qL93nfKe02MdpX7TzUa1'", "uses ghp_a8F3kLmN0pQr5TuVwXyZ1b2C4d6E here", "token sk-9fK3mQpZ7xVbN2LrT8wYc5H1"],
+    }
+    rows = [(k, prose(20, 400 + k) + " " + text + " " + prose(5, 500 + k), kind, "k") for k, (kind, text) in enumerate((kind, t) for kind, ts in planted.items() for t in ts)]
+    rows += [(1000 + k, prose(80, 900 + k), "", "k") for k in range(20)]
+    rows += [(2000 + k, prose(9, 950 + k) + t, "", "k") for k, t in enumerate([" commit 04dbebab91ab85687d33eeaaf9ac699e1188f962 fixed it", " she is at home dot the end", " order 123-45-6789 shipped", " ISBN 212-555-0187", " a-long-slug-of-words-in-a-link", " ====================================="])]
+    got = {r.doc_id: {s.kind for s in r.more} for r in pii.find(frame(rows)).collect()}
+    missed = [r[1] for r in rows if r[2] and r[2] not in got[r[0]]]
+    assert len(missed) <= 2, missed
+    assert [r[1] for r in rows if not r[2] and got[r[0]]] == []
+
+
+def test_private_columns_do_not_clash(frame):
+    rows = frame([(1, "write me@x.org", "s", "k")]).withColumnsRenamed({"source": "_t", "key": "_email"}).withColumn("_g0", F.lit(1)).withColumn("_digits", F.lit("x"))
+    got = pii.find(rows, keep=("text", "_t", "_email", "_g0", "_digits")).first()
+    assert (got["_t"], got["_email"], got["_g0"], got["_digits"], len(got.base)) == ("s", "k", 1, "x", 1)
+
+
 def test_crc_of_keys(frame):
     from folioforge.llm.queries import crc_of
 
