@@ -13,18 +13,30 @@ from pyspark.sql import functions as F
 
 from folioforge.llm.common import stored
 
-#: Bits of the grid in each dimension.
-BITS = 6
+#: Bits of the grid in each dimension; values of a dimension that its cuts are taken from, at most.
+BITS, MOST = 6, 4096
+#: Groups with more than one row in HOT are matched by a broadcast of at most HOT rows, all others by their text.
+HOT = 1000
 
 
-def quantised_log(value: Column, bits: int = BITS) -> Column:
-    """Positive numbers on a logarithmic scale of 2^bits cells, up to 2^32; null and below 1: cell 0."""
-    return F.coalesce(F.least(F.greatest(F.floor(F.log2(value.cast("double")) * (2**bits / 32)), F.lit(0)), F.lit(2**bits - 1)), F.lit(0)).cast("int")
+def cuts_of(rows: DataFrame, column: str, bits: int = BITS) -> list[tuple]:
+    """(value, cell) at most 2^bits - 1 times, ascending: from a value on, its cell is the share of rows below it."""
+    seen = rows.where(F.col(column).isNotNull()).groupBy(column).count().orderBy(F.desc("count"), column).limit(MOST).collect()
+    total, out, at = sum(r["count"] for r in seen), [], 0
+    for r in sorted(seen, key=lambda r: r[0]):
+        cell = at * (1 << bits) // total
+        if cell > (out[-1][1] if out else 0):
+            out.append((r[0], cell))
+        at += r["count"]
+    return out
 
 
-def quantised_name(value: Column, bits: int = BITS) -> Column:
-    """The cell of a categorical value; null has the cell of the empty string."""
-    return (F.crc32(F.coalesce(value.cast("string"), F.lit("")).cast("binary")) % (1 << bits)).cast("int")
+def quantised(value: Column, cuts: list[tuple]) -> Column:
+    """The cell of the last cut up to a value, so cells keep the order of the values; null is in the first one."""
+    if not cuts:
+        return F.lit(0)
+    steps = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(c).alias("c")) for v, c in cuts])
+    return F.coalesce(F.aggregate(steps, F.lit(0), lambda n, x: F.when(x["v"] <= value, x["c"]).otherwise(n)), F.lit(0))
 
 
 def with_hilbert(rows: DataFrame, dims: list[Column], name: str = "hilbert", bits: int = BITS) -> DataFrame:
@@ -80,14 +92,24 @@ def shard(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "t
     """
     dims = tuple(d for d in dims if d in docs.columns)
     data = F.coalesce(F.col(text), F.lit("")).cast("binary")
-    rows = docs.select(F.col(key), (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.xxhash64(data).alias("_text"), *[F.col(d).cast("string").alias(f"_d{i}") for i, d in enumerate(dims)], *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
-    first = rows.groupBy("_text", "size").agg(F.min(F.struct(F.col(key), *[f"_d{i}" for i in range(len(dims))])).alias("_first"))
-    rows = with_hilbert(rows.join(first, ["_text", "size"]), [quantised_log(F.col("size")), *[quantised_name(F.col(f"_first._d{i}")) for i in range(len(dims))]])
-    rows = rows.select(key, "size", "text_crc32", "hilbert", "_text", F.xxhash64(key).alias("_spread"), *[f"_k{i}" for i in range(len(keep))])
-    done = ranked(rows, ["hilbert", "text_crc32", "_text", "_spread", key])
+    rows = docs.select(F.col(key).alias("_key"), (F.octet_length(data) + 1).cast("long").alias("size"), F.crc32(data).alias("text_crc32"), F.xxhash64(data).alias("_text"), *[F.col(d).cast("string").alias(f"_d{i}") for i, d in enumerate(dims)], *[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)])
+    names = [f"_d{i}" for i in range(len(dims))]
+    rows = rows.withColumn("_log", F.floor(F.log2("size") * 32).cast("int"))
+    cuts = [cuts_of(rows, "_log"), *[cuts_of(rows, n) for n in names]]
+    first = stored(rows.groupBy("_text", "size").agg(F.count("*").alias("_n"), F.min(F.struct("_key", *names)).alias("_first")).where("_n > 1"))
+    total = rows.count()
+    hot = first.where(F.col("_n") > max(total // HOT, HOT)).select(F.col("_text").alias("_ht"), F.col("size").alias("_hs"), F.col("_first").alias("_hot"))
+    rows = rows.join(F.broadcast(hot), (F.col("_text") == F.col("_ht")) & (F.col("size") == F.col("_hs")), "left")
+    # rows that have found their group go to places of their own in the second join
+    rows = rows.withColumns({"_jt": F.when(F.col("_hot").isNull(), F.col("_text")).otherwise(F.xxhash64("_key", "_text")), "_js": F.when(F.col("_hot").isNull(), F.col("size")).otherwise(F.lit(-1))})
+    group = first.select(F.col("_text").alias("_jt"), F.col("size").alias("_js"), "_first")
+    rows = rows.join(group, ["_jt", "_js"], "left").withColumn("_own", F.coalesce("_hot", "_first", F.struct("_key", *names)))
+    rows = with_hilbert(rows, [quantised(F.col("_log"), cuts[0]), *[quantised(F.col(f"_own.{n}"), c) for n, c in zip(names, cuts[1:])]])
+    rows = rows.select("_key", "size", "text_crc32", "hilbert", "_text", F.xxhash64("_key").alias("_spread"), *[f"_k{i}" for i in range(len(keep))])
+    done = ranked(rows, ["hilbert", "text_crc32", "_text", "_spread", "_key"])
     exact = F.expr(f"CAST((_rank * {shards}) DIV _total AS INT)")
     start = F.expr(f"(shard * _total + {shards - 1}) DIV {shards}")
-    return done.withColumn("shard", exact).withColumn("slot", F.col("_rank") - start).select(key, "size", "text_crc32", "hilbert", "shard", "slot", *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)])
+    return done.withColumn("shard", exact).withColumn("slot", F.col("_rank") - start).select(F.col("_key").alias(key), "size", "text_crc32", "hilbert", "shard", "slot", *[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)])
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16, **how) -> None:

@@ -355,6 +355,21 @@ def test_shards_are_even_and_slots_gapless(spark, frame, tmp_path):
     assert back.count() == len(rows) and back.select("shard").distinct().count() == 4 and set(back.columns) == {"doc_id", "text", "source", "key", "shard"}
 
 
+def test_shards_prune_on_every_dimension(frame, monkeypatch):
+    monkeypatch.setattr(sharding, "HOT", 20)
+    r = random.Random(6)
+    rows = [(k, prose(2 ** r.randint(0, 9), k), f"src{r.randint(0, 39):02d}", r.choice("abcdefgh")) for k in range(3000)] + [(5000 + k, "one text", f"src{k % 40:02d}", "a") for k in range(300)]
+    got = {(x.doc_id): x.shard for x in sharding.shard(frame(rows), 16, dims=("source", "key")).collect()}
+    assert len(got) == 3300 and len({got[5000 + k] for k in range(300)}) <= 3
+    for column in (2, 3):
+        spans = [(min(v), max(v)) for s in range(16) if (v := [x[column] for x in rows[:3000] if got[x[0]] == s])]
+        values = sorted({x[column] for x in rows})
+        read = sum(a <= v <= b for v in values for a, b in spans) / (len(values) * 16)
+        assert read < 0.75, (column, read)
+    by_size = [sorted(len(x[1]) for x in rows[:3000] if got[x[0]] == s) for s in range(16)]
+    assert sum(v[0] <= 60 <= v[-1] for v in by_size if v) < 12
+
+
 # Pipeline ----------------------------------------------------------------------------------------------------------------
 
 
