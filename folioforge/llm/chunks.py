@@ -13,10 +13,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioforge.llm.common import WHITE, range_hash, stored, text_slices
+from folioforge.llm.common import WHITE, fresh, range_hash, stored, text_slices
 
 #: Bytes that the gear hash looks back at; bytes on either side among which a boundary must be the greatest.
-REACH, SPAN = 16, 24
+REACH, SPAN = 8, 16
 #: The least length of a repeated passage that is reported, in words.
 LEAST_WORDS = 25
 
@@ -47,7 +47,7 @@ def sliding_max(h: np.ndarray, span: int) -> np.ndarray:
 
 
 def boundaries(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-    """Ends of chunks: places after a boundary byte. Rows are kept apart: bytes of other rows count for none."""
+    """Ends of chunks: places after a boundary byte, between characters of UTF-8. Bytes of other rows count for none."""
     gap = SPAN + REACH
     n, size = len(offs) - 1, np.diff(offs)
     # rows are laid out with zeros between them, so that no window sees two rows
@@ -60,7 +60,10 @@ def boundaries(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
     before = sliding_max(wide, SPAN)
     after = sliding_max(wide[::-1], SPAN)[::-1]
     peak = (h > 0) & (h > before[at]) & (h >= after[at]) & (np.repeat(size, size) - place > 1)
-    return np.flatnonzero(peak) + 1
+    ends = np.flatnonzero(peak) + 1
+    for _ in range(3):  # a boundary inside a character moves to the character's end
+        ends += (data[np.minimum(ends, len(data) - 1)] & 0xC0 == 0x80) & (ends < len(data))
+    return np.unique(ends)
 
 
 def chunked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -98,9 +101,11 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least_word
     corpus (another text, or the same one again); it has a row for each piece whose chunks have the same first holder.
     copies: the least number of places that a chunk of the piece has; first: the least key that holds it; `kept`: this
     row is that holder, whose text stays.
-    Rows with a null key take no part; rows with one key are one text's parts, and count as places.
+    Rows with a null key take no part; rows with one key are one text's parts, and count as places. Null and empty texts
+    have no passage; other columns of `docs` are not read. A chunk whose 64-bit digest equals another's by chance is no
+    passage of `least_words` words by itself.
     """
-    parts = chunked(docs.where(F.col(key).isNotNull()), key, text)
+    parts = chunked(docs.where(F.col(key).isNotNull()).select(key, text), key, text)
     known = parts.groupBy("digest", "n").agg(F.count("*").alias("copies"), F.min("key").alias("first")).where("copies > 1")
     met = parts.join(known, ["digest", "n"])
     place = Window.partitionBy("key").orderBy("start", "pos", "digest")
@@ -114,13 +119,18 @@ def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", least_word
 
 
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """`docs` with every repeated passage cut from all texts but its first holder; texts without one are unchanged."""
-    cut = stored(repeats(docs, key, text, least_words).where(~F.col("kept")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "bytes"))).alias("_cut")))
+    """`docs` with every repeated passage cut from all texts but its first holder; texts without one are unchanged.
+
+    Rows with a null key or text stay as they are. Rows with one key lose what any of them would lose at that place, so
+    keys should be unique; repeated rows stay repeated. Columns of any name come along; an empty table gives no rows.
+    """
+    cut = fresh(docs, "_cut")
+    gone = stored(repeats(docs, key, text, least_words).where(~F.col("kept")).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", "bytes"))).alias(cut)))
     raw = F.encode(F.col(text), "UTF-8")
 
     def step(acc, x):
         return F.struct((x["start"] + x["bytes"]).cast("int").alias("at"), F.concat(acc["out"], F.substring(raw, acc["at"] + 1, x["start"] - acc["at"])).alias("out"))
 
     zero = F.struct(F.lit(0).alias("at"), F.encode(F.lit(""), "UTF-8").alias("out"))
-    rest = F.aggregate("_cut", zero, step, lambda a: F.concat(a["out"], F.substring(raw, a["at"] + 1, F.octet_length(raw))))
-    return docs.join(cut, key, "left").withColumn(text, F.when(F.col("_cut").isNotNull(), F.decode(rest, "UTF-8")).otherwise(F.col(text))).select(*docs.columns)
+    rest = F.aggregate(cut, zero, step, lambda a: F.concat(a["out"], F.substring(raw, a["at"] + 1, F.octet_length(raw))))
+    return docs.join(gone, key, "left").withColumn(text, F.when(F.col(cut).isNotNull(), F.decode(rest, "UTF-8")).otherwise(F.col(text))).select(*docs.columns)

@@ -53,6 +53,14 @@ def stored(df: DataFrame, name: str = "part") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """`name`, longer where `df` has a column of that name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes what stored() wrote for these frames, once nothing reads them any more."""
     for df in frames:
