@@ -20,6 +20,9 @@ from folioforge.llm.common import LOWER, MULT, mix, powers, range_hash, stored,
 #: Template tokens in a window; the share of an item's windows that a document must hold; the share of slots that must
 #: agree with one consistent exchange of values.
 WINDOW, CONTAINED, CONSISTENT = 8, 0.6, 0.9
+#: A window with fewer literal words (a table of numbers, a list of names) is compared by its own words, not by its
+#: template: all such windows have a few templates in common.
+LEAST_WORDS = 2
 #: Bits of the filter that keeps windows of no item from the join: 2 MB, whatever the benchmark's size.
 FILTER_BITS = 24
 #: What counts as a name: capitalised words inside a sentence, none, all capitalised words.
@@ -161,7 +164,14 @@ def _windows(rows: DataFrame, key: str, text: str, shared) -> DataFrame:
     def drawn(data, offs, widths):
         """(mode, width, hash, first word) of all windows, and the words."""
         tokens, value, of, place = templates(data, offs)
-        out = [(m, WINDOW, mix(h + np.uint64(m) * NUMBER), at) for m, (h, at) in enumerate(windows(t, of) for t in tokens)]
+        out, own = [], windows(value, of)[0]
+        left = np.bincount(of, minlength=len(offs) - 1)[of] - place
+        for m, token in enumerate(tokens):
+            h, at = windows(token, of)
+            words = np.zeros(len(token) + 1, np.int64)
+            np.cumsum((token != NUMBER) & (token != UNIT) & (token != NAME), out=words[1:])
+            bare = words[at + np.minimum(WINDOW, left[at])] - words[at] < LEAST_WORDS
+            out.append((m, WINDOW, mix(np.where(bare, mix(own ^ UNIT), h) + np.uint64(m) * NUMBER), at))
         plain = tokens[1]
         if widths is None:  # an item's own length, its numbers and units exchangeable if enough literal words are left
             size = np.bincount(of, minlength=len(offs) - 1)
