@@ -180,8 +180,12 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return fit(np.stack(got["stats"].to_numpy()), got["_y"].to_numpy(float), **how)
 
 
-def score(docs: DataFrame, model: Trees, keep: list[str] | None = None, text: str = "text") -> DataFrame:
-    """`keep` columns (all by default) plus `score`: the probability of label 1; a null text reads as empty."""
+def score(docs: DataFrame, model: Trees, keep: list[str] | None = None, text: str = "text", name: str = "score") -> DataFrame:
+    """`keep` columns (all by default) plus `name`: the probability of label 1.
+
+    A null text reads as empty; rows are scored one by one, so null keys, ties and repeated rows stay as they are, and an
+    empty table gives no rows. `name` must not be one of `keep`.
+    """
     keep = keep or docs.columns
     rest = docs.select(*keep).schema
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -192,7 +196,7 @@ def score(docs: DataFrame, model: Trees, keep: list[str] | None = None, text: st
             for lo, hi, d, o in text_slices(batch.column(batch.num_columns - 1)):
                 part = batch.slice(lo, hi - lo)
                 p = m.probability(statistics(d, o))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(p)], [*keep, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(p)], [*keep, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, f"{schema}, score double")
+    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(run, f"{schema}, `{name}` double")

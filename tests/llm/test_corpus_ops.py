@@ -393,4 +393,10 @@ def test_pipeline_against_plain_steps(spark, tmp_path):
 
     t = tokenizer(word_bpe_path())
     assert got[3].ids == t.encode(good[3][1]) and got[400].ids == t.encode(private[0][1].replace("a.b@example.com", "[EMAIL]"))
+    clash = docs.select("*", F.lit(1).alias("score"), F.lit(2).alias("_t"), F.lit(3).alias("_cut"), F.lit(4).alias("base"), F.lit(5).alias("_r"), F.lit(6).alias("h"), F.lit(7).alias("key"))
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        clash = stage(spark, clash, str(tmp_path))
+        assert clash.columns[5:] == ["score", "_t", "_cut", "base", "_r", "h", "key"], name
+        clash = spark.createDataFrame(clash.collect(), clash.schema)
+    assert {tuple(r)[5:] for r in clash.collect()} == {(1, 2, 3, 4, 5, 6, 7)} and clash.count() == len(got)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "pii", "tokens"]

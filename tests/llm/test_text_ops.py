@@ -153,6 +153,47 @@ def test_repeated_passages_are_found_and_clean_texts_are_not(frame):
     assert kept[0] == rows[0][1] and len(kept[4]) < len(rows[4][1]) - 150 and kept[1] == rows[1][1]
 
 
+def test_tables_of_numbers_meet_only_their_copies(frame, spark):
+    r = random.Random(14)
+    row = lambda: " ".join(str(r.randint(1, 99_999)) for _ in range(60))
+    item, docs = row(), [(k, row(), "s", "k") for k in range(30)]
+    docs += [(100, prose(20, 1) + " " + docs[0][1], "s", "k"), (101, prose(20, 2) + " " + item, "s", "k")]
+    items = spark.createDataFrame([(7, item)], "item_id long, text string")
+    known = decontaminate._windows(items, "item_id", "text", None)
+    assert [x.doc_id for x in decontaminate.leaks(frame(docs), items).collect()] == [101]
+    shared = spark.sparkContext.broadcast((decontaminate.sieve_of(known), []))
+    met = decontaminate._windows(frame(docs), "doc_id", "text", shared).join(known.select("mode", "h"), ["mode", "h"])
+    assert {x.key for x in met.select("key").distinct().collect()} == {101}
+
+
+def test_passages_of_accented_texts_and_clashing_columns(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("äéîøß漢字😀жabc") for _ in range(r.randint(2, 7)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    passage = text(80)
+    rows = [(k, f"{text(60)} {passage} {text(60)}", k, "x") for k in range(12)] + [(50 + k, text(150), k, "y") for k in range(6)] + [(None, passage, 1, "z"), (99, None, 1, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _cut int, digest string")
+    got = {x.doc_id: x for x in chunks.deduplicated(docs).collect()}
+    assert got[0].text == rows[0][1] and got[None].text == passage and got[99].text is None and all(got[50 + k].text == rows[12 + k][1] for k in range(6))
+    for k in range(1, 12):
+        assert len(got[k].text) < len(rows[k][1]) - 200 and rows[k][1].startswith(got[k].text[:100]) and got[k]["_cut"] == k
+    data = "".join(t or "" for _, t, *_ in rows[:12]).encode()
+    ends = chunks.boundaries(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert len(ends) > 100 and all(data[e] & 0xC0 != 0x80 for e in ends if e < len(data))
+
+
+@pytest.mark.parametrize("letters,least", [((2, 9), 60), ((2, 4), 57)])
+def test_passages_of_51_words(frame, letters, least):
+    r = random.Random(13)
+    text = lambda n: " ".join("".join(r.choices("abcdefghijklmnop", k=r.randint(*letters))) for _ in range(n))
+    rows = []
+    for k in range(60):
+        passage = text(51)
+        rows += [(2 * k + i, f"{text(40)} {passage} {text(40)}", "s", "k") for i in (0, 1)]
+    found = {x.doc_id // 2 for x in chunks.repeats(frame(rows)).collect()}
+    assert len(found) >= least
+
+
 def test_chunks_on_odd_rows(frame):
     parts = chunks.chunked(frame(ODD)).collect()
     for k, t, _, _ in ODD[2:5]:
