@@ -105,13 +105,18 @@ def paeth(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
 
 
 def flate_decode(data: bytes, params: dict[str, Any] | None = None, limit: int = LIMIT) -> bytes:
-    """zlib, or raw deflate where that fails; PNG predictors above 10 are undone with a stride of Columns x Colors."""
+    """zlib, or raw deflate where that fails; PNG predictors above 10 are undone with a stride of Columns x Colors.
+
+    Data that ends before its last block is an error, not a shorter stream.
+    """
     out = None
     for bits in (15, -15):
         machine = zlib.decompressobj(bits)
         try:
-            out = machine.decompress(data, limit + 1)
-            break
+            got = machine.decompress(data, limit + 1)
+            if machine.eof or len(got) > limit:
+                out = got
+                break
         except zlib.error:
             continue
     if out is None:

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import stringprep
+import unicodedata
 from dataclasses import dataclass
 from typing import Any
 
@@ -133,6 +135,24 @@ def revision_6_hash(password: bytes, salt: bytes, owner: bytes = b"") -> bytes:
             return k[:32]
 
 
+def prepared(password: bytes) -> bytes:
+    """A password in the profile of strings for authentication: other blanks become spaces, characters that map to nothing
+    go, compatible forms are composed; what is prohibited is an error. Bytes that are no UTF-8 stay."""
+    try:
+        text = password.decode()
+    except UnicodeDecodeError:
+        return password
+    text = "".join(" " if stringprep.in_table_c12(c) else "" if stringprep.in_table_b1(c) else c for c in text)
+    text = unicodedata.normalize("NFKC", text)
+    banned = (stringprep.in_table_c12, stringprep.in_table_c21_c22, stringprep.in_table_c3, stringprep.in_table_c4, stringprep.in_table_c5, stringprep.in_table_c6, stringprep.in_table_c7, stringprep.in_table_c8, stringprep.in_table_c9)
+    if any(f(c) for c in text for f in banned):
+        raise CryptError("InvalidPassword", "prohibited character")
+    right = [stringprep.in_table_d1(c) for c in text]
+    if any(right) and (any(map(stringprep.in_table_d2, text)) or not right[0] or not right[-1]):
+        raise CryptError("InvalidPassword", "mixed directions")
+    return text.encode()
+
+
 @dataclass
 class Decoder:
     key: bytes
@@ -160,7 +180,7 @@ class Decoder:
 
     @staticmethod
     def _hard_key(d: dict[str, Any], revision: int, password: bytes) -> bytes:
-        pw, u, o = password[:127], d["U"][:48], d["O"][:48]
+        pw, u, o = prepared(password)[:127], d["U"][:48], d["O"][:48]
         digest = (lambda p, s, x=b"": hashlib.sha256(p + s + x).digest()) if revision == 5 else revision_6_hash
         if digest(pw, u[32:40]) == u[:32]:
             return aes_cbc(digest(pw, u[40:48]), bytes(16), d["UE"][:32], False)

@@ -80,11 +80,15 @@ def _files(spark, d, packed=False):
     return writer.documents_to_files(table(spark, d, "documents"), packed=packed)
 
 
+def _contents(made):
+    return files.streams(made, want=("decoded",), kind=None)
+
+
 _LINES = "SELECT doc_id::VARCHAR AS file_id, md5(text) AS digest, len(string_split(text, chr(10)))::BIGINT AS lines FROM documents"
 
 
 def _text_of(made):
-    ops = content.content_ops(content.content_streams(files.streams(made))).where("variant = 'TextDraw'")
+    ops = content.content_ops(content.content_streams(_contents(made))).where("variant = 'TextDraw'")
     line = ops.select("file_id", "ord", text.decode_text(F.col("bytes")).alias("line"))
     rows = line.groupBy("file_id").agg(F.array_sort(F.collect_list(F.struct("ord", "line"))).alias("l"))
     return rows.select("file_id", F.md5(F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("digest"), F.size("l").cast("long").alias("lines"))
@@ -164,7 +168,7 @@ def doc_import_page(spark, d):
 
 @query("SELECT variant, count(*) AS n FROM (SELECT unnest(['BeginText', 'TextFont', 'Leading', 'MoveTextPosition', 'EndText']) AS variant FROM documents UNION ALL SELECT unnest(['TextDraw', 'TextNewline']) FROM (SELECT unnest(string_split(text, chr(10))) FROM documents)) GROUP BY variant")
 def ops_count_by_variant(spark, d):
-    return content.content_ops(content.content_streams(files.streams(_files(spark, d)))).groupBy("variant").agg(F.count("*").alias("n"))
+    return content.content_ops(content.content_streams(_contents(_files(spark, d)))).groupBy("variant").agg(F.count("*").alias("n"))
 
 
 @query("SELECT doc_id::VARCHAR AS file_id, true AS same FROM documents")
@@ -177,7 +181,7 @@ def ops_serialize_fusion(spark, d):
 
         return s.map(one)
 
-    return content.content_streams(files.streams(_files(spark, d))).select("file_id", same("decoded").alias("same"))
+    return content.content_streams(_contents(_files(spark, d))).select("file_id", same("decoded").alias("same"))
 
 
 @query("SELECT doc_id, true AS failed FROM documents WHERE doc_id % 3 = 0")

@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import re
+import struct
+import zlib
 from dataclasses import dataclass, field
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from folioforge.functions import codecs, crypt
 from folioforge.sources.syntax import Parser, Ref, Stream, SyntaxIssue, kind_of
 
 MAX_ID = 1_000_000
+#: Rows and bytes that a reader task holds before it passes them on.
+SLICE_ROWS, SLICE_BYTES = 4096, 16 << 20
 
 
 @dataclass
@@ -57,6 +64,8 @@ class File:
             ref = f.trailer["Encrypt"]
             settings = f.resolve(ref)
             ids = f.resolve(f.trailer.get("ID"))
+            if not isinstance(settings, dict):
+                raise SyntaxIssue("UnexpectedPrimitive", kind_of(settings))
             if not isinstance(ids, list) or not ids:
                 raise SyntaxIssue("MissingEntry", "ID")
             f.decoder = crypt.Decoder.open({k: f.resolve(v) for k, v in settings.items()}, f.resolve(ids[0]), f.options.password)
@@ -80,6 +89,8 @@ class File:
         while at is not None and at not in seen:
             seen.add(at)
             entries, trailer = self.section(self.start + at)
+            if not isinstance(trailer, dict):
+                raise SyntaxIssue("UnexpectedPrimitive", kind_of(trailer))
             if not self.trailer:
                 self.trailer = trailer
                 size = trailer.get("Size")
@@ -117,7 +128,9 @@ class File:
     def packed_section(self, stream: Stream) -> list[tuple[int, Entry]]:
         info, data = stream.info, self.decoded(stream)
         widths, index = info.get("W", []), info.get("Index") or [0, info.get("Size", 0)]
-        if len(index) % 2 or len(widths) != 3 or any(not 0 <= w <= 8 for w in widths):
+        if not isinstance(widths, list) or not isinstance(index, list) or any(not isinstance(v, int) or v < 0 for v in [*widths, *index]):
+            raise SyntaxIssue("BadXrefStream")
+        if len(index) % 2 or len(widths) != 3 or max(widths) > 8 or sum(index[1::2]) > MAX_ID:
             raise SyntaxIssue("BadXrefStream")
         step, at, out = sum(widths), 0, []
         for first, n in zip(index[::2], index[1::2]):
@@ -154,7 +167,8 @@ class File:
             self.cache[number] = None  # a length that leads back here finds nothing
             try:
                 _, v = Parser(self.data, self.start + e.pos, decrypt=keyed, length_of=self.length).indirect(self.options.tolerant)
-                if isinstance(v, Stream) and self.decoder is not None and v.info.get("Type") != "XRef":
+                plain = isinstance(v, Stream) and (v.info.get("Type") == "XRef" or v.info.get("Type") == "Metadata" and self.decoder is not None and not self.decoder.encrypt_metadata)
+                if isinstance(v, Stream) and self.decoder is not None and not plain:
                     v = Stream(v.info, self.decoder.decrypt(number, e.gen, v.data), v.start)
             finally:
                 del self.cache[number]
@@ -173,7 +187,9 @@ class File:
             if not isinstance(s, Stream):
                 raise SyntaxIssue("UnexpectedPrimitive", kind_of(s))
             data = self.decoded(s)
-            n, first = self.resolve(s.info["N"]), self.resolve(s.info["First"])
+            n, first = (self.resolve(s.info.get(k)) for k in ("N", "First"))
+            if not isinstance(n, int) or not isinstance(first, int) or not 0 <= n <= MAX_ID:
+                raise SyntaxIssue("MissingEntry", "N, First")
             p = Parser(data, 0, first)
             pairs = [(p.integer(), p.integer()) for _ in range(n)]
             ends = [first + b for _, b in pairs[1:]] + [len(data)]
@@ -256,25 +272,52 @@ def from_files(spark: SparkSession, path: str, glob: str = "*.pdf") -> DataFrame
     return got.select(F.col("path").alias("file_id"), "content")
 
 
+#: What reading a damaged file can raise; anything without a code of its own is malformed.
+FAULTS = (SyntaxIssue, codecs.CodecError, crypt.CryptError, AttributeError, TypeError, KeyError, IndexError, ValueError, OverflowError, RecursionError, ArithmeticError, struct.error, zlib.error)
+
+
+def code_of(e: Exception) -> str:
+    return getattr(e, "code", "Malformed")
+
+
+def _table(rows: list[tuple], kinds: pa.Schema) -> pa.RecordBatch:
+    """Rows as Arrow; a row with a value that its column can't hold becomes an error row."""
+    bad = (pa.ArrowInvalid, pa.ArrowTypeError, TypeError, ValueError, OverflowError)
+    try:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(kinds)], schema=kinds)
+    except bad:
+        if len(rows) > 1:
+            half = len(rows) // 2
+            return pa.concat_batches([_table(rows[:half], kinds), _table(rows[half:], kinds)])
+        return _table([(rows[0][0], *[None] * (len(kinds) - 3), "Malformed", "value out of range")], kinds)
+
+
 def _flat(files: DataFrame, schema: str, rows, options: Options) -> DataFrame:
-    """rows(file_id, File) of each file of (file_id, content), and one error row where a file or an object fails."""
-    names = [c.split()[0] for c in f"{schema}, {ERROR}".split(", ")]
+    """rows(file_id, File) of each file of (file_id, content), and one error row where a file or an object fails.
 
-    def run(batches):
-        import pandas as pd
+    Rows leave in slices of SLICE_ROWS or SLICE_BYTES, however large a file or a batch of files is.
+    """
+    full = StructType.fromDDL(f"{schema}, {ERROR}")
+    kinds, width = to_arrow_schema(full), len(full) - 2
 
+    def run(batches):
+        out, size = [], 0
         for batch in batches:
-            for file_id, content in zip(batch["file_id"], batch["content"]):
-                out, width = [], len(names) - 2
+            for file_id, content in zip(batch.column(0).to_pylist(), batch.column(1)):
                 try:
-                    f = File.open(content if content is not None else b"", options)
+                    f = File.open(content.as_py() or b"", options)
                     for row in rows(file_id, f):
                         out.append(row if len(row) == width + 2 else (*row, None, None))
-                except (SyntaxIssue, codecs.CodecError, crypt.CryptError) as e:
-                    out.append((file_id, *[None] * (width - 1), e.code, str(e)))
-                yield pd.DataFrame({c: pd.Series([r[i] for r in out], dtype=object) for i, c in enumerate(names)})
+                        size += sum(len(x) for x in row if isinstance(x, bytes))
+                        if len(out) >= SLICE_ROWS or size >= SLICE_BYTES:
+                            yield _table(out, kinds)
+                            out, size = [], 0
+                except FAULTS as e:
+                    out.append((file_id, *[None] * (width - 1), code_of(e), str(e)[:1000]))
+        if out:
+            yield _table(out, kinds)
 
-    return files.select("file_id", "content").mapInPandas(run, f"{schema}, {ERROR}")
+    return files.select("file_id", "content").mapInArrow(run, full)
 
 
 def xref_raw(files: DataFrame, options: Options | None = None) -> DataFrame:
@@ -297,8 +340,8 @@ def nodes(files: DataFrame, options: Options | None = None) -> DataFrame:
                 continue
             try:
                 yield from node_rows(file_id, i, e.gen, f.get(i))
-            except (SyntaxIssue, codecs.CodecError, crypt.CryptError) as issue:
-                yield (file_id, i, e.gen, *[None] * 15, issue.code, str(issue))
+            except FAULTS as issue:
+                yield (file_id, i, e.gen, *[None] * 15, code_of(issue), str(issue)[:1000])
 
     return _flat(files, NODES, rows, options or Options())
 
@@ -313,8 +356,12 @@ def scanned(files: DataFrame, options: Options | None = None) -> DataFrame:
     return _flat(files, "file_id string, ord int, obj long, gen long, kind string", rows, options or Options())
 
 
-def streams(files: DataFrame, options: Options | None = None) -> DataFrame:
-    """streams(file_id, obj, gen, type, filters, raw, decoded); a stream that can't be decoded keeps its raw bytes."""
+def streams(files: DataFrame, options: Options | None = None, want: tuple[str, ...] = ("raw", "decoded"), kind: str | None = "") -> DataFrame:
+    """streams(file_id, obj, gen, type, filters, and of raw and decoded those in `want`).
+
+    A stream that can't be decoded is an error row that keeps its raw bytes. kind: only streams of this type (None: of
+    none); others are not decoded.
+    """
 
     def rows(file_id, f):
         for i, e in sorted(f.table.items()):
@@ -322,13 +369,14 @@ def streams(files: DataFrame, options: Options | None = None) -> DataFrame:
                 continue
             try:
                 v = f.get(i)
-            except (SyntaxIssue, codecs.CodecError):
+            except FAULTS:
                 continue
-            if isinstance(v, Stream):
-                kind, names = v.info.get("Type"), [k for k, _ in f.filters(v.info)]
+            if isinstance(v, Stream) and (kind == "" or v.info.get("Type") == kind):
+                raw = (v.data,) if "raw" in want else ()
                 try:
-                    yield file_id, i, e.gen, kind, names, v.data, f.decoded(v)
-                except codecs.CodecError as issue:
-                    yield file_id, i, e.gen, kind, names, v.data, None, issue.code, str(issue)
+                    names = [k for k, _ in f.filters(v.info)]
+                    yield file_id, i, e.gen, f.resolve(v.info.get("Type")), names, *raw, *((f.decoded(v),) if "decoded" in want else ())
+                except FAULTS as issue:
+                    yield file_id, i, e.gen, None, None, *raw, *((None,) if "decoded" in want else ()), code_of(issue), str(issue)[:1000]
 
-    return _flat(files, "file_id string, obj long, gen long, type string, filters array<string>, raw binary, decoded binary", rows, options or Options())
+    return _flat(files, "file_id string, obj long, gen long, type string, filters array<string>" + "".join(f", {c} binary" for c in ("raw", "decoded") if c in want), rows, options or Options())

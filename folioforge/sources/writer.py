@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.functions import codecs
-from folioforge.sources.files import File, Options
+from folioforge.sources.files import FAULTS, File, Options, code_of
 from folioforge.sources.syntax import Name, Ref, Stream, SyntaxIssue, serialize
 
 
@@ -116,12 +116,13 @@ def rebuilt(f: File) -> bytes:
 def imported(source: File, refs: list[Ref], into: Builder) -> dict[int, Ref]:
     """Copies what `refs` reach into another file, each object once; old numbers to new references."""
     known: dict[int, Ref] = {}
+    todo: list[int] = []
 
     def copy(v: Any) -> Any:
         if isinstance(v, Ref):
             if v.id not in known:
                 known[v.id] = into.promise()
-                into.fulfil(known[v.id], copy(source.get(v.id)))
+                todo.append(v.id)
             return known[v.id]
         if isinstance(v, list):
             return [copy(x) for x in v]
@@ -133,6 +134,9 @@ def imported(source: File, refs: list[Ref], into: Builder) -> dict[int, Ref]:
 
     for r in refs:
         copy(r)
+    while todo:  # a list of work, not recursion: chains of references may be of any length
+        old = todo.pop()
+        into.fulfil(known[old], copy(source.get(old)))
     return known
 
 
@@ -213,9 +217,9 @@ def revised(files: DataFrame, change, options: Options | None = None) -> DataFra
                 try:
                     out.append(change(File.open(content, o)))
                     errors.append(None)
-                except (SyntaxIssue, codecs.CodecError) as e:
+                except FAULTS as e:
                     out.append(content)
-                    errors.append(e.code)
+                    errors.append(code_of(e))
             yield pd.DataFrame({"file_id": batch["file_id"], "content": out, "error_code": pd.Series(errors, dtype=object)})
 
     return files.select("file_id", "content").mapInPandas(run, "file_id string, content binary, error_code string")

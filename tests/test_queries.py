@@ -1,10 +1,10 @@
 """Every query against its SQL on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
-
-from folioforge.plans import documents, navigation, registry, relational  # noqa: F401
+from folioforge.plans import documents, navigation, registry, relational, views  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -12,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 def rows(frame):
     frame = frame[sorted(frame.columns)]
-    text = lambda v: "NULL" if v is None or v != v else f"{v:.6f}" if isinstance(v, float) else str(v)
+    text = lambda v: "NULL" if not isinstance(v, list) and pd.isna(v) else str(int(v)) if isinstance(v, float) and v.is_integer() else f"{v:.6f}" if isinstance(v, float) else str(v)
     return sorted(tuple(map(text, r)) for r in frame.itertuples(index=False))
 
 
