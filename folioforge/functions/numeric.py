@@ -132,3 +132,16 @@ def matrix_apply(m: list[Column | float], x: Column, y: Column) -> Column:
 def rectangle(a: Column) -> Column:
     """left, bottom, right, top of an array of four numbers, in order."""
     return F.when(F.size(a) == 4, F.struct(F.least(a[0], a[2]).alias("left"), F.least(a[1], a[3]).alias("bottom"), F.greatest(a[0], a[2]).alias("right"), F.greatest(a[1], a[3]).alias("top")))
+
+
+def quads(points: Column) -> Column:
+    """The rectangles around each eight numbers of a list of quadrilaterals; numbers left over are dropped."""
+    each = F.transform(F.sequence(F.lit(0), F.floor(F.size(points) / 8).cast("int") - 1), lambda i: F.slice(points, i * 8 + 1, 8))
+    side = lambda q, k: F.filter(q, lambda _, i: i % 2 == k)
+    boxes = F.transform(each, lambda q: F.struct(F.array_min(side(q, 0)).alias("left"), F.array_min(side(q, 1)).alias("bottom"), F.array_max(side(q, 0)).alias("right"), F.array_max(side(q, 1)).alias("top")))
+    return F.when(F.size(points) >= 8, boxes)
+
+
+def flags(value: Column, bits: dict[str, int]) -> list[Column]:
+    """A boolean column for each named bit, counted from 1."""
+    return [(F.getbit(value.cast("long"), F.lit(b - 1)) == 1).alias(k.lower()) for k, b in bits.items()]

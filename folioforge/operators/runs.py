@@ -36,3 +36,8 @@ def last_before(value: Column, group: list[str], order: list[str]) -> Column:
 def expanded(rows: DataFrame, low: str, high: str, name: str) -> DataFrame:
     """A row for each number of an inclusive range, so that range lookups become equi-joins."""
     return rows.where(F.col(low) <= F.col(high)).withColumn(name, F.explode(F.sequence(low, high))).drop(low, high)
+
+
+def nesting(step: Column, group: list[str], order: list[str]) -> Column:
+    """The depth after each row of what opens (1) and closes (-1)."""
+    return F.sum(step).over(Window.partitionBy(*group).orderBy(*order)).cast("long")

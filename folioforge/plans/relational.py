@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from folioforge.functions import codecs, crypt, numeric, text
 from folioforge.operators import fonts, graph, index, runs, trees
@@ -113,27 +112,6 @@ def graph_verify(spark, d):
     return graph.differences(p.where("p_partkey % 11 <> 0"), right, ["p_partkey"], ["p_size"])
 
 
-@query("SELECT true AS equal")
-def graph_equal(spark, d):
-    n = table(spark, d, "nation")
-    return graph.equal(n, n.orderBy(F.desc("n_nationkey")))
-
-
-@query("SELECT p_partkey, p_name FROM part WHERE p_partkey IN (SELECT l_partkey FROM lineitem WHERE l_quantity > 45)")
-def resources_used(spark, d):
-    used = table(spark, d, "lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("p_partkey"))
-    return table(spark, d, "part").join(used, "p_partkey", "left_semi").select("p_partkey", "p_name")
-
-
-@query("SELECT url, page_id, row_number() OVER (ORDER BY page_id) - 1 AS page_no FROM pages")
-def dest_resolution(spark, d):
-    pages = table(spark, d, "pages")
-    # page numbers by sorted position of few keys; a name reaches its page by two equi-joins
-    order = pages.groupBy().agg(F.array_sort(F.collect_list("page_id")).alias("p")).select(F.posexplode("p").alias("page_no", "page_id"))
-    named = pages.select("url", F.col("page_id").alias("ref"))
-    return named.join(order, named.ref == order.page_id).select("url", "page_id", F.col("page_no").cast("long").alias("page_no"))
-
-
 # Trees -----------------------------------------------------------------------------------------------------------------
 
 _TREE = """t AS (SELECT r_regionkey AS g, 'r' || r_regionkey AS node, NULL AS parent, r_regionkey AS ord, 90 AS rotate, r_name AS box FROM region
@@ -180,25 +158,6 @@ def name_tree_build(spark, d):
     return trees.name_tree_levels(table(spark, d, "part").select("p_brand", "p_name"), ["p_brand"], "p_name", 17)
 
 
-@query("SELECT p_brand, p_partkey AS key, p_name AS value FROM part")
-def name_tree_walk(spark, d):
-    rows = table(spark, d, "part")
-    leaf = rows.groupBy("p_brand", (F.col("p_partkey") % 10).alias("leaf")).agg(F.collect_list(F.struct("p_partkey", "p_name")).alias("names"))
-    return leaf.select("p_brand", F.explode("names").alias("n")).select("p_brand", F.col("n.p_partkey").alias("key"), F.col("n.p_name").alias("value"))
-
-
-@query("SELECT conv_id, turn AS key, role AS value FROM conversations")
-def number_tree_walk(spark, d):
-    leaf = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("nums"))
-    return leaf.select("conv_id", F.explode("nums").alias("n")).select("conv_id", F.col("n.turn").alias("key"), F.col("n.role").alias("value"))
-
-
-@query("SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ord, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS next FROM conversations")
-def outline_walk(spark, d):
-    over = Window.partitionBy("conv_id").orderBy("turn")
-    return table(spark, d, "conversations").select("conv_id", "turn", (F.row_number().over(over) - 1).cast("long").alias("ord"), F.lead("turn").over(over).alias("next"))
-
-
 # Runs ------------------------------------------------------------------------------------------------------------------
 
 
@@ -246,7 +205,7 @@ def ops_current_point(spark, d):
 @query("SELECT event_id, sum(CASE event_type WHEN 'signup' THEN 1 WHEN 'purchase' THEN -1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS depth FROM events")
 def ops_nesting_depth(spark, d):
     step = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "purchase", -1).otherwise(0)
-    return table(spark, d, "events").select("event_id", F.sum(step).over(Window.partitionBy("user_id").orderBy("event_id")).alias("depth"))
+    return table(spark, d, "events").select("event_id", runs.nesting(step, ["user_id"], ["event_id"]).alias("depth"))
 
 
 # Functions and colour --------------------------------------------------------------------------------------------------
@@ -300,15 +259,9 @@ def matrix_apply(spark, d):
     return table(spark, d, "part").select("p_partkey", m.alias("m")).select("p_partkey", "m.*")
 
 
-@query("SELECT p_partkey, least(p_size, 10, 30)::BIGINT AS x0, greatest(p_size, 10, 30)::BIGINT AS x1 FROM part WHERE p_size > 5")
-def quad_to_rect(spark, d):
-    quad = F.array(F.col("p_size"), F.lit(10), F.lit(30), F.col("p_size"))
-    return table(spark, d, "part").where("p_size > 5").select("p_partkey", F.array_min(quad).cast("long").alias("x0"), F.array_max(quad).cast("long").alias("x1"))
-
-
 @query("SELECT p_partkey, " + ", ".join(f"((p_partkey * 37 >> {b - 1}) & 1) = 1 AS {k.lower()}" for k, b in fonts.FLAGS.items()) + " FROM part")
 def flags_decode(spark, d):
-    return table(spark, d, "part").select("p_partkey", *[(F.getbit(F.col("p_partkey") * 37, F.lit(b - 1)) == 1).alias(k.lower()) for k, b in fonts.FLAGS.items()])
+    return table(spark, d, "part").select("p_partkey", *numeric.flags(F.col("p_partkey") * 37, fonts.FLAGS))
 
 
 # Text, names, dates, codecs on the JVM -----------------------------------------------------------------------------------
@@ -340,21 +293,10 @@ def name_abbrev_expand(spark, d):
     return table(spark, d, "events").select("event_id", text.lookup(short, text.KEY_ABBREVIATIONS).alias("name"))
 
 
-@query("SELECT event_id, event_type FROM events WHERE event_type IN ('click', 'error')")
-def parse_flags_filter(spark, d):
-    return table(spark, d, "events").where(F.col("event_type").isin("click", "error")).select("event_id", "event_type")
-
-
-@query("SELECT source, count(*) AS parts, md5(string_agg(text, '' ORDER BY doc_id)) AS digest FROM documents GROUP BY source")
-def content_concat(spark, d):
-    rows = table(spark, d, "documents").groupBy("source").agg(F.count("*").alias("parts"), F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("t"))
-    return rows.select("source", "parts", F.md5(F.array_join(F.transform("t", lambda x: x["text"]), "")).alias("digest"))
-
-
-@query("SELECT doc_id, lower(hex(encode(text))) AS hexed, text AS back FROM documents WHERE lang = 'en'")
+@query("SELECT doc_id, lower(hex(encode(text))) AS hexed, text AS back FROM documents")
 def codec_hex_roundtrip(spark, d):
     hexed = codecs.hex_column(F.encode("text", "UTF-8"))
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", hexed.alias("hexed"), F.decode(codecs.unhex_column(F.concat(hexed, F.lit(">ignored"))), "UTF-8").alias("back"))
+    return table(spark, d, "documents").select("doc_id", hexed.alias("hexed"), F.decode(codecs.unhex_column(F.concat(hexed, F.lit(">ignored"))), "UTF-8").alias("back"))
 
 
 @query("SELECT p_partkey, lower(md5('0123456789')) IS NOT NULL AS ok, lower(hex(encode(p_name))) AS plain FROM part")

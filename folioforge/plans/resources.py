@@ -1,0 +1,384 @@
+"""A file for each supplier with fonts, functions, colours, images and a page tree that follow from the row, and queries on them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from folioforge.functions import crypt, codecs, numeric
+from folioforge.operators import content, copying, fonts, resources, views
+from folioforge.plans.navigation import conversation_files
+from folioforge.plans.registry import query, table
+from folioforge.sources import files, syntax, writer
+from folioforge.sources.syntax import Name, Real, Stream
+from folioforge.sources.writer import Builder, encoded
+
+_ID = "s_suppkey::VARCHAR AS file_id"
+
+
+def page_file(k: int, s: str) -> bytes:
+    b, raw = Builder(), s.encode()
+    tree, inner = b.promise(), b.promise()
+    stream = lambda info, data: b.create(Stream(info, data))
+    cmap = stream({}, fonts.write_cmap({k % 100: "x", k % 100 + 1: "yz", 300: "é"}))
+    one = b.create({
+        "Type": Name("Font"), "Subtype": Name("TrueType"), "BaseFont": Name("One"), "FirstChar": k % 50, "Widths": b.create([10 * i + k % 7 for i in range(5)]), "ToUnicode": cmap,
+        "Encoding": {"BaseEncoding": Name("WinAnsiEncoding"), "Differences": [k % 40, Name("A"), Name("B"), k % 40 + 10, Name("C")]}, "FontDescriptor": b.create({"FontFile2": stream({}, raw)}),
+    })
+    gids = stream({}, b"".join(g.to_bytes(2) for g in (0, k % 30_000, 2 * k % 60_000)))
+    below = b.create({"Type": Name("Font"), "Subtype": Name("CIDFontType2"), "BaseFont": Name("Two"), "DW": 900 + k % 10, "W": [k % 30, [500, 600], 100, 102, 700], "CIDToGIDMap": gids, "FontDescriptor": {"FontFile3": stream({}, raw + b"3")}})
+    two = b.create({"Type": Name("Font"), "Subtype": Name("Type0"), "BaseFont": Name("Two"), "Encoding": Name("Identity-H"), "DescendantFonts": [below]})
+    bad = b.create({"Type": Name("Font"), "Subtype": Name("Type9")})
+    flat = {"FunctionType": 2, "Domain": [0, 1], "N": 1}
+    power = b.create({"FunctionType": 2, "Domain": [0, 1], "C0": [Real(k % 5 / 10)], "C1": [1], "N": 2})
+    b.create({"FunctionType": 3, "Domain": [0, 1], "Bounds": [Real(0.5)], "Encode": [0, 1, 0, 1], "Functions": [flat | {"C0": [0], "C1": [k % 3]}, flat | {"C0": [k % 3], "C1": [10]}]})
+    stream({"FunctionType": 0, "Domain": [0, 1], "Range": [0, 1], "Size": [3], "BitsPerSample": 8}, bytes([0, k % 250, 255]))
+    stream({"FunctionType": 0, "Domain": [0, 1] * 3, "Range": [0, 1], "Size": [2, 2, 2], "BitsPerSample": 8}, bytes((k % 100) * a + 50 * c + 25 * e for e in (0, 1) for c in (0, 1) for a in (0, 1)))
+    stream({"FunctionType": 4, "Domain": [0, 1, 0, 1], "Range": [0, 1, 0, 1]}, b"{ 2 mul exch %d add }" % (k % 9))
+    image = {"Subtype": Name("Image"), "Width": 8, "Height": len(s)}
+    objects = {
+        "I1": stream(image | {"BitsPerComponent": 1, "Decode": [1, 0], "Filter": Name("FlateDecode")}, codecs.flate_encode(raw)),
+        "I2": stream(image | {"BitsPerComponent": 8, "Filter": [Name("ASCIIHexDecode"), Name("DCTDecode")]}, codecs.hex_encode(raw)),
+        "I3": stream(image | {"BitsPerComponent": 8, "ColorSpace": Name("DeviceGray")}, raw), "O1": stream({"Subtype": Name("Form"), "BBox": [0, 0, 1, 1]}, b""),
+    }
+    colours = {
+        "C1": Name("DeviceRGB"), "C2": [Name("Indexed"), Name("DeviceRGB"), k % 200, raw], "C3": [Name("Separation"), Name("Gold"), Name("DeviceCMYK"), power], "C4": [Name("ICCBased"), stream({"N": 3, "Alternate": Name("DeviceRGB")}, b"icc")],
+        "C5": [Name("Lab"), {"WhitePoint": [k % 9, 1, 1]}], "C6": b.create([Name("DeviceN"), [Name("A"), Name("B")], Name("DeviceCMYK"), power]), "C7": [Name("Pattern"), Name("DeviceGray")], "C8": [Name("Odd")], "C9": 7,
+    }
+    held = b.create({"Font": {"F1": one, "F2": two, "F3": bad}, "XObject": objects, "ColorSpace": colours, "ExtGState": b.create({"G1": {"LW": k % 5}, "G2": {}})})
+    look = {"N": {"On": stream({}, b"on"), "Off": stream({}, b"off")}, "D": stream({}, b"down")}
+    note = b.create({"Type": Name("Annot"), "Subtype": Name("Highlight"), "AP": look, "QuadPoints": [k % 10, 5, 20, 5, k % 10, 9, 20, 9]})
+    pages = []
+    for i in range(k % 4 + 1):
+        parts = [stream({}, b"q /G1 gs BT /F1 10 Tf"), stream({}, b" (" + raw + b") Tj ET /I1 Do /Missing Do Q")]
+        page = {"Type": Name("Page"), "Parent": tree if i == 0 else inner, "Contents": parts}
+        pages.append(b.create(page | ({"Resources": held, "Annots": [note], "Rotate": 180} if i == 0 else {})))
+    b.fulfil(inner, {"Type": Name("Pages"), "Parent": tree, "Kids": pages[1:], "Count": len(pages) - 1, "MediaBox": [0, 0, 50, k % 60 + 1]})
+    b.fulfil(tree, {"Type": Name("Pages"), "Kids": [pages[0], inner], "Count": len(pages), "MediaBox": [0, 0, 100, k % 70 + 1], "Rotate": 90, "Resources": held})
+    named = [x for i, p in enumerate(pages) for x in (b"d%d" % i, {"D": [p, Name("Fit")]} if i % 2 else [p, Name("XYZ"), 1, None, 2])]
+    field = b.create({"T": b"name", "FT": Name("Tx"), "V": encoded(s)})
+    root = b.create({"Type": Name("Catalog"), "Pages": tree, "Names": {"Dests": b.create({"Names": named})}, "Dests": {"old": [pages[0], Name("FitB")]}, "AcroForm": {"Fields": [field]}})
+    return b.save({"Root": root})
+
+
+def page_files(spark, d) -> DataFrame:
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            yield pd.DataFrame({"file_id": batch["s_suppkey"].astype(str), "content": [page_file(int(k), s) for k, s in zip(batch["s_suppkey"], batch["s_name"])]})
+
+    return table(spark, d, "supplier").select("s_suppkey", "s_name").mapInPandas(run, "file_id string, content binary")
+
+
+# Fonts ---------------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT {_ID}, unnest(['F1', 'F2', 'F3']) AS at, unnest(['TrueType', 'Type0', NULL]) AS subtype, unnest([false, true, NULL]) AS is_cid, unnest(['WinAnsiEncoding', 'Identity-H', NULL]) AS encoding, unnest([0, 900 + s_suppkey % 10, NULL])::DOUBLE AS default_width, unnest([NULL, NULL, 'UnknownVariant']) AS error_code FROM supplier")
+def font_dispatch(spark, d):
+    return resources.fonts(page_files(spark, d)).select("file_id", "at", "subtype", "is_cid", "encoding", "default_width", "error_code")
+
+
+@query(f"""SELECT {_ID}, 'F1' AS at, (s_suppkey % 50 + i)::INT AS code, (10 * i + s_suppkey % 7)::DOUBLE AS width FROM supplier, range(5) t(i)
+UNION ALL SELECT {_ID}, 'F2', unnest([s_suppkey % 30, s_suppkey % 30 + 1, 100, 101, 102])::INT, unnest([500.0, 600.0, 700.0, 700.0, 700.0]) FROM supplier""")
+def font_widths(spark, d):
+    return resources.fonts(page_files(spark, d)).select("file_id", "at", F.explode("widths").alias("code", "width"))
+
+
+@query(f"SELECT {_ID}, unnest([s_suppkey % 40, s_suppkey % 40 + 1, s_suppkey % 40 + 10])::INT AS code, unnest(['A', 'B', 'C']) AS glyph FROM supplier")
+def font_encoding(spark, d):
+    return resources.fonts(page_files(spark, d)).select("file_id", F.explode("differences").alias("code", "glyph"))
+
+
+@query(f"SELECT {_ID}, code::INT AS code, CASE code - s_suppkey % 100 WHEN 0 THEN 'x' WHEN 1 THEN 'yz' ELSE CASE WHEN code = 300 THEN 'é' END END AS text FROM (SELECT *, unnest([s_suppkey % 100, s_suppkey % 100 + 1, s_suppkey % 100 + 2, 300]) AS code FROM supplier)")
+def font_unicode(spark, d):
+    codes = table(spark, d, "supplier").select(F.col("s_suppkey").cast("string").alias("file_id"), F.lit("F1").alias("at"), F.explode(F.array(*[(F.col("s_suppkey") % 100 + i).cast("int") for i in range(3)], F.lit(300))).alias("code"))
+    return resources.unicode_of(codes, resources.fonts(page_files(spark, d))).select("file_id", "code", "text")
+
+
+@query(f"SELECT {_ID}, 'F1' AS at, md5(s_name) AS digest FROM supplier UNION ALL SELECT {_ID}, 'F2', md5(s_name || '3') FROM supplier")
+def font_embedded(spark, d):
+    return resources.fonts(page_files(spark, d)).where("data IS NOT NULL").select("file_id", "at", F.md5("data").alias("digest"))
+
+
+@query(f"SELECT {_ID}, unnest([0, 1, 2])::INT AS cid, unnest([0, s_suppkey % 30000, 2 * s_suppkey % 60000])::INT AS gid FROM supplier")
+def font_glyphs(spark, d):
+    return resources.fonts(page_files(spark, d)).where("glyphs IS NOT NULL").select("file_id", F.posexplode("glyphs").alias("cid", "gid"))
+
+
+# Functions and colours -----------------------------------------------------------------------------------------------
+
+
+def function_values(made: DataFrame, args: list[float]) -> DataFrame:
+    """(file_id, type, inputs, y): every function of a file at the first of `args`."""
+
+    def rows(file_id, f):
+        for i, e in sorted(f.table.items()):
+            v = f.get(i) if e.kind != "Free" else None
+            info = v.info if isinstance(v, Stream) else v
+            if isinstance(info, dict) and "FunctionType" in info:
+                n = len(info["Domain"]) // 2
+                yield file_id, info["FunctionType"], n, resources.function(f, v)(args[:n])
+
+    return files._flat(made, "file_id string, type int, inputs int, y array<double>", rows, files.Options())
+
+
+@query(f"""SELECT {_ID}, 2 AS type, 1 AS inputs, round(c + 0.5625 * (1 - c), 5) AS y, 1 AS outputs FROM (SELECT *, (s_suppkey % 5) / 10.0::DOUBLE AS c FROM supplier)
+UNION ALL SELECT {_ID}, 3, 1, round(s_suppkey % 3 + 0.5 * (10 - s_suppkey % 3), 5), 1 FROM supplier UNION ALL SELECT {_ID}, 0, 1, round(((s_suppkey % 250) * 0.5 + 127.5) / 255, 5), 1 FROM supplier
+UNION ALL SELECT {_ID}, 0, 3, round(((s_suppkey % 100) * 0.75 + 25) / 255, 5), 1 FROM supplier UNION ALL SELECT {_ID}, 4, 2, 0.5, 2 FROM supplier""")
+def fn_file_values(spark, d):
+    got = function_values(page_files(spark, d), [0.75, 0.25, 0.5]).where("error_code IS NULL")
+    return got.select("file_id", "type", "inputs", F.round(F.col("y")[0], 5).alias("y"), F.size("y").alias("outputs"))
+
+
+@query(f"""SELECT {_ID}, unnest(['C1','C2','C3','C4','C5','C6','C7','C8','C9']) AS at, unnest(['DeviceRGB','Indexed','Separation','ICCBased','Lab','DeviceN','Pattern','Other',NULL]) AS kind, unnest([NULL,'DeviceRGB','DeviceCMYK','DeviceRGB',NULL,'DeviceCMYK','DeviceGray','Odd',NULL]) AS base,
+unnest([3,3,1,3,3,2,NULL,NULL,NULL])::INT AS components, unnest([NULL,s_suppkey % 200,NULL,NULL,NULL,NULL,NULL,NULL,NULL])::INT AS hival, unnest([NULL,NULL,NULL,NULL,NULL,NULL,NULL,NULL,'UnexpectedPrimitive']) AS error_code FROM supplier""")
+def colour_spaces(spark, d):
+    return resources.colour_spaces(page_files(spark, d)).select("file_id", "at", "kind", "base", "components", "hival", "error_code")
+
+
+@query(f"SELECT {_ID}, i::INT AS idx, substr(s_name, i * 3 + 1, 3) AS colour FROM supplier, range(6) t(i)")
+def colour_indexed(spark, d):
+    got = resources.colour_spaces(page_files(spark, d)).where("kind = 'Indexed'").withColumn("idx", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    return got.select("file_id", "idx", F.decode(resources.indexed_colour(F.col("idx"), F.col("lookup"), F.col("components")), "UTF-8").alias("colour"))
+
+
+# Images --------------------------------------------------------------------------------------------------------------
+
+
+@query(f"SELECT {_ID}, 'I1' AS at, len(s_name)::INT AS height, array_to_string(list_transform(string_split(s_name, ''), lambda c: printf('%02x', 255 - ascii(c))), '') AS bytes FROM supplier UNION ALL SELECT {_ID}, 'I3', len(s_name)::INT, array_to_string(list_transform(string_split(s_name, ''), lambda c: printf('%02x', ascii(c))), '') FROM supplier UNION ALL SELECT {_ID}, 'I2', len(s_name)::INT, 'UnsupportedFilter' FROM supplier")
+def image_data(spark, d):
+    return resources.images(page_files(spark, d)).select("file_id", "at", "height", F.coalesce(F.lower(F.hex("data")), F.col("error_code")).alias("bytes"))
+
+
+@query(f"SELECT {_ID}, 'I2' AS at, 'jpg' AS ext, md5(s_name) AS digest FROM supplier UNION ALL SELECT {_ID}, 'I3', 'bin', md5(s_name) FROM supplier")
+def image_export(spark, d):
+    return resources.images(page_files(spark, d)).where("at <> 'I1'").select("file_id", "at", "ext", F.md5("raw").alias("digest"))
+
+
+@query("SELECT doc_id, md5(text) AS digest, strlen(text)::BIGINT AS bytes, md5(text) <> md5(text || 'x') AS differs FROM documents")
+def image_bits_invert(spark, d):
+    plain = F.encode("text", "UTF-8")
+    once = codecs.bytes_udf(codecs.inverted_bits)(plain)
+    again = codecs.bytes_udf(codecs.inverted_bits)(once)
+    return table(spark, d, "documents").select("doc_id", F.md5(again).alias("digest"), F.octet_length(once).cast("long").alias("bytes"), (once != plain).alias("differs"))
+
+
+# Pages ---------------------------------------------------------------------------------------------------------------
+
+_PAGES = "(SELECT *, unnest(range(s_suppkey % 4 + 1)) AS i FROM supplier)"
+
+
+@query(f"SELECT {_ID}, i::INT AS page, 2 AS parts, md5('q /G1 gs BT /F1 10 Tf (' || s_name || ') Tj ET /I1 Do /Missing Do Q') AS digest FROM {_PAGES}")
+def content_concat(spark, d):
+    return resources.page_contents(page_files(spark, d)).select("file_id", "page", "parts", F.md5("decoded").alias("digest"))
+
+
+@query(f"SELECT {_ID}, i::INT AS page, unnest(['ExtGState', 'Font', 'XObject', 'XObject']) AS category, unnest(['G1', 'F1', 'I1', 'Missing']) AS name, unnest([false, true, true, false]) AS found FROM {_PAGES}")
+def resources_used(spark, d):
+    made = page_files(spark, d)
+    ops = content.content_ops(resources.page_contents(made), number="page").withColumnRenamed("obj", "page")
+    got = resources.named_resources(ops.withColumn("page", F.col("page").cast("int")), resources.page_resources(made))
+    return got.select("file_id", "page", "category", "name", F.col("ref_id").isNotNull().alias("found"))
+
+
+def _copied(used):
+    def change(f):
+        return copying.document_of([(f, d) for _, _, d, _ in views.found(f, "Page")], used)
+
+    return change
+
+
+@query(f"SELECT {_ID}, i::INT AS page, unnest(['ExtGState', 'Font', 'XObject']) AS category, unnest(['G1', 'F1', 'I1']) AS name FROM {_PAGES}")
+def page_clone_used(spark, d):
+    made = writer.revised(page_files(spark, d), _copied(("ExtGState", "Font", "XObject"))).drop("error_code")
+    return resources.page_resources(made).select("file_id", "page", "category", "name")
+
+
+@query(f"SELECT {_ID}, i::INT AS page, (CASE WHEN i = 0 THEN s_suppkey % 70 + 1 ELSE s_suppkey % 60 + 1 END)::DOUBLE AS top, CASE WHEN i = 0 THEN 180 ELSE 90 END AS rotate FROM {_PAGES}")
+def page_clone_inherited(spark, d):
+    made = writer.revised(page_files(spark, d), _copied(None)).drop("error_code")
+    page = views.view(made, "Page")
+    return page.select("file_id", (F.row_number().over(_by_file("obj")) - 1).cast("int").alias("page"), F.col("MediaBox.top").alias("top"), F.col("Rotate").alias("rotate"))
+
+
+def _by_file(order):
+    from pyspark.sql import Window
+
+    return Window.partitionBy("file_id").orderBy(order)
+
+
+@query(f"SELECT {_ID}, 'd' || i AS name, i::INT AS page, CASE WHEN i % 2 = 1 THEN 'Fit' ELSE 'XYZ' END AS view, NULL::VARCHAR AS error_code FROM {_PAGES} UNION ALL SELECT {_ID}, 'old', 0, 'FitB', NULL FROM supplier")
+def dest_resolution(spark, d):
+    return copying.destinations(page_files(spark, d)).select("file_id", F.decode("name", "UTF-8").alias("name"), "page", "view", "error_code")
+
+
+@query(f"SELECT {_ID}, unnest(['N', 'N', 'D']) AS entry, unnest(['On', 'Off', NULL]) AS state FROM supplier")
+def annot_appearances(spark, d):
+    return copying.appearances(page_files(spark, d)).select("file_id", "entry", "state")
+
+
+@query(f"SELECT {_ID}, least(s_suppkey % 10, 20)::DOUBLE AS \"left\", 5.0::DOUBLE AS bottom, 20.0::DOUBLE AS \"right\", 9.0::DOUBLE AS top FROM supplier")
+def quad_to_rect(spark, d):
+    notes = views.view(page_files(spark, d), "Annot")
+    return notes.select("file_id", F.explode(numeric.quads(F.col("QuadPoints"))).alias("r")).select("file_id", "r.*")
+
+
+# Copies, comparison, updates -----------------------------------------------------------------------------------------
+
+
+def _renumbered(f):
+    b = Builder()
+    for _ in range(5):
+        b.create({"Padding": True})
+    root = f.trailer["Root"]
+    known = writer.imported(f, [root], b)
+    new = known[root.id]
+    if f.resolve(f.resolve(root)["AcroForm"]["Fields"][0])["V"][-1] % 3 == 0:
+        b.changes[new.id] = b.changes[new.id] | {"Lang": b"xx"}
+    return b.save({"Root": new})
+
+
+@query(f"SELECT {_ID}, ascii(right(s_name, 1)) % 3 <> 0 AS equal FROM supplier")
+def graph_equal(spark, d):
+    made = page_files(spark, d)
+    other = writer.revised(made, _renumbered).select("file_id", F.col("content").alias("other"))
+    return copying.compared(made.join(other, "file_id")).select("file_id", "equal")
+
+
+def _put(f):
+    b = Builder(f)
+    copying.put(b, ["AcroForm", "Fields", 0, "V"], f.resolve(f.resolve(f.trailer["Root"])["AcroForm"]["Fields"][0])["V"] + b"!")
+    return b.save({"Root": f.trailer["Root"]})
+
+
+@query(f"SELECT {_ID}, s_name || '!' AS value FROM supplier")
+def update_by_path(spark, d):
+    made = writer.revised(page_files(spark, d), _put).drop("error_code")
+    return views.view(made, "Field").select("file_id", F.regexp_extract("V", r"\((.*)\)", 1).alias("value"))
+
+
+@query(f"SELECT {_ID}, 'OneColumn' AS layout, (s_suppkey % 4 + 1)::BIGINT AS pages FROM supplier")
+def update_catalog(spark, d):
+    made = writer.revised(page_files(spark, d), lambda f: copying.updated_catalog(f, {"PageLayout": Name("OneColumn")})).drop("error_code")
+    pages = views.view(made, "Page").groupBy("file_id").agg(F.count("*").alias("pages"))
+    return views.view(made, "Catalog").select("file_id", F.col("PageLayout").alias("layout")).join(pages, "file_id")
+
+
+def fdf_file(turns) -> bytes:
+    rows = b"".join(b"<< /T %s /V %s >>\n" % (syntax.serialize(encoded(r)), syntax.serialize(encoded(t))) for r, t in turns)
+    return b"%FDF-1.2\n1 0 obj\n<< /FDF << /Fields [\n" + rows + b"] >> >>\nendobj\ntrailer\n<< /Root 1 0 R >>\n%%EOF\n"
+
+
+@query(r"SELECT conv_id::VARCHAR AS file_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS ord, role AS name, md5(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10))) AS digest, len(string_split(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)))::INT AS lines FROM conversations")
+def fdf_fields(spark, d):
+    turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            yield pd.DataFrame({"file_id": batch["conv_id"].astype(str), "content": [fdf_file([(x["role"], x["text"]) for x in t]) for t in batch["t"]]})
+
+    got = copying.fdf_fields(turns.mapInPandas(run, "file_id string, content binary"))
+    return got.select("file_id", "ord", "name", F.md5(F.array_join("lines", "\n")).alias("digest"), F.size("lines").alias("lines"))
+
+
+# Conversations as files: counts that follow from the turns -------------------------------------------------------------
+
+_TURNS = "(SELECT conv_id::VARCHAR AS file_id, count(*) AS t FROM conversations GROUP BY 1)"
+
+
+@query(f"SELECT file_id, (10 * t + 2 + ceil(t / 8.0))::BIGINT AS edges FROM {_TURNS}")
+def doc_edges(spark, d):
+    from folioforge.operators import graph
+
+    return graph.edges_of(files.nodes(conversation_files(spark, d))).groupBy("file_id").agg(F.count("*").alias("edges"))
+
+
+@query(f"SELECT file_id, (6 * t + 3 + ceil(t / 8.0))::BIGINT AS objects, t::BIGINT AS streams FROM {_TURNS}")
+def doc_scan_objects(spark, d):
+    got = files.scanned(conversation_files(spark, d)).where("error_code IS NULL")
+    return got.groupBy("file_id").agg(F.count("*").alias("objects"), F.count_if(F.col("kind") == "Stream").alias("streams"))
+
+
+@query(f"SELECT file_id, t::BIGINT AS pages, t::INT AS stated FROM {_TURNS}")
+def doc_roundtrip_pages(spark, d):
+    made = conversation_files(spark, d)
+    pages = views.view(made, "Page").groupBy("file_id").agg(F.count("*").alias("pages"))
+    return pages.join(views.view(made, "PagesNode").select("file_id", F.col("Count").alias("stated")), "file_id")
+
+
+@query(f"SELECT file_id, (10 * t + 3 + ceil(t / 8.0))::BIGINT AS loads, (6 * t + 3 + ceil(t / 8.0))::BIGINT AS objects FROM {_TURNS}")
+def doc_loads(spark, d):
+    return copying.loads(conversation_files(spark, d)).groupBy("file_id").agg(F.sum("loads").alias("loads"), F.count("*").alias("objects"))
+
+
+# Tokens --------------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, len(w)::INT AS words, md5(array_to_string(list_reverse(w), ' ')) AS digest FROM (SELECT doc_id, regexp_extract_all(text, '[^\\x00 \\r\\n\\t]+') AS w FROM documents)")
+def lexer_back(spark, d):
+    @F.pandas_udf("array<string>")
+    def words(s):
+        def one(t):
+            lex, out = syntax.Lexer((t or "").encode()), []
+            lex.pos = lex.end
+            while True:
+                try:
+                    out.append(lex.back().decode())
+                except syntax.SyntaxIssue:
+                    return out
+
+        return s.map(one)
+
+    got = table(spark, d, "documents").select("doc_id", words("text").alias("w"))
+    return got.select("doc_id", F.size("w").alias("words"), F.md5(F.array_join("w", " ")).alias("digest"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 7 <= p_partkey % 25 AND p_partkey % 25 <= 20 THEN (p_partkey % 25 - p_size % 7)::INT END AS size FROM part")
+def byte_ranges(spark, d):
+    @F.pandas_udf("int")
+    def size(a, b):
+        def one(x, y):
+            try:
+                lo, hi = syntax.span(20, x, y)
+                return hi - lo
+            except syntax.SyntaxIssue:
+                return None
+
+        import pandas as pd
+
+        return pd.Series([one(int(x), int(y)) for x, y in zip(a, b)], dtype="Int32")
+
+    return table(spark, d, "part").select("p_partkey", size(F.col("p_size") % 7, F.col("p_partkey") % 25).alias("size"))
+
+
+@query("SELECT event_id, event_id % 4 IN (0, 1) AS parsed FROM events")
+def parse_flags_filter(spark, d):
+    mask = syntax.KINDS["Integer"] | syntax.KINDS["Name"]
+
+    @F.pandas_udf("boolean")
+    def fits(s):
+        def one(t):
+            try:
+                syntax.Parser(t.encode()).value(mask)
+                return True
+            except syntax.SyntaxIssue:
+                return False
+
+        return s.map(one)
+
+    n = F.col("event_id") % 4
+    text = F.when(n == 0, F.col("event_id").cast("string")).when(n == 1, F.concat(F.lit("/"), "event_type")).when(n == 2, F.concat(F.lit("("), "event_type", F.lit(")"))).otherwise("<< /A 1 >>")
+    return table(spark, d, "events").select("event_id", fits(text).alias("parsed"))
+
+
+#: The first 32 bytes that the cipher gives for the key 01 02 03 04 05 (fixed values of a published test vector).
+_RC4 = "b2396305f03dc027ccc3524a0a1118a86982944f18fc82d589c403a47a0d0919"
+
+
+@query(f"SELECT s_suppkey, array_to_string(list_transform(range(1, 1 + len(s_name)), lambda i: printf('%02x', xor(ascii(s_name[i]), ('0x' || substr('{_RC4}', 2 * i - 1, 2))::INT))), '') AS sealed FROM supplier")
+def crypt_rc4(spark, d):
+    sealed = codecs.bytes_udf(lambda b: crypt.rc4(bytes([1, 2, 3, 4, 5]), b))
+    return table(spark, d, "supplier").select("s_suppkey", F.lower(F.hex(sealed(F.encode("s_name", "UTF-8")))).alias("sealed"))

@@ -63,6 +63,14 @@ def kind_of(v: Any) -> str:
     raise TypeError(type(v))
 
 
+def span(size: int, start: int | None = None, end: int | None = None) -> tuple[int, int]:
+    """A range of places in `size` bytes, open on either side; one that is turned round or runs past the end is an error."""
+    start, end = 0 if start is None else start, size if end is None else end
+    if not 0 <= start <= end <= size:
+        raise SyntaxIssue("ContentReadPastBoundary", f"{start}..{end} of {size}")
+    return start, end
+
+
 class Lexer:
     """A cursor over bytes that yields one token at a time; <<, >> and /name are single tokens."""
 
@@ -101,6 +109,29 @@ class Lexer:
         finally:
             self.pos = at
 
+    def back(self) -> bytes:
+        """The word before the cursor, up to white space on either side; the cursor moves to its start."""
+        end = self.pos
+        while end > 0 and self.data[end - 1] in WHITE:
+            end -= 1
+        start = self.boundary_back(end)
+        if start == end:
+            raise SyntaxIssue("EOF")
+        self.pos = start
+        return self.data[start:end]
+
+    def boundary(self, at: int) -> int:
+        """The first white space from a place on, or the end."""
+        while at < self.end and self.data[at] not in WHITE:
+            at += 1
+        return at
+
+    def boundary_back(self, at: int) -> int:
+        """The place after the last white space before a place, or the beginning."""
+        while at > 0 and self.data[at - 1] not in WHITE:
+            at -= 1
+        return at
+
     def expect(self, token: bytes) -> None:
         at = self.pos
         got = self.next()
