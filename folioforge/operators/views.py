@@ -256,12 +256,13 @@ def _chain(f: File, first: Any, down: str, along: str | None) -> Iterator[Found]
             todo += reversed(kids if isinstance(kids, list) else [kids] if kids is not None else [])
 
 
-def found(f: File, name: str) -> Iterator[Found]:
-    """(object, key, dictionary, stream) of every dictionary of a record."""
+def found(f: File, name: str, known: tuple[dict, dict] | None = None) -> Iterator[Found]:
+    """(object, key, dictionary, stream) of every dictionary of a record; known: the sources and checks to go by."""
+    sources, checks = known or (SOURCES, CHECKS)
     from folioforge.operators.navigation import _catalog, _dict, tree_leaves
 
-    check = CHECKS.get(name)
-    for source in SOURCES[name].split():
+    check = checks.get(name)
+    for source in sources[name].split():
         if source == "trailer":
             rows: Iterator[Found] = iter([(None, None, f.trailer, None)])
         elif source.startswith("type:"):
@@ -281,14 +282,14 @@ def found(f: File, name: str) -> Iterator[Found]:
                 rows = (x for k, v in tree_leaves(f, tree, key) for x in _at(f, v, None, k.decode("utf-8", "replace") if isinstance(k, bytes) else str(k)))
         else:
             owner, key = source.rstrip("*").split(".")
-            rows = _below(f, owner, key, source.endswith("*"))
+            rows = _below(f, owner, key, source.endswith("*"), known)
         for row in rows:
             if check is None or f.resolve(row[2].get(check[0])) == check[1]:
                 yield row
 
 
-def _below(f: File, owner: str, key: str, each: bool) -> Iterator[Found]:
-    for obj, _, d, _ in found(f, owner):
+def _below(f: File, owner: str, key: str, each: bool, known: tuple[dict, dict] | None) -> Iterator[Found]:
+    for obj, _, d, _ in found(f, owner, known):
         v = d.get(key)
         inner = f.resolve(v)
         if each:
@@ -318,10 +319,10 @@ def view(files: DataFrame, name: str, options: Options | None = None) -> DataFra
     obj: the object that holds it; at: its key where it stands in a dictionary or tree. A dictionary that lacks a
     required key, or has a wrong value there, is an error row.
     """
-    parsed, names = fields(name), columns(name)
+    parsed, names, known = fields(name), columns(name), (dict(SOURCES), dict(CHECKS))  # executors know no record of one's own
 
     def rows(file_id, f):
-        for obj, at, d, _ in found(f, name):
+        for obj, at, d, _ in found(f, name, known):
             try:
                 yield file_id, obj, at, *row_of(f, name, d, parsed)
             except FAULTS as e:
