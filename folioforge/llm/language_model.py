@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from folioforge.llm.common import LOWER, discard, mix, range_hash, stored, text_slices, word_bounds
 from folioforge.llm.jaccard import by_group, lists
 
-HEAD, HEAD_CLASS, TAILS = 1024, 32, 64
+HEAD, HEAD_CLASS, TAILS = 768, 32, 64
 HIDDEN, WINDOW, LANES = 24, 20, 256
 #: Words that scoring takes at a time in each lane.
 STRIDE = 16
@@ -145,19 +145,32 @@ class Network:
             self.p["cb"][:] = np.log(np.maximum(shares, 1e-7))
 
     def states(self, inputs: np.ndarray, keep: np.ndarray, h: np.ndarray, memo: list | None = None) -> np.ndarray:
-        """Hidden states after each of (time, lanes) inputs; keep is 0 where a document begins."""
-        u, gates = self.p["u"], self.p["x"][inputs]
+        """Hidden states after each of (time, lanes) inputs; keep is 0 where a document begins.
+
+        memo takes what the way back needs: the states before each step, the gates, the candidates and their inner part.
+        """
+        u, rz, n = self.p["u"], self.p["x"][inputs], None
         out = np.empty((*inputs.shape, HIDDEN), np.float32)
+        before, inner = (np.empty_like(out) for _ in range(2)) if memo is not None else (None, None)
+        begins = keep.min(1) < 1
         for t in range(len(inputs)):
-            h = h * keep[t][:, None]
-            g = h @ u
-            rz = sigmoid(gates[t, :, : 2 * HIDDEN] + g[:, : 2 * HIDDEN])
-            r, z = rz[:, :HIDDEN], rz[:, HIDDEN:]
-            n = np.tanh(gates[t, :, 2 * HIDDEN :] + r * g[:, 2 * HIDDEN :])
+            if begins[t]:
+                h = h * keep[t][:, None]
+            g, x = h @ u, rz[t]
+            gates, n = x[:, : 2 * HIDDEN], x[:, 2 * HIDDEN :]
+            gates += g[:, : 2 * HIDDEN]
+            sigmoid(gates)
             if memo is not None:
-                memo.append((h, r, z, n, g[:, 2 * HIDDEN :]))
-            h = n + z * (h - n)
-            out[t] = h
+                before[t], inner[t] = h, g[:, 2 * HIDDEN :]
+            n += gates[:, :HIDDEN] * g[:, 2 * HIDDEN :]
+            np.tanh(n, out=n)
+            after = out[t]
+            np.subtract(h, n, out=after)
+            after *= gates[:, HIDDEN:]
+            after += n
+            h = after
+        if memo is not None:
+            memo += [before, rz[..., :HIDDEN], rz[..., HIDDEN : 2 * HIDDEN], rz[..., 2 * HIDDEN :], inner, begins]
         return out
 
     def in_class(self, h: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -233,20 +246,25 @@ class Network:
         d_states = np.zeros((states.shape[0] * states.shape[1], HIDDEN), np.float32)
         d_states[rows] = down
         d_states = d_states.reshape(states.shape)
+        before, r, z, n_, inner, begins = memo
+        rest = 1 - z
+        to_n, to_z, to_r = rest * (1 - n_ * n_), (before - n_) * (z * rest), inner * (r * (1 - r))
         back, dh = np.ascontiguousarray(self.p["u"].T), np.zeros_like(h0)
         d_gates, d_inner = (np.empty((*inputs.shape, 3 * HIDDEN), np.float32) for _ in range(2))
         for t in range(len(inputs) - 1, -1, -1):
-            hp, r, z, nn, gn = memo[t]
-            dh = dh + d_states[t]
-            dn = dh * (1 - z) * (1 - nn * nn)
-            g = d_gates[t]
-            np.multiply(dn * gn, r * (1 - r), out=g[:, :HIDDEN])
-            np.multiply(dh * (hp - nn), z * (1 - z), out=g[:, HIDDEN : 2 * HIDDEN])
-            g[:, 2 * HIDDEN :] = dn
-            d_inner[t] = g
-            d_inner[t, :, 2 * HIDDEN :] *= r
-            dh = (dh * z + d_inner[t] @ back) * keep[t][:, None]
-        grads.p["u"][:] = np.concatenate([m[0] for m in memo]).T @ d_inner.reshape(-1, 3 * HIDDEN)
+            dh += d_states[t]
+            g, i = d_gates[t], d_inner[t]
+            dn = g[:, 2 * HIDDEN :]
+            np.multiply(dh, to_n[t], out=dn)
+            np.multiply(dn, to_r[t], out=g[:, :HIDDEN])
+            np.multiply(dh, to_z[t], out=g[:, HIDDEN : 2 * HIDDEN])
+            i[:, : 2 * HIDDEN] = g[:, : 2 * HIDDEN]
+            np.multiply(dn, r[t], out=i[:, 2 * HIDDEN :])
+            dh *= z[t]
+            dh += i @ back
+            if begins[t]:
+                dh *= keep[t][:, None]
+        grads.p["u"][:] = before.reshape(-1, HIDDEN).T @ d_inner.reshape(-1, 3 * HIDDEN)
         order = np.argsort(inputs.ravel(), kind="stable")
         used, first = np.unique(inputs.ravel()[order], return_index=True)
         grads.p["x"][used] = np.add.reduceat(d_gates.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
@@ -306,12 +324,16 @@ class Vocabulary:
 
     def symbols(self, h: np.ndarray, tail: np.ndarray, rows: np.ndarray, n: int) -> list[np.ndarray]:
         """The symbols of each of n rows, END last."""
-        out = HEAD + 1 + tail
+        out = (HEAD + 1 + tail).astype(np.int32)
         if len(self.sorted) and len(h):
             at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
-            out = np.where(self.sorted[at] == h, self.order[at], out)
+            out = np.where(self.sorted[at] == h, self.order[at].astype(np.int32), out)
+        return self.by_row(out, rows, n)
+
+    @staticmethod
+    def by_row(symbols: np.ndarray, rows: np.ndarray, n: int) -> list[np.ndarray]:
         cuts = np.searchsorted(rows, np.arange(n + 1))
-        return [np.append(out[cuts[i] : cuts[i + 1]], END) for i in range(n)]
+        return [np.append(symbols[cuts[i] : cuts[i + 1]], np.int32(END)) for i in range(n)]
 
 
 def added(rows: DataFrame, size: int) -> DataFrame:
@@ -399,37 +421,40 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
     order = np.argsort(common["h"].to_numpy().astype(np.int64).view(np.uint64)) if len(common) else np.zeros(0, int)
     held_h = common["h"].to_numpy().astype(np.int64).view(np.uint64)[order]
     held_c = common["c"].to_numpy().astype(np.int64)[order]
-    held_tail = np.ones(len(order), bool)
-    held_tail[order < HEAD] = False
+    held_symbol = np.where(order < HEAD, order, -1).astype(np.int32)  # -1: a word of its tail class
     tail_log = np.log10(tail_words + tail_kinds + 1)
-    shared = spark.sparkContext.broadcast((words, weights, held_h, np.log10(held_c + 1.0), held_tail, tail_log, float(np.log10(ends + 1.0))))
+    shared = spark.sparkContext.broadcast((weights, held_h, np.log10(held_c + 1.0), held_symbol, tail_log, float(np.log10(ends + 1.0))))
     all_common = facts.v <= COMMON
 
     def run(batches):
-        v, w, hs, logs, is_tail, tails, end_log = shared.value
+        w, hs, logs, symbol, tails, end_log = shared.value
         net = Network(w)
         for batch in batches:
+            done, far = [], []  # texts of more than PIECE words run side by side, once for the batch
             for lo, hi, data, offs in text_slices(batch.column(2), 8_000_000):
                 n = hi - lo
                 parts = [words_of(data[a:b], o) for a, b, o in cut(data, offs)]
                 firsts = np.cumsum([0, *(len(o) - 1 for _, _, o in cut(data, offs))])
                 h, tail = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
                 of = np.concatenate([p[2] + f for p, f in zip(parts, firsts)])
-                symbols = v.symbols(h, tail, of, n)
-                recurrent = net.document_scores(symbols) / np.log(10)
                 at = np.minimum(np.searchsorted(hs, h), max(len(hs) - 1, 0))
                 found = hs[at] == h if len(hs) else np.zeros(len(h), bool)
                 log = np.where(found, logs[at] if len(hs) else 0.0, 0.0)
-                flat_symbols = np.concatenate([s[:-1] for s in symbols]) if n else np.zeros(0, int)
-                in_tail = flat_symbols > HEAD
-                base = np.bincount(of, log, n) + end_log
-                model = recurrent + np.bincount(of, np.where(in_tail, log - tails[np.where(in_tail, tail, 0)], 0.0), n)
-                known = np.bincount(of, found, n).astype(np.int64)
-                tokens = np.bincount(of, minlength=n) + 1
+                in_tail = ~found | (symbol[at] < 0) if len(hs) else ~found
+                flat_symbols = np.where(in_tail, HEAD + 1 + tail, symbol[at] if len(hs) else 0).astype(np.int32)
+                symbols = Vocabulary.by_row(flat_symbols, of, n)
+                size = np.bincount(of, minlength=n)
+                near = np.flatnonzero(size <= PIECE)
+                model = np.bincount(of, np.where(in_tail, log - tails[tail], 0.0), n)
+                model[near] += net.document_scores([symbols[i] for i in near]) / np.log(10)
+                far += [(len(done), i, symbols[i]) for i in np.flatnonzero(size > PIECE)]
                 rare = ~found & (not all_common)
-                counts_rare = np.bincount(of[rare], minlength=n)
-                rare_lists = lists(h[rare].view(np.int64), np.concatenate([[0], np.cumsum(counts_rare)]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, n), batch.column(1).slice(lo, n), pa.array(tokens), pa.array(known), pa.array(base), pa.array(model), rare_lists], ["key", "held", "n_tokens", "n_known", "base", "model", "rare"])
+                rare_lists = lists(h[rare].view(np.int64), np.concatenate([[0], np.cumsum(np.bincount(of[rare], minlength=n))]))
+                done.append((lo, model, pa.array(size + 1), pa.array(np.bincount(of, found, n).astype(np.int64)), pa.array(np.bincount(of, log, n) + end_log), rare_lists))
+            for (k, i, _), x in zip(far, net.document_scores([x for _, _, x in far]) / np.log(10)):
+                done[k][1][i] += x
+            for lo, model, tokens, known, base, rare_lists in done:
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(model)), batch.column(1).slice(lo, len(model)), tokens, known, base, pa.array(model), rare_lists], ["key", "held", "n_tokens", "n_known", "base", "model", "rare"])
 
     kind = rows.schema["key"].dataType.simpleString()
     done = rows.mapInArrow(run, f"key {kind}, held boolean, n_tokens long, n_known long, base double, model double, rare array<long>")
