@@ -315,6 +315,33 @@ def laid_out(symbols: list[np.ndarray], lanes: int) -> tuple[np.ndarray, np.ndar
     return tuple(np.ascontiguousarray(x.T) for x in (inputs, targets, keep, doc))
 
 
+class Lookup:
+    """Places of hashes in an ascending array of distinct ones; their first 20 bits lead to a few neighbours at most."""
+
+    def __init__(self, known: np.ndarray):
+        self.known = known
+        self.starts = np.searchsorted(known, np.arange(1 << 20, dtype=np.uint64) << np.uint64(44)).astype(np.int32)
+        ends = np.append(self.starts[1:], len(known))
+        self.longest = int((ends - self.starts).max(initial=0))
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, whether it is there) of each hash; a place that is not there is any."""
+        if not len(self.known):
+            return np.zeros(len(h), np.int32), np.zeros(len(h), bool)
+        last = np.int32(len(self.known) - 1)
+        at = np.minimum(self.starts[(h >> np.uint64(44)).astype(np.int32)], last)
+        there = self.known[at] == h
+        left = np.flatnonzero(~there)
+        for k in range(1, self.longest):
+            place = np.minimum(at[left] + np.int32(k), last)
+            hit = self.known[place] == h[left]
+            at[left[hit]], there[left[hit]] = place[hit], True
+            left = left[(self.known[place] < h[left])]
+            if not len(left):
+                break
+        return at, there
+
+
 class Vocabulary:
     """The head words by rank, as hashes, and the class counts."""
 
@@ -428,7 +455,7 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
 
     def run(batches):
         w, hs, logs, symbol, tails, end_log = shared.value
-        net = Network(w)
+        net, common_words = Network(w), Lookup(hs)
         for batch in batches:
             done, far = [], []  # texts of more than PIECE words run side by side, once for the batch
             for lo, hi, data, offs in text_slices(batch.column(2), 8_000_000):
@@ -437,8 +464,7 @@ def score(docs: DataFrame, held_out: Column, key: str = "doc_id", text: str = "t
                 firsts = np.cumsum([0, *(len(o) - 1 for _, _, o in cut(data, offs))])
                 h, tail = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
                 of = np.concatenate([p[2] + f for p, f in zip(parts, firsts)])
-                at = np.minimum(np.searchsorted(hs, h), max(len(hs) - 1, 0))
-                found = hs[at] == h if len(hs) else np.zeros(len(h), bool)
+                at, found = common_words.find(h)
                 log = np.where(found, logs[at] if len(hs) else 0.0, 0.0)
                 in_tail = ~found | (symbol[at] < 0) if len(hs) else ~found
                 flat_symbols = np.where(in_tail, HEAD + 1 + tail, symbol[at] if len(hs) else 0).astype(np.int32)

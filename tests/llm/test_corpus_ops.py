@@ -266,6 +266,15 @@ def test_every_training_document_is_learnt_from(frame, monkeypatch):
     assert again == pytest.approx(first, rel=1e-6)
 
 
+def test_lookup_finds_what_is_there():
+    r = np.random.default_rng(5)
+    for n in (0, 1, 7, 5000, 300_000):
+        known = np.unique(np.concatenate([r.integers(0, 2**64, n, dtype=np.uint64), (np.uint64(5) << np.uint64(44)) + r.integers(0, 99, min(n, 40), dtype=np.uint64)]))[: max(n, 0)]
+        h = np.concatenate([known[r.integers(0, max(len(known), 1), 2000 if len(known) else 0)], r.integers(0, 2**64, 2000, dtype=np.uint64), (np.uint64(5) << np.uint64(44)) + r.integers(0, 120, 200, dtype=np.uint64)])
+        at, there = language_model.Lookup(known).find(h)
+        assert (there == np.isin(h, known)).all() and (not len(known) or (known[at[there]] == h[there]).all())
+
+
 def test_commonest_words_are_never_too_many_and_never_none(spark):
     many = spark.createDataFrame([(h, 10_000, 0) for h in range(6)] + [(10 + h, 3, 0) for h in range(9)], "h long, c long, tail long")
     got = language_model.commonest(many, 3)
