@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 #: Symbols that are merged at a time in addition to the lookahead.
 WINDOW = 4096
 #: Entries of a worker's memo of what the transducer made of whole words; it starts anew when full.
-MEMO = 600_000
+MEMO = 150_000
 #: Characters of a text that are split into words at a time.
 PIECE = 1 << 16
 

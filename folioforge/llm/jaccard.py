@@ -269,7 +269,7 @@ def meetings(docs: DataFrame) -> DataFrame:
                     if x not in seen:
                         seen.add(x)
                         fresh[i] = True
-                if len(seen) > 1_000_000:
+                if len(seen) > 200_000:
                     seen = set()
                 t, r = listed_groups(h, b)
                 keep = fresh[r]
@@ -365,7 +365,7 @@ def family_edges(docs: DataFrame, members: DataFrame) -> DataFrame:
 
     def body(t: pa.Table):
         sets, sums = [], []
-        for _, _, data, offs in text_slices(t["text"], 1 << 22):
+        for _, _, data, offs in text_slices(t["text"]):
             h, b = sets_of(data, offs)
             sums.append(checksums(h, b)[0])
             sets += np.split(h, b[1:-1])
