@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -33,10 +34,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where that setting is absent (tests, a laptop) a local temporary folder takes its place.
+    Only where that setting is absent and driver and executors are one process (tests, a laptop) a local temporary folder
+    takes its place.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         held = getattr(scratch, "local", None)
         if held is None:
             held = scratch.local = tempfile.mkdtemp(prefix="folioforge-")

@@ -23,8 +23,9 @@ from folioforge.llm.common import stored
 from folioforge.llm.jaccard import by_group, flat, lists
 
 DIMS, SURE, LEAF = 8, 0.95, 256
-#: Entries that the top of the tree is fitted on, at most, and entries of a cell, about.
-SAMPLE, CELL = 20_000, 8_192
+#: Entries of a cell, about; cells, at most (beyond, cells grow); projected entries that the cuts are fitted on, about:
+#: SAMPLE, or PER_CELL for each cell where that is more. So the driver holds a million points of DIMS numbers at most.
+CELL, CELLS, SAMPLE, PER_CELL = 8_192, 65_536, 20_000, 16
 
 
 def chi2_quantile(p: float, k: int) -> float:
@@ -141,11 +142,13 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     """(query_id, rank, key, score): for each query row the k nearest rows of `vectors` but itself by inner product.
 
     Ties go to the smaller key; with fewer candidates all are returned. Vectors that are null, zero, or hold null or
-    non-finite components take no part, nor do rows with a null key or of another length than most. A repeated key is
+    non-finite components, or whose squares do not add up to a finite number, take no part, nor do rows with a null key or
+    of another length than most. A repeated key is
     one candidate for each distinct vector that it has.
     """
     spark = vectors.sparkSession
-    usable = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
+    squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    usable = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0) & (squares < float("inf"))
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).where("id IS NOT NULL").where(usable)
     asked = queries.select(F.col(key).cast("long").alias("id"), F.col(column).cast("array<double>").alias("v")).where("id IS NOT NULL").where(usable)
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
@@ -165,11 +168,19 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     top, n = float(facts.top), facts.n
     g = projection(dim)
 
-    cells = 1 << max(0, int(np.ceil(np.log2(max(n, 1) / CELL))))
+    cells = min(CELLS, 1 << max(0, int(np.ceil(np.log2(max(n, 1) / CELL)))))
     nodes: list[tuple[int, float]] = []
     if cells > 1:
-        some = entries.orderBy("_h").limit(SAMPLE).select("v").toPandas()["v"]
-        nodes = halves(lifted(np.stack(some.to_numpy()), top) @ g, cells)
+        step = max(1, n // max(SAMPLE, PER_CELL * cells))
+
+        def projected(batches):
+            for batch in batches:
+                p = lifted(flat(batch.column(0))[0].reshape(-1, dim), top) @ g
+                yield pa.RecordBatch.from_arrays([lists(p.ravel(), np.arange(len(p) + 1) * DIMS)], ["p"])
+
+        some = entries.where(F.pmod("_h", F.lit(step)) == 0).select("v").mapInArrow(projected, "p array<double>").toArrow()["p"]
+        points = flat(some)[0].reshape(-1, DIMS)
+        nodes = halves(points[np.lexsort(points.T)], cells)
 
     def placed(names: list[str], lift: bool):
         def run(batches):

@@ -166,6 +166,21 @@ def test_neighbours_against_brute_force(spark, monkeypatch):
     assert hit / total >= 0.9
 
 
+def test_more_cells_than_sampled_points(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "CELL", 4)
+    monkeypatch.setattr(neighbours, "SAMPLE", 10)
+    monkeypatch.setattr(neighbours, "PER_CELL", 1)
+    monkeypatch.setattr(neighbours, "CELLS", 64)
+    x = np.random.default_rng(9).standard_normal((400, 6)).astype(np.float32)
+    table = vectors(spark, [(i, v.tolist(), 0) for i, v in enumerate(x)] + [(900, [1e300] * 6, 0)])
+    got = {}
+    for r in neighbours.nearest(table, table.where("vec_id % 20 = 0"), 5).collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    d = x.astype(float)
+    hit = sum(len(set(v) & set(sorted(set(range(400)) - {q}, key=lambda k: -(d[k] @ d[q]))[:5])) for q, v in got.items())
+    assert len(got) == 20 and hit >= 90
+
+
 def test_few_or_no_vectors(spark):
     few = vectors(spark, [(0, [1.0, 2.0], 0), (1, [2.0, 1.0], 0), (20, [1.0, 2.0], 0)])
     got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in neighbours.nearest(few, few.where("vec_id % 20 = 0")).collect())
