@@ -1,5 +1,7 @@
 """Every query against its SQL on the smallest tables."""
 
+import hashlib
+
 import duckdb
 import pandas as pd
 import pytest
@@ -40,8 +42,9 @@ def test_inversion_covers_all_bytes(spark, tmp_path, monkeypatch):
     # an inversion that goes wrong for bytes above 127 must show
     monkeypatch.setattr(codecs, "bytes_udf", lambda f: lambda c: F.unhex(F.regexp_replace(F.hex(c), "C3BC", "C3BD")))
     spark.createDataFrame([(1, "plain"), (2, "gr\u00fcn")], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: (r.ok, r.bytes) for r in documents.image_bits_invert(spark, str(tmp_path)).collect()}
-    assert got == {1: (True, 5), 2: (False, 3)}
+    got = {r.doc_id: (r.digest, r.bytes) for r in resources.image_bits_invert(spark, str(tmp_path)).collect()}
+    right = {k: hashlib.md5(t.encode()).hexdigest() for k, t in ((1, "plain"), (2, "gr\u00fcn"))}
+    assert got[1] == (right[1], 5) and got[2][0] != right[2] and got[2][1] == 5
 
 
 def test_streamed_files(spark, tmp_path):
