@@ -53,26 +53,59 @@ def labels_of(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(out)
 
 
-def blocks(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str]]:
+class Path:
+    """The elements around a block: the hashed cells of their labels as bits, and which telling labels are among them.
+
+    Each element adds to what its parent has, so a block costs the same at any depth.
+    """
+
+    __slots__ = ("bits", "yes", "no")
+
+    def __init__(self, labels: tuple[str, ...] = (), parent: Path | None = None):
+        bits, self.yes, self.no = 0, not _TELLS_YES.isdisjoint(labels), not _TELLS_NO.isdisjoint(labels)
+        for w in labels:
+            if parent is not None or w not in ("html", "body"):
+                bits |= 1 << zlib.crc32(w.encode()) % PATH
+        if parent is not None:
+            bits, self.yes, self.no = bits | parent.bits, self.yes or parent.yes, self.no or parent.no
+        self.bits = bits
+
+
+#: Path labels that tell a block apart in the sample of real pages.
+_TELLS_NO = frozenset("nav footer aside form header .ad .ads .advert .advertisement .sidebar .menu .cookie .comments .comment .newsletter .related .share .social .promo".split())
+_TELLS_YES = frozenset("article main .content .article .post .entry".split())
+_ENDED_BY = {tag: tuple(e for e in ENDS if tag in ENDS[e]) for tag in BLOCKS}
+
+
+def blocks(page: str) -> list[tuple[Path, str]]:
     """(path, text) of the leaf blocks in page order: references decoded, white space made one blank, trimmed.
 
-    Elements of BLOCKS end a block, all others are part of it. Text that browsers don't show is left out.
+    Time grows with the page alone, however deep elements are nested: open elements are found by tag.
     """
     out, stack, words, quiet, pos = [], [], [], 0, 0
-    n = len(page)
+    open_at: dict[str, list[int]] = {}
+    open_blocks: list[int] = []
+    n, root = len(page), Path()
 
     def flush():
         if words:
             text = _SPACE.sub(" ", html.unescape("".join(words))).strip()
             words.clear()
             if text:
-                out.append((tuple(labels for _, labels in stack), text))
+                out.append((stack[-1][2] if stack else root, text))
 
     def pop():
         nonlocal quiet
-        tag, labels = stack.pop()
+        tag, labels, _ = stack.pop()
+        open_at[tag].pop()
+        if tag in BLOCKS:
+            open_blocks.pop()
         quiet -= tag in HIDDEN_TEXT or "!hidden" in labels
 
+    def last(tag: str) -> int:
+        at = open_at.get(tag)
+        return at[-1] if at else -1
+
     while pos < n:
         at = page.find("<", pos)
         if at < 0:
@@ -94,22 +127,23 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str]]:
         if tag in BLOCKS:
             flush()
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), -1)
-            if depth >= 0 and (tag in BLOCKS or not any(t in BLOCKS for t, _ in stack[depth + 1 :])):
+            depth = last(tag)
+            if depth >= 0 and (tag in BLOCKS or not open_blocks or open_blocks[-1] <= depth):
                 while len(stack) > depth:
                     pop()
             continue
-        for i in range(len(stack) - 1, -1, -1):
-            if tag in ENDS.get(stack[i][0], ()):
-                while len(stack) > i:
+        if tag in BLOCKS:
+            ends = max(map(last, _ENDED_BY[tag]), default=-1)
+            if ends >= 0 and ends > max(map(last, STOPS.get(tag, ())), default=-1):
+                while len(stack) > ends:
                     pop()
-                break
-            if stack[i][0] in STOPS.get(tag, ()) or tag not in BLOCKS:
-                break
         if tag in VOID:
             continue
         labels = labels_of(tag, m[3]) if m[3] else (tag,)
-        stack.append((tag, labels))
+        open_at.setdefault(tag, []).append(len(stack))
+        if tag in BLOCKS:
+            open_blocks.append(len(stack))
+        stack.append((tag, labels, Path(labels, stack[-1][2] if stack else None)))
         quiet += tag in HIDDEN_TEXT or "!hidden" in labels
         if tag in RAW:
             end = _RAW_END[tag].search(page, pos)
@@ -119,13 +153,9 @@ def blocks(page: str) -> list[tuple[tuple[tuple[str, ...], ...], str]]:
 
 
 @lru_cache(65_536)
-def path_vector(path: tuple[tuple[str, ...], ...]) -> np.ndarray:
-    """Each label of the path in its hashed cell; the leaf counts twice."""
-    v = np.zeros(PATH, np.float32)
-    for i, labels in enumerate(path):
-        for w in labels:
-            if i or w not in ("html", "body"):
-                v[zlib.crc32(w.encode()) % PATH] = 1.0
+def path_vector(bits: int) -> np.ndarray:
+    """A one in each cell of the path."""
+    v = np.unpackbits(np.frombuffer(bits.to_bytes(PATH // 8, "little"), np.uint8), bitorder="little").astype(np.float32)
     v.flags.writeable = False
     return v
 
@@ -153,7 +183,7 @@ INPUT = PATH + WORDS + 3
 
 
 def features(found: list) -> np.ndarray:
-    return np.array([np.concatenate([path_vector(p), word_vector(t)]) for p, t in found], np.float32).reshape(-1, INPUT)
+    return np.array([np.concatenate([path_vector(p.bits), word_vector(t)]) for p, t in found], np.float32).reshape(-1, INPUT)
 
 
 # The labeller --------------------------------------------------------------------------------------------------------
@@ -330,11 +360,6 @@ def generated(r: random.Random) -> tuple[str, set[str]]:
     return f"<!DOCTYPE html><html><head><title>x</title></head><body>{page}</body></html>", good
 
 
-#: Path labels that tell a block apart in the sample of real pages.
-_TELLS_NO = frozenset("nav footer aside form header .ad .ads .advert .advertisement .sidebar .menu .cookie .comments .comment .newsletter .related .share .social .promo".split())
-_TELLS_YES = frozenset("article main .content .article .post .entry".split())
-
-
 def train(pages: list[str], seed: int = 11) -> Labeller:
     r, seen = random.Random(seed), []
     for _ in range(GENERATED):
@@ -344,9 +369,8 @@ def train(pages: list[str], seed: int = 11) -> Labeller:
             seen.append((features(found), np.array([t in good for _, t in found], np.float32)))
     for page in pages:
         found = blocks(page)
-        marks = [{w for labels in p for w in labels} for p, _ in found]
-        no = [bool(m & _TELLS_NO) for m in marks]
-        yes = [bool(m & _TELLS_YES) and not k for m, k in zip(marks, no)]
+        no = [p.no for p, _ in found]
+        yes = [p.yes and not p.no for p, _ in found]
         if found and any(yes) and all(a or b for a, b in zip(yes, no)):
             seen.append((features(found), np.array(yes, np.float32)))
     return Labeller().fit(seen)
@@ -355,7 +379,8 @@ def train(pages: list[str], seed: int = 11) -> Labeller:
 def extract(pages: DataFrame, key: str = "page_id", column: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """key, the columns `keep`, and `text`: the article's blocks in page order, joined by line feeds; empty if none.
 
-    A null page reads as empty. The labeller is trained on the driver from GENERATED generated pages and at most SAMPLE
+    A null page reads as empty; null keys and repeated rows stay as they are, and an empty table gives no rows. The
+    labeller is trained on the driver from GENERATED generated pages and at most SAMPLE
     pages of the input; every page is then labelled where it is read, block by block, as a whole.
     """
     some = pages.where(F.col(column).isNotNull()).select(F.col(key).alias("k"), F.col(column).alias("h")).where(F.length("h") < 50_000)

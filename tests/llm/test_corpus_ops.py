@@ -308,6 +308,21 @@ def test_blocks():
     assert html_blocks.blocks("") == [] and html_blocks.blocks("<p") == [] and html_blocks.blocks("<<<") != None  # noqa: E711
 
 
+def test_deep_pages_take_linear_time():
+    import time
+
+    def took(depth):
+        page = "<div class='content a b'>" * depth + "".join(f"<p>text {k}</i></b></span>" for k in range(depth)) + "</div>" * depth
+        at = time.process_time()
+        found = html_blocks.blocks(page)
+        html_blocks.features(found)
+        assert len(found) == depth and found[0][0].yes and not found[0][0].no
+        return time.process_time() - at
+
+    took(500)
+    assert took(20_000) < 40 * max(took(2000), 0.02)
+
+
 def test_extraction_held_out(spark):
     r = random.Random(4321)
     made = [html_blocks.generated(r) for _ in range(120)]
