@@ -41,11 +41,6 @@ def xref_field_widths(spark, d):
     return got.withColumn("width", index.byte_width(F.col("max_a")))
 
 
-@query("SELECT o_orderstatus AS kind, count(*) AS live FROM orders WHERE o_orderstatus IN ('F','O') GROUP BY 1")
-def xref_live_entries(spark, d):
-    return table(spark, d, "orders").where(F.col("o_orderstatus").isin("F", "O")).groupBy(F.col("o_orderstatus").alias("kind")).agg(F.count("*").alias("live"))
-
-
 @query("SELECT c.c_custkey, c.c_name FROM customer c WHERE c.c_custkey % 7 <> 0 UNION ALL SELECT c_custkey, upper(c_name) FROM customer WHERE c_custkey % 7 = 0")
 def delta_overlay(spark, d):
     base = table(spark, d, "customer").select("c_custkey", "c_name")
@@ -83,12 +78,6 @@ def deref_optional(spark, d):
     return graph.dereferenced(table(spark, d, "customer"), "c_nationkey", some, "n_nationkey", False).select("c_custkey", "n_name")
 
 
-@query("SELECT 'order' AS kind, o_orderkey AS src, o_custkey AS dst FROM orders UNION ALL SELECT 'customer', c_custkey, c_nationkey FROM customer UNION ALL SELECT 'nation', n_nationkey, n_regionkey FROM nation")
-def graph_trace(spark, d):
-    e = lambda t, k, a, b: table(spark, d, t).select(F.lit(k).alias("kind"), F.col(a).cast("long").alias("src"), F.col(b).cast("long").alias("dst"))
-    return e("orders", "order", "o_orderkey", "o_custkey").union(e("customer", "customer", "c_custkey", "c_nationkey")).union(e("nation", "nation", "n_nationkey", "n_regionkey"))
-
-
 @query("SELECT root, node, depth FROM (SELECT 's' || s_suppkey AS root, 's' || s_suppkey AS node, 0 AS depth FROM supplier UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 1 FROM supplier UNION ALL SELECT 's' || s_suppkey, 'r' || n_regionkey, 2 FROM supplier JOIN nation ON s_nationkey = n_nationkey)")
 def graph_closure(spark, d):
     key = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))

@@ -314,6 +314,82 @@ def doc_loads(spark, d):
     return copying.loads(conversation_files(spark, d)).groupBy("file_id").agg(F.sum("loads").alias("loads"), F.count("*").alias("objects"))
 
 
+def tree_file(rows) -> bytes:
+    """Names to numbers in a tree of names, a page for each in a tree of pages."""
+    b = Builder()
+    names = writer.name_tree(b, {n.encode(): b.create(k) for k, n in rows}, 4)
+    pages = writer.page_tree(b, [{"Rotate": k % 4 * 90} if k % 2 else {} for k, _ in rows], 3, MediaBox=[0, 0, 7, len(rows)])
+    return b.save({"Root": b.create({"Type": Name("Catalog"), "Pages": pages, "Names": {"Dests": names}})})
+
+
+def tree_files(spark, d) -> DataFrame:
+    rows = table(spark, d, "supplier").groupBy("s_nationkey").agg(F.array_sort(F.collect_list(F.struct("s_suppkey", F.reverse("s_name").alias("n")))).alias("t"))
+
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            yield pd.DataFrame({"file_id": batch["s_nationkey"].astype(str), "content": [tree_file([(int(x["s_suppkey"]), x["n"]) for x in t]) for t in batch["t"]]})
+
+    return rows.mapInPandas(run, "file_id string, content binary")
+
+
+@query("SELECT s_nationkey::VARCHAR AS file_id, (row_number() OVER (PARTITION BY s_nationkey ORDER BY reverse(s_name)) - 1)::INT AS ord, reverse(s_name) AS key FROM supplier")
+def name_tree_written(spark, d):
+    from folioforge.operators import navigation
+
+    return navigation.name_tree(tree_files(spark, d), "Dests").where("key IS NOT NULL").select("file_id", "ord", F.decode("key", "UTF-8").alias("key"))
+
+
+@query("SELECT s_nationkey::VARCHAR AS file_id, (row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1)::INT AS page, CASE WHEN s_suppkey % 2 = 1 THEN s_suppkey % 4 * 90 ELSE 0 END::INT AS rotate FROM supplier")
+def page_tree_written(spark, d):
+    def rows(file_id, f):
+        for at, (_, _, p, _) in enumerate(views.found(f, "Page")):
+            yield file_id, at, p.get("Rotate", 0)
+
+    return files._flat(tree_files(spark, d), "file_id string, page int, rotate int", rows, files.Options()).select("file_id", "page", "rotate")
+
+
+@query(f"SELECT {_ID}, unnest([0, 1, 2])::INT AS item, unnest([s_name, NULL, 'x']) AS text, unnest([NULL, s_suppkey % 50 - 120, NULL])::DOUBLE AS spacing FROM supplier")
+def ops_tj_spacing(spark, d):
+    def run(batches):
+        import pandas as pd
+
+        for batch in batches:
+            body = [b"BT [%s %d (x)] TJ ET" % (syntax.serialize(encoded(s)), k % 50 - 120) for k, s in zip(batch["s_suppkey"], batch["s_name"])]
+            yield pd.DataFrame({"file_id": batch["s_suppkey"].astype(str), "content": [writer.flat_document([b]) for b in body]})
+
+    made = table(spark, d, "supplier").select("s_suppkey", "s_name").mapInPandas(run, "file_id string, content binary")
+    got = content.adjusted_text(resources.page_contents(made), number="page")
+    return got.select("file_id", "item", F.decode("text", "UTF-8").alias("text"), "spacing")
+
+
+@query(f"SELECT file_id, 'Raw' AS kind, (6 * t + 4 + ceil(t / 8.0))::BIGINT AS live FROM {_TURNS}")
+def xref_live_entries(spark, d):
+    from folioforge.operators import index
+
+    raw = files.xref_raw(conversation_files(spark, d)).where("error_code IS NULL").withColumn("age", -F.col("rev"))
+    newest = index.latest(raw.select("file_id", "obj", "age", "kind"), ["file_id", "obj"], ["age"])
+    return newest.where("kind <> 'Free'").groupBy("file_id", "kind").agg(F.count("*").alias("live"))
+
+
+@query(f"SELECT file_id, k AS key, n::BIGINT AS edges FROM (SELECT file_id, unnest(['Parent', 'Next', 'Prev', 'F']) AS k, unnest([2 * t, t - 1, t - 1, t]) AS n FROM {_TURNS}) WHERE n > 0")
+def graph_trace(spark, d):
+    from folioforge.operators import graph
+
+    traced = graph.edges_of(files.nodes(conversation_files(spark, d))).where("key IN ('Parent', 'Next', 'Prev', 'F')")
+    return traced.groupBy("file_id", "key").agg(F.count("*").alias("edges"))
+
+
+@query(f"SELECT file_id, 'PDF-1.7' AS version, 2 AS revisions, (6 * t + 5 + ceil(t / 8.0))::BIGINT AS live, t::INT AS pages, false AS encrypted FROM {_TURNS}")
+def doc_facts(spark, d):
+    def change(f):
+        return copying.updated_catalog(f, {"PageLayout": Name("SinglePage")})
+
+    made = writer.revised(conversation_files(spark, d), change).drop("error_code")
+    return files.facts(made).select("file_id", "version", "revisions", "live", "pages", "encrypted")
+
+
 # Tokens --------------------------------------------------------------------------------------------------------------
 
 

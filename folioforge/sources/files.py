@@ -77,6 +77,22 @@ class File:
     def version(self) -> str:
         return self.data[self.start + 1 : self.start + 8].decode("latin-1")
 
+    @property
+    def root(self) -> dict[str, Any]:
+        v = self.resolve(self.trailer.get("Root"))
+        if not isinstance(v, dict):
+            raise SyntaxIssue("MissingEntry", "Root")
+        return v
+
+    @property
+    def page_count(self) -> int:
+        """What the page tree states of itself."""
+        tree = self.resolve(self.root.get("Pages"))
+        count = self.resolve(tree.get("Count")) if isinstance(tree, dict) else None
+        if not isinstance(count, int):
+            raise SyntaxIssue("MissingEntry", "Count")
+        return count
+
     def index_offset(self) -> int:
         at = self.data.rfind(b"startxref")
         if at < 0:
@@ -331,6 +347,16 @@ def xref_raw(files: DataFrame, options: Options | None = None) -> DataFrame:
     return _flat(files, XREF, rows, options or Options())
 
 
+def facts(files: DataFrame, options: Options | None = None) -> DataFrame:
+    """(file_id, version, bytes, revisions, live, root, pages, encrypted): a row for each file that opens."""
+
+    def rows(file_id, f):
+        root = f.trailer.get("Root")
+        yield file_id, f.version, len(f.data), len(f.sections), sum(e.kind != "Free" for e in f.table.values()), root.id if isinstance(root, Ref) else None, f.page_count, f.decoder is not None
+
+    return _flat(files, "file_id string, version string, bytes long, revisions int, live long, root long, pages int, encrypted boolean", rows, options or Options())
+
+
 def nodes(files: DataFrame, options: Options | None = None) -> DataFrame:
     """Every live object as rows of nodes; an object that fails is one error row."""
 

@@ -97,6 +97,40 @@ class Builder:
         return bytes(out)
 
 
+def name_tree(b: Builder, entries: dict[bytes, Any], fan: int = 16) -> Ref:
+    """A name tree over the entries in byte order: leaves of `fan` names, nodes of `fan` kids, limits on all but the root."""
+    keys = sorted(entries)
+    if len(keys) <= fan:
+        return b.create({"Names": [x for k in keys for x in (k, entries[k])]})
+    groups = [keys[i : i + fan] for i in range(0, len(keys), fan)]
+    level = [(g[0], g[-1], b.create({"Limits": [g[0], g[-1]], "Names": [x for k in g for x in (k, entries[k])]})) for g in groups]
+    while len(level) > fan:
+        parts = [level[i : i + fan] for i in range(0, len(level), fan)]
+        level = [(p[0][0], p[-1][1], b.create({"Limits": [p[0][0], p[-1][1]], "Kids": [r for *_, r in p]})) for p in parts]
+    return b.create({"Kids": [r for *_, r in level]})
+
+
+def page_tree(b: Builder, pages: list[dict], fan: int = 16, **values: Any) -> Ref:
+    """A page tree of nodes with `fan` kids; `values` stand in the root and are inherited from there."""
+    root = b.promise()
+
+    def node(part: list[dict], parent: Ref, ref: Ref, extra: dict[str, Any]) -> None:
+        if len(part) <= fan:
+            kids = [b.create({"Type": Name("Page")} | p | {"Parent": ref}) for p in part]
+        else:
+            size = fan
+            while size * fan < len(part):
+                size *= fan
+            kids = []
+            for i in range(0, len(part), size):
+                kids.append(b.promise())
+                node(part[i : i + size], ref, kids[-1], {"Parent": ref})
+        b.fulfil(ref, {"Type": Name("Pages"), "Kids": kids, "Count": len(part)} | extra)
+
+    node(pages, root, root, values)
+    return root
+
+
 def rebuilt(f: File) -> bytes:
     """Every live object written anew, numbers kept, those of object streams too; indirect lengths become direct."""
     b = Builder()
