@@ -9,9 +9,11 @@ one tree is settled by the groups themselves, exactly: sets of a and b shingles
 at most D = (a + b) / 9 shingles, which lie in at most D of K groups, so of any D + m groups that are not empty in one of
 them, m hold the very same shingles in both. Every text therefore lists its first D + m groups that are not empty
 (`meetings`); those that two texts have in common are kept, texts that share fewer than m drop out, each text leaves out
-its m - 1 most crowded ones, and what still hangs together is a family. A family goes to one R-tree with its texts, once;
-a family of more than BLOCK shingles is cut into blocks, and each pair of blocks is a task of its own. Pairs never leave
-their task: it emits spanning edges between components.
+its m - 1 most crowded ones, and what still hangs together is a family. A family goes to one R-tree with its texts, once.
+In a large corpus short texts hang together in long chains, each text by another group; a family of more than BLOCK
+shingles or BLOCK_TEXTS texts is taken apart into its groups where that is less work (`places`), since similar texts
+have a kept group in common. What is still larger than a block is cut into blocks, and each pair of blocks is a task of
+its own. Pairs never leave their task: it emits spanning edges between components.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioforge.llm.common import discard, mix, stored, text_slices, window_hashes, word_hashes
@@ -31,6 +33,10 @@ WIDTH, NUM, DEN = 5, 80, 100
 MARGIN = 32
 #: Shingles and texts that one block of a family holds, about.
 BLOCK, BLOCK_TEXTS = 1_000_000, 2048
+#: Groups that the sets of a family which is taken apart keep, at most, on average: near copies have more.
+MOST_KEPT = 32
+#: Places of so few texts and shingles share one tree of about BIN texts.
+FEW, FEW_SHINGLES, BIN = 32, BLOCK // 64, 64
 #: A group that so many texts of one slice of the input have is spread over SALTS places.
 HOT, SALTS = 32, 64
 #: Bits of the filter that keeps texts without a family from the shuffle: 8 MB, whatever the input's size.
@@ -315,8 +321,11 @@ def meetings(docs: DataFrame) -> DataFrame:
     return sent.repartition("tok", salt).sortWithinPartitions("tok", salt, "s").mapInArrow(shared, "tok long, s long, n long")
 
 
-def families(met: DataFrame) -> DataFrame:
-    """(node, component): the sets that may be similar to another one, and their family, from rows (tok, s, n)."""
+def families(met: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, component): the sets that may be similar to another one, and their family, from rows (tok, s, n); and
+
+    (tok, s): the groups that each set keeps. Two similar sets have one of these in common.
+    """
     own = Window.partitionBy("s")
     enough = stored(met.withColumn("_c", F.count("*").over(own)).where(f"_c >= {LEAST_SHARED}").drop("_c"))
     sizes = enough.groupBy("tok").agg(F.count("*").alias("_m"), F.min("s").alias("_lo"), F.max("s").alias("_hi")).where("_lo <> _hi").select("tok", "_m")
@@ -328,8 +337,8 @@ def families(met: DataFrame) -> DataFrame:
     least = kept.groupBy("tok").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo <> hi").select("tok", "lo")
     edges = stored(kept.join(least, "tok").where("s <> lo").select(F.col("s").alias("a"), F.col("lo").alias("b")).distinct())
     out = components(edges)
-    discard(enough, kept, edges)
-    return out
+    discard(enough, edges)
+    return out, kept
 
 
 def sieve_of(keys: DataFrame) -> np.ndarray:
@@ -356,9 +365,41 @@ def sifted(docs: DataFrame, keys: DataFrame) -> DataFrame:
     return docs.select("key", "text", F.shiftrightunsigned(F.xxhash64("key"), 64 - SIEVE_BITS).alias("p")).mapInArrow(run, "key long, text string")
 
 
+def blocks() -> Column:
+    """Into how many blocks a group of rows with set sizes n is cut."""
+    return F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.count("*") / BLOCK_TEXTS)).cast("int")
+
+
+def places(members: DataFrame, kept: DataFrame) -> DataFrame:
+    """`members`, rows (key, s, n, component), with families of several blocks taken apart where that is less work.
+
+    The work of a place is the shingles that its tasks read, and a quarter of the pairs of its texts. A family that is
+    taken apart has a place for each group that two of its sets keep (`kept`, rows (tok, s)): its sets come once for each
+    of theirs, with the place as component. Near copies, which have very many groups in common, stay together. Places of
+    few texts are put together, about BIN texts in one.
+    """
+    work = F.col("_b") * F.col("_n") + F.col("_m") * F.col("_m") / 4
+    size = [blocks().alias("_b"), F.sum("n").cast("double").alias("_n"), F.count("*").cast("double").alias("_m")]
+    # families that keep very many groups, or whose tasks would read too much in any case, are not joined with them
+    keeps = kept.groupBy("s").agg(F.count("*").alias("_k"))
+    least = [F.sum(F.col("n") * F.col("_k")).alias("_least"), F.avg("_k").alias("_each")]
+    large = members.join(keeps, "s").groupBy("component").agg(*size, *least).where("_b > 1").withColumn("_whole", work).where(f"_least < _whole AND _each <= {MOST_KEPT}").select("component", "_whole")
+    met = stored(kept.join(members.join(F.broadcast(large), "component"), "s"))
+    apart = met.groupBy("component", "tok").agg(*size, F.first("_whole").alias("_whole")).where("_m > 1")
+    chosen = apart.groupBy("component").agg(F.sum(work).alias("_apart"), F.first("_whole").alias("_whole")).where("_apart < _whole").select("component")
+    chosen = F.broadcast(stored(chosen))
+    shared = apart.join(chosen, "component", "left_semi").select("component", "tok")
+    single = met.drop("_whole").join(shared, ["component", "tok"]).withColumn("component", F.xxhash64("component", "tok"))
+    names = ["key", "s", "n", "component"]
+    placed = stored(members.join(chosen, "component", "left_anti").select(names).union(single.select(names)))
+    few = placed.groupBy("component").agg((F.count("*") <= FEW) & (F.sum("n") <= FEW_SHINGLES)).toDF("component", "_few")
+    bins = F.pmod(F.xxhash64("component", F.lit(5)), F.lit(placed.count() // BIN + 1))
+    return placed.join(few, "component").withColumn("component", F.when(F.col("_few"), bins).otherwise(F.col("component"))).select(names).distinct()
+
+
 def family_edges(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """Edges (a, b) between similar texts of one family, from texts (key, text) and rows (key, s, n, component)."""
-    sizes = members.groupBy("component").agg(F.greatest(F.ceil(F.sum("n") / BLOCK), F.ceil(F.count("*") / BLOCK_TEXTS)).cast("int").alias("_b"))
+    """Edges (a, b) between similar texts of one place, from texts (key, text) and rows (key, s, n, component)."""
+    sizes = members.groupBy("component").agg(blocks().alias("_b"))
     dealt = members.join(sizes, "component").withColumn("_r", F.pmod(F.xxhash64("key", "s", F.lit(7)), F.col("_b")).cast("int"))
     rows = sifted(docs, members).join(dealt, "key").withColumn("_s", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
     group = F.xxhash64("component", F.least("_r", "_s"), F.greatest("_r", "_s"))
@@ -397,12 +438,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     least = stored(held.groupBy("s1", "s2", "n").agg(F.min("key").alias("rep")))
 
     met = stored(meetings(known))
-    family = families(met)
+    family, kept = families(met)
     discard(met)
     members = stored(least.join(family, F.col("s1") == F.col("node")).select(F.col("rep").alias("key"), F.col("s1").alias("s"), "n", "component"))
+    placed = stored(places(members, kept))
+    discard(kept, members)
     twice = held.groupBy("key").agg(F.min(F.struct("s1", "s2", "n")).alias("_lo"), F.max(F.struct("s1", "s2", "n")).alias("_hi")).where("_lo <> _hi").select("key")
     same = held.join(twice, "key", "left_semi").join(least, ["s1", "s2", "n"]).select(F.col("key").alias("a"), F.col("rep").alias("b"))
-    edges = stored(family_edges(known, members).union(same))
+    edges = stored(family_edges(known, placed).union(same))
     comp = components(edges)
 
     named = least.join(comp, F.col("rep") == F.col("node"), "left").select("s1", "s2", "n", F.coalesce("component", "rep").alias("_c"))

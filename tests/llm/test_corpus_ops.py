@@ -128,6 +128,25 @@ def test_tree_never_loses_a_candidate():
         assert {j for j in range(400) if jaccard.similar(sets[i], sets[j])} <= near and len(near) < 400
 
 
+def test_a_web_of_short_texts_is_no_square(spark, frame, monkeypatch):
+    """Each line stands in about 6 texts: one family, taken apart into its groups; near copies are found."""
+    rng = random.Random(8)
+    lines = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(12)) for _ in range(200)]
+    texts = [" ".join(rng.sample(lines, 2)) for _ in range(600)]
+    rows = [(k, t, "", "") for k, t in enumerate(texts)] + [(1000 + k, f"{texts[k]} z", "", "") for k in range(0, 600, 7)]
+    monkeypatch.setattr(jaccard, "BLOCK_TEXTS", 64)
+    docs = frame(rows).selectExpr("doc_id AS key", "text")
+    family, kept = jaccard.families(jaccard.meetings(docs))
+    members = jaccard.signatures(docs).join(family, F.col("s1") == F.col("node")).select("key", F.col("s1").alias("s"), "n", "component")
+    placed = jaccard.places(members, kept)
+
+    def squares(d):
+        return d.groupBy("component").count().selectExpr("sum(count * count)").first()[0]
+
+    assert squares(members) > 2 * squares(placed) > 0
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(frame(rows)).collect()} == plain_components(rows)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)]
     got = dict(map(tuple, graph.components(spark.createDataFrame(edges, "a long, b long")).collect()))
