@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 
 #: Symbols that are merged at a time in addition to the lookahead.
 WINDOW = 4096
-#: Entries of a worker's memo of what the transducer made of whole words; it starts anew when full.
+#: Entries of a worker's memo of what the transducer made of whole words, both halves together.
 MEMO = 150_000
 #: Characters of a text that are split into words at a time.
 PIECE = 1 << 16
@@ -168,6 +168,8 @@ class Encoder:
         return v.merged([*held[:-1], v.final[v.bytes_of[held[-1]][0]]])
 
     def word(self, data: bytes) -> list[int]:
+        if 0 < len(data) <= self.window and not self.held:  # no token leaves before the word's end
+            return self.v.merged([*map(self.v.single.__getitem__, data[:-1]), self.v.final[data[-1]]])
         return [*self.push(data), *self.finish()]
 
 
@@ -207,18 +209,23 @@ def _ranges(kind: str, top: int = 0x250) -> str:
 
 
 class Memo(dict):
-    """Words to what the transducer makes of them; starts anew when full, and does not keep long words."""
+    """Words to what the transducer makes of them, without long words; when half of MEMO is full, these words become the
+    older half, from which a word that comes again is taken over."""
 
     def __init__(self, vocabulary: Vocabulary):
-        self.encoder = Encoder(vocabulary)
+        self.encoder, self.older = Encoder(vocabulary), {}
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        data = word.encode()
-        got = tuple(self.encoder.word(data))
-        if len(data) <= 64:
-            if len(self) >= MEMO:
-                self.clear()
-            self[word] = got
+        got = self.older.get(word)
+        if got is None:
+            data = word.encode()
+            got = tuple(self.encoder.word(data))
+            if len(data) > 64:
+                return got
+        if len(self) >= MEMO // 2:
+            self.older = dict(self)
+            self.clear()
+        self[word] = got
         return got
 
 

@@ -116,6 +116,18 @@ def test_memory_stays_level_on_a_text_of_100_mb(pair):
     assert count > 10_000_000 and resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 60_000
 
 
+def test_common_words_stay_in_the_memo(pair, monkeypatch):
+    monkeypatch.setattr(bpe, "MEMO", 40)
+    memo, made = bpe.Memo(pair[0].v), []
+    word = memo.encoder.word
+    memo.encoder.word = lambda data: made.append(data) or word(data)
+    for k in range(400):
+        for w in ("the", f"w{k}"):
+            assert memo[w] == tuple(word(w.encode()))
+            assert len(memo) + len(memo.older) <= 40
+    assert made.count(b"the") == 1
+
+
 def test_bpe_operator_on_odd_rows(frame):
     got = bpe.tokenize(frame(ODD), word_bpe_path()).collect()
     assert len(got) == len(ODD) and {(r.doc_id, len(r.ids)) for r in got if r.doc_id in (1, 2, 3)} == {(1, 0), (2, 0), (3, 0)}
