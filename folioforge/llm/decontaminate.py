@@ -236,8 +236,8 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str
     pair = ["key", "item", "mode"]
     sizes = known.groupBy("item", "mode").agg(F.countDistinct("h").alias("of"))
     met = found.join(known.select("item", "mode", "h", F.col("values").alias("own")), ["mode", "h"])
-    # a document may hold a window many times: one row for each pair, window and set of values
-    pairs = met.groupBy(*pair, "h", "own", "values").agg(F.lit(1).alias("_one"))
+    # a document may hold a window many times: one row for each pair, window and set of values; read twice, so written
+    pairs = stored(met.groupBy(*pair, "h", "own", "values").agg(F.lit(1).alias("_one")))
     words = pairs.select(*pair, F.explode(F.arrays_zip("own", "values")).alias("w")).groupBy(*pair, "w.own", "w.values").agg(F.count("*").alias("c"))
     best = words.groupBy(*pair, "own").agg(F.max("c").alias("top"), F.sum("c").alias("all"), F.sum(F.when(F.col("own") == F.col("values"), F.col("c")).otherwise(0)).alias("same"))
     slots = best.groupBy(*pair).agg((F.sum("top") / F.sum("all")).alias("consistent"), (F.sum("same") / F.sum("all")).alias("exact"))

@@ -252,6 +252,13 @@ def test_leaks_in_other_guises_are_caught(spark, frame):
     assert {r.doc_id for r in decontaminate.cleaned(frame(rows), known).collect()} == {r[0] for r in rows} - set(want)
 
 
+def test_documents_are_searched_once_for_both_sums(spark, frame):
+    item = prose(40, 5)
+    done = decontaminate.leaks(frame([(1, item, "", "")]), items(spark, [item]))
+    assert "MapInArrow" not in done._jdf.queryExecution().executedPlan().toString()
+    assert [(r.doc_id, r.exact) for r in done.collect()] == [(1, 1.0)]
+
+
 def test_windows_match_a_plain_version():
     texts = [prose(40, k) for k in range(5)] + ["", "one two", "A 12 km Xy"]
     data, offs = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
