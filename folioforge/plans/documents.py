@@ -63,7 +63,7 @@ def text_encode_pdf(spark, d):
 
 
 def _files(spark, d, packed=False):
-    return writer.documents_to_files(table(spark, d, "documents"), packed=packed)
+    return writer.documents_to_files(files.spread(table(spark, d, "documents").select("doc_id", "text")), packed=packed)
 
 
 def _contents(made):

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioforge.operators import navigation
 from folioforge.plans.registry import query, table
+from folioforge.sources.files import Making
 from folioforge.sources.syntax import Name, Stream
-from folioforge.sources.writer import Builder, encoded
+from folioforge.sources.writer import Builder, built, encoded
 
 
 def conversation_file(turns: list[tuple[int, str, str]]) -> bytes:
@@ -43,16 +43,10 @@ def conversation_file(turns: list[tuple[int, str, str]]) -> bytes:
     return b.save({"Root": root})
 
 
-def conversation_files(spark, d) -> DataFrame:
+def conversation_files(spark, d) -> Making:
     turns = table(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
 
-    def run(batches):
-        import pandas as pd
-
-        for batch in batches:
-            yield pd.DataFrame({"file_id": batch["conv_id"].astype(str), "content": [conversation_file([(int(x["turn"]), x["role"], x["text"]) for x in t]) for t in batch["t"]]})
-
-    return turns.mapInPandas(run, "file_id string, content binary")
+    return built(turns.select("conv_id", "t"), lambda _, t: conversation_file([(x["turn"], x["role"], x["text"]) for x in t]))
 
 
 _ORD = "(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT"

@@ -2,21 +2,34 @@
 
 from __future__ import annotations
 
+from functools import cache
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from folioforge.operators import views
 from folioforge.plans.registry import query, table
+from folioforge.sources.files import Making, spread
 from folioforge.sources.syntax import Name, Real, Stream
-from folioforge.sources.writer import Builder, encoded
+from folioforge.sources.writer import Builder, built, encoded
 
 
+@cache
 def _salt(record: str, key: str) -> int:
     return sum(map(ord, record + key)) % 7 + 1
 
 
+#: A value of each kind for row (k, s), the salt m of its key, n = k * m and some object.
+VALUES = {
+    "int": lambda k, s, m, n, some: n % 100, "number": lambda k, s, m, n, some: Real(n % 100 / 4), "bool": lambda k, s, m, n, some: (k + m) % 2 == 0,
+    "string": lambda k, s, m, n, some: encoded(s), "bytes": lambda k, s, m, n, some: encoded(s), "numbers": lambda k, s, m, n, some: [k % 7, m, k % 3],
+    "rect": lambda k, s, m, n, some: [k % 50 + 20, m, 5, k % 30 + 50], "names": lambda k, s, m, n, some: [Name("A"), Name(f"B{k % 4}")], "strings": lambda k, s, m, n, some: [encoded(s), b"x"],
+    "keys": lambda k, s, m, n, some: {"K1": k % 9}, "text": lambda k, s, m, n, some: n % 11, "refs": lambda k, s, m, n, some: [some] * (k % 3 + 1),
+    "dest": lambda k, s, m, n, some: [some, Name("XYZ"), k % 100, None, m],
+}
+
+
 def value(b: Builder, record: str, x: views.Field, k: int, s: str, some: Any) -> Any:
     """The value of a key for row (k, s); None leaves the key out. `sql` says the same."""
     m = _salt(record, x.key)
@@ -28,10 +41,7 @@ def value(b: Builder, record: str, x: views.Field, k: int, s: str, some: Any) ->
     if x.kind == "name":
         choices = [c for c in x.choices if c != "*"]
         return Name(choices[n % len(choices)] if choices else f"N{n % 5}")
-    got = {
-        "int": n % 100, "number": Real(n % 100 / 4), "bool": (k + m) % 2 == 0, "string": encoded(s), "bytes": encoded(s), "numbers": [k % 7, m, k % 3], "rect": [k % 50 + 20, m, 5, k % 30 + 50],
-        "names": [Name("A"), Name(f"B{k % 4}")], "strings": [encoded(s), b"x"], "keys": {"K1": k % 9}, "text": n % 11, "refs": [some] * (k % 3 + 1), "dest": [some, Name("XYZ"), k % 100, None, m],
-    }[x.kind]
+    got = VALUES[x.kind](k, s, m, n, some)
     return b.create(got) if m % 3 == 0 and x.kind not in ("refs", "dest") else got  # some stand behind a reference
 
 
@@ -96,14 +106,8 @@ def full_file(k: int, s: str) -> bytes:
     return b.save({"Root": root, "Info": b.create(make("Info")), "ID": [encoded(s), b"x"]})
 
 
-def full_files(spark, d) -> DataFrame:
-    def run(batches):
-        import pandas as pd
-
-        for batch in batches:
-            yield pd.DataFrame({"file_id": batch["s_suppkey"].astype(str), "content": [full_file(int(k), s) for k, s in zip(batch["s_suppkey"], batch["s_name"])]})
-
-    return table(spark, d, "supplier").select("s_suppkey", "s_name").mapInPandas(run, "file_id string, content binary")
+def full_files(spark, d) -> Making:
+    return built(spread(table(spark, d, "supplier").select("s_suppkey", "s_name")), full_file)
 
 
 #: Columns that the file above settles in another way than `value` does: what they hold in SQL.

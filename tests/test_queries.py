@@ -59,3 +59,16 @@ def test_streamed_files(spark, tmp_path):
     run.awaitTermination(120)
     got = spark.sql("SELECT count_if(error_code IS NULL) AS good, count_if(error_code IS NOT NULL) AS bad FROM seen").first()
     assert got.good > 10 and got.bad == 1
+
+
+def test_files_spread_over_cores(spark):
+    from folioforge.sources import files
+
+    for made in (views.full_files(spark, SF), resources.page_files(spark, SF), documents._files(spark, SF)):
+        assert made.rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        assert files.facts(made).where("error_code IS NULL").count() == made.files.count()
+
+
+def test_graph_equal_joins_nothing(spark):
+    plan = resources.graph_equal(spark, SF)._jdf.queryExecution().toString()
+    assert "Join" not in plan and plan.count("MapInArrow") >= 1 and "MapInPandas" not in plan
