@@ -99,3 +99,14 @@ def test_updates_promises_and_import():
     known = imported(f, [f.resolve(f.trailer["Root"])["Pages"]], into)
     assert len(known) == 5 and not into.open
     assert [r[8] for r in node_rows("f", 1, 0, {"A": [1, Ref(2)]})] == ["Dictionary", "Array", "Integer", "Reference"]
+
+
+def test_index_in_runs():
+    from folioforge.sources.files import File
+    from folioforge.sources.writer import Builder, runs
+
+    assert runs([1, 2, 3, 7, 9, 10]) == [1, 3, 7, 1, 9, 2] and runs([]) == []
+    b = Builder()
+    refs = [b.create(i) for i in range(500)]
+    f = File.open(b.save({"Root": refs[0]}))
+    assert f.trailer["Index"] == [1, 501] and [f.get(r.id) for r in refs] == list(range(500))
