@@ -84,3 +84,19 @@ def test_inversion_of_an_empty_text(spark, tmp_path):
 def test_update_catalog_makes_each_file_once(spark):
     plan = resources.update_catalog(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and plan.count("MapInArrow") == 1
+
+
+@pytest.mark.parametrize("name, steps", [("doc_rebuild", 2), ("doc_roundtrip_text", 2), ("doc_xref_revisions", 1), ("fdf_fields", 1)])
+def test_files_stay_in_one_worker(spark, name, steps):
+    plan = registry.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == steps and "MapInPandas" not in plan
+
+
+def test_files_are_made_one_at_a_time(spark):
+    import pyarrow as pa
+
+    from folioforge.sources import writer
+
+    made, calls = writer.built(spark.range(1), lambda k: calls.append(k) or b"x"), []
+    rows = made.make(pa.RecordBatch.from_pydict({"k": list(range(10_000))}))
+    assert next(rows) == ("0", b"x", None) and calls == [0]
