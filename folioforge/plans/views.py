@@ -30,16 +30,20 @@ VALUES = {
 }
 
 
-def value(b: Builder, record: str, x: views.Field, k: int, s: str, some: Any) -> Any:
-    """The value of a key for row (k, s); None leaves the key out. `sql` says the same."""
-    m = _salt(record, x.key)
+@cache
+def _keys(record: str) -> tuple[tuple[views.Field, int, tuple[str, ...]], ...]:
+    """The fields of a record with their salts and the names that they choose from."""
+    return tuple((x, _salt(record, x.key), tuple(c for c in x.choices if c != "*")) for x in views.fields(record))
+
+
+def value(b: Builder, x: views.Field, m: int, choices: tuple[str, ...], k: int, s: str, some: Any) -> Any:
+    """The value of a key of salt m for row (k, s); None leaves the key out. `sql` says the same."""
     n = k * m
     if x.kind == "ref":
         return some
     if not x.required and (k + m) % 6 == 0:
         return None
     if x.kind == "name":
-        choices = [c for c in x.choices if c != "*"]
         return Name(choices[n % len(choices)] if choices else f"N{n % 5}")
     got = VALUES[x.kind](k, s, m, n, some)
     return b.create(got) if m % 3 == 0 and x.kind not in ("refs", "dest") else got  # some stand behind a reference
@@ -73,7 +77,7 @@ def shown(kind: str, c: Column) -> Column:
 
 
 def made(b: Builder, record: str, k: int, s: str, some: Any, **more: Any) -> dict:
-    got = {x.key: value(b, record, x, k, s, some) for x in views.fields(record)}
+    got = {x.key: value(b, x, m, choices, k, s, some) for x, m, choices in _keys(record)}
     return {a: v for a, v in (got | more).items() if v is not None}
 
 

@@ -69,6 +69,17 @@ def test_files_spread_over_cores(spark):
         assert files.facts(made).where("error_code IS NULL").count() == made.files.count()
 
 
+def test_small_files_spread_over_cores(spark, tmp_path):
+    from folioforge.sources import files
+
+    cores = spark.sparkContext.defaultParallelism
+    spark.read.parquet(f"{SF}/supplier.parquet").repartition(cores + 1).write.parquet(str(tmp_path / "supplier.parquet"))
+    rows = registry.table(spark, str(tmp_path), "supplier")
+    assert len(rows.inputFiles()) > cores > rows.rdd.getNumPartitions()
+    assert files.spread(rows).rdd.getNumPartitions() >= cores
+    assert files.spread(rows).count() == rows.count()
+
+
 def test_graph_equal_joins_nothing(spark):
     plan = resources.graph_equal(spark, SF)._jdf.queryExecution().toString()
     assert "Join" not in plan and plan.count("MapInArrow") >= 1 and "MapInPandas" not in plan

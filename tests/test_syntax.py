@@ -110,3 +110,17 @@ def test_index_in_runs():
     refs = [b.create(i) for i in range(500)]
     f = File.open(b.save({"Root": refs[0]}))
     assert f.trailer["Index"] == [1, 501] and [f.get(r.id) for r in refs] == list(range(500))
+
+
+def test_reading_takes_one_step_a_token(monkeypatch):
+    from folioforge.sources import files, syntax
+
+    made, skips = [], []
+    entry, skip = files.Entry, syntax.Lexer.skip
+    monkeypatch.setattr(files, "Entry", lambda *a: made.append(a) or entry(*a))
+    monkeypatch.setattr(syntax.Lexer, "skip", lambda self: skips.append(1) or skip(self))
+    b = Builder()
+    root = b.create({"A": [[1, Real(0.5), b"x"], {"B": Name("C"), "D": Ref(3, 1)}] * 50})
+    f = File.open(b.save({"Root": root}))
+    assert f.root["A"][1] == {"B": "C", "D": Ref(3, 1)} and len(f.root["A"]) == 100
+    assert len(made) == len(f.table) == 2 and not skips  # a row of the index is one entry; white space goes with its token
