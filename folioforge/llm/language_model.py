@@ -29,6 +29,8 @@ HEAD, HEAD_CLASS, TAILS = 768, 32, 64
 HIDDEN, WINDOW, LANES = 24, 20, 256
 #: Words that scoring takes at a time in each lane.
 STRIDE = 16
+#: Rows of the output layer at a time: their logits stay in a core's cache.
+BLOCK = 1024
 #: Words of a text that training runs through before the state starts anew; scoring runs through the whole text.
 PIECE = 2000
 #: Documents of the first training, at most, and its rounds.
@@ -127,6 +129,14 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return np.reciprocal(x, out=x)
 
 
+def shifted(z: np.ndarray) -> np.ndarray:
+    """Logits, in place, less what keeps their exponents within a float: one number, or one a row if they lie far apart."""
+    if z.size:
+        top = z.max()
+        z -= top if top - z.min() < 60 else z.max(1, keepdims=True)
+    return z
+
+
 class Network:
     """Gated recurrent units over symbols with a class-factored output; parameters are one flat vector of float32."""
 
@@ -149,28 +159,30 @@ class Network:
 
         memo takes what the way back needs: the states before each step, the gates, the candidates and their inner part.
         """
-        u, rz, n = self.p["u"], self.p["x"][inputs], None
+        u = np.ascontiguousarray(self.p["u"].reshape(HIDDEN, 3, HIDDEN).transpose(1, 0, 2))
+        rzn = self.p["x"].reshape(-1, HIDDEN)[inputs[:, None, :] * 3 + np.arange(3)[:, None]]  # (time, 3, lanes, HIDDEN)
         out = np.empty((*inputs.shape, HIDDEN), np.float32)
         before, inner = (np.empty_like(out) for _ in range(2)) if memo is not None else (None, None)
-        begins = keep.min(1) < 1
+        begins, g = keep.min(1) < 1, np.empty(rzn.shape[1:], np.float32)
         for t in range(len(inputs)):
             if begins[t]:
                 h = h * keep[t][:, None]
-            g, x = h @ u, rz[t]
-            gates, n = x[:, : 2 * HIDDEN], x[:, 2 * HIDDEN :]
-            gates += g[:, : 2 * HIDDEN]
+            np.matmul(h, u, out=g)
+            gates, n = rzn[t, :2], rzn[t, 2]
+            gates += g[:2]
             sigmoid(gates)
             if memo is not None:
-                before[t], inner[t] = h, g[:, 2 * HIDDEN :]
-            n += gates[:, :HIDDEN] * g[:, 2 * HIDDEN :]
+                before[t], inner[t] = h, g[2]
+            g[2] *= gates[0]
+            n += g[2]
             np.tanh(n, out=n)
             after = out[t]
             np.subtract(h, n, out=after)
-            after *= gates[:, HIDDEN:]
+            after *= gates[1]
             after += n
             h = after
         if memo is not None:
-            memo += [before, rz[..., :HIDDEN], rz[..., HIDDEN : 2 * HIDDEN], rz[..., 2 * HIDDEN :], inner, begins]
+            memo += [before, rzn[:, 0], rzn[:, 1], rzn[:, 2], inner, begins]
         return out
 
     def in_class(self, h: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -183,18 +195,21 @@ class Network:
             if b > a:
                 z[a:b] = own[a:b] @ self.p["w"][k * HEAD_CLASS : (k + 1) * HEAD_CLASS].T
         z += self.p["wb"].reshape(-1, HEAD_CLASS)[y[rows] // HEAD_CLASS]
-        z -= z.max(1, keepdims=True)
-        return rows, cuts, z
+        return rows, cuts, shifted(z)
 
     def log_probability(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each target symbol: its class and, in the head, the word in it."""
-        z = h @ self.p["c"] + self.p["cb"]
-        z -= z.max() if z.size else 0.0  # one shift for all: logits stay far from the limits of a float
-        out = z[np.arange(len(z)), class_of(target)]
-        out -= np.log(np.exp(z, out=z).sum(1) + 1e-30)
+        out, classes, one = np.empty(len(h), h.dtype), class_of(target), np.ones(CLASSES, np.float32)
+        for lo in range(0, len(h), BLOCK):
+            at = slice(lo, lo + BLOCK)
+            z = h[at] @ self.p["c"]
+            z += self.p["cb"]
+            shifted(z)
+            out[at] = z[np.arange(len(z)), classes[at]]
+            out[at] -= np.log(np.exp(z, out=z) @ one)
         rows, _, y = self.in_class(h, target)
         own = y[np.arange(len(rows)), target[rows] % HEAD_CLASS]
-        out[rows] += own - np.log(np.exp(y, out=y).sum(1))
+        out[rows] += own - np.log(np.exp(y, out=y) @ one[:HEAD_CLASS])
         return out
 
     def train(self, symbols: list[np.ndarray], rounds: int, rate: float, lanes: int = 48, seed: int = 0) -> int:
@@ -222,20 +237,22 @@ class Network:
         rows = np.flatnonzero(targets.ravel() >= 0)
         h, y = states.reshape(-1, HIDDEN)[rows], targets.ravel()[rows]
         grads = Network(np.zeros_like(self.flat))
-        n = max(len(rows), 1)
-        e = h @ self.p["c"] + self.p["cb"]
-        e -= e.max(1, keepdims=True)
-        np.exp(e, out=e)
-        e /= e.sum(1, keepdims=True)
-        e[np.arange(len(y)), class_of(y)] -= 1
-        e /= n
-        grads.p["c"][:], grads.p["cb"][:] = h.T @ e, e.sum(0)
-        down = e @ self.p["c"].T
+        share, one = np.float32(1 / max(len(rows), 1)), np.ones(max(CLASSES, BLOCK), np.float32)
+        down, classes, out = np.empty_like(h), class_of(y), np.ascontiguousarray(self.p["c"].T)
+        for lo in range(0, len(h), BLOCK):
+            own = h[lo : lo + BLOCK]
+            e = own @ self.p["c"]
+            e += self.p["cb"]
+            np.exp(shifted(e), out=e)
+            e *= (share / (e @ one[:CLASSES]))[:, None]
+            e[np.arange(len(e)), classes[lo : lo + BLOCK]] -= share
+            grads.p["c"] += own.T @ e
+            grads.p["cb"] += one[: len(e)] @ e
+            np.matmul(e, out, out=down[lo : lo + BLOCK])
         at, cuts, f = self.in_class(h, y)
         np.exp(f, out=f)
-        f /= f.sum(1, keepdims=True)
-        f[np.arange(len(at)), y[at] % HEAD_CLASS] -= 1
-        f /= n
+        f *= (share / (f @ one[:HEAD_CLASS]))[:, None]
+        f[np.arange(len(at)), y[at] % HEAD_CLASS] -= share
         own, more = h[at], np.empty((len(at), HIDDEN), f.dtype)
         for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
             if b > a:
@@ -243,31 +260,33 @@ class Network:
                 grads.p["w"][words], grads.p["wb"][words] = f[a:b].T @ own[a:b], f[a:b].sum(0)
                 more[a:b] = f[a:b] @ self.p["w"][words]
         down[at] += more
-        d_states = np.zeros((states.shape[0] * states.shape[1], HIDDEN), np.float32)
-        d_states[rows] = down
+        d_states = down
+        if len(rows) < inputs.size:
+            d_states = np.zeros((inputs.size, HIDDEN), np.float32)
+            d_states[rows] = down
         d_states = d_states.reshape(states.shape)
-        before, r, z, n_, inner, begins = memo
+        before, r, z, n, inner, begins = memo
         rest = 1 - z
-        to_n, to_z, to_r = rest * (1 - n_ * n_), (before - n_) * (z * rest), inner * (r * (1 - r))
-        back, dh = np.ascontiguousarray(self.p["u"].T), np.zeros_like(h0)
-        d_gates, d_inner = (np.empty((*inputs.shape, 3 * HIDDEN), np.float32) for _ in range(2))
+        to_n, to_z, to_r = rest * (1 - n * n), (before - n) * (z * rest), inner * (r * (1 - r))
+        back, dh = np.ascontiguousarray(self.p["u"].reshape(HIDDEN, 3, HIDDEN).transpose(1, 2, 0)), np.zeros_like(h0)
+        d_r, d_z, d_n, d_inner = (np.empty_like(states) for _ in range(4))
         for t in range(len(inputs) - 1, -1, -1):
             dh += d_states[t]
-            g, i = d_gates[t], d_inner[t]
-            dn = g[:, 2 * HIDDEN :]
-            np.multiply(dh, to_n[t], out=dn)
-            np.multiply(dn, to_r[t], out=g[:, :HIDDEN])
-            np.multiply(dh, to_z[t], out=g[:, HIDDEN : 2 * HIDDEN])
-            i[:, : 2 * HIDDEN] = g[:, : 2 * HIDDEN]
-            np.multiply(dn, r[t], out=i[:, 2 * HIDDEN :])
+            np.multiply(dh, to_n[t], out=d_n[t])
+            np.multiply(d_n[t], to_r[t], out=d_r[t])
+            np.multiply(dh, to_z[t], out=d_z[t])
+            np.multiply(d_n[t], r[t], out=d_inner[t])
             dh *= z[t]
-            dh += i @ back
+            for d, u in zip((d_r, d_z, d_inner), back):
+                dh += d[t] @ u
             if begins[t]:
                 dh *= keep[t][:, None]
-        grads.p["u"][:] = before.reshape(-1, HIDDEN).T @ d_inner.reshape(-1, 3 * HIDDEN)
-        order = np.argsort(inputs.ravel(), kind="stable")
+        order = np.argsort(inputs.ravel().astype(np.uint16), kind="stable")
         used, first = np.unique(inputs.ravel()[order], return_index=True)
-        grads.p["x"][used] = np.add.reduceat(d_gates.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
+        for k, (d, i) in enumerate(zip((d_r, d_z, d_n), (d_r, d_z, d_inner))):
+            part = slice(k * HIDDEN, (k + 1) * HIDDEN)
+            grads.p["u"][:, part] = before.reshape(-1, HIDDEN).T @ i.reshape(-1, HIDDEN)
+            grads.p["x"][used, part] = np.add.reduceat(d.reshape(-1, HIDDEN)[order], first, axis=0)
         return np.clip(grads.flat, -0.5, 0.5), states[-1]
 
     def document_scores(self, symbols: list[np.ndarray]) -> np.ndarray:

@@ -240,6 +240,20 @@ def test_gradients_are_right():
         assert grads[i] == pytest.approx((up - down) / 2e-2, abs=3e-3)
 
 
+def test_language_model_logits_far_apart():
+    net = language_model.Network(seed=3)
+    net.p["c"][:], net.p["w"][:], net.p["cb"][:], net.p["wb"][:] = 20, 20, 0, 0
+    h = np.stack([np.ones(language_model.HIDDEN), -np.ones(language_model.HIDDEN)]).astype(np.float32)
+    got = net.log_probability(h, np.array([5, 6]))
+    assert got == pytest.approx(-np.log(language_model.CLASSES) - np.log(language_model.HEAD_CLASS), rel=1e-3)
+
+
+def test_language_model_gates_lie_together():
+    net, memo, lanes = language_model.Network(seed=3), [], 7
+    net.states(np.zeros((3, lanes), np.int32), np.ones((3, lanes), np.float32), np.zeros((lanes, language_model.HIDDEN), np.float32), memo)
+    assert all(x[t].flags.c_contiguous for x in memo[:5] for t in range(3))
+
+
 def test_state_runs_through_windows():
     net = language_model.Network(seed=2)
     net.flat *= 4
