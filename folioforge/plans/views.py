@@ -111,7 +111,7 @@ def full_file(k: int, s: str) -> bytes:
 
 
 def full_files(spark, d) -> Making:
-    return built(spread(table(spark, d, "supplier").select("s_suppkey", "s_name")), full_file)
+    return built(spread(table(spark, d, "supplier").select("s_suppkey", "s_name"), light=True), full_file)
 
 
 #: Columns that the file above settles in another way than `value` does: what they hold in SQL.

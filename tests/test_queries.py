@@ -80,6 +80,17 @@ def test_small_files_spread_over_cores(spark, tmp_path):
     assert files.spread(rows).count() == rows.count()
 
 
+def test_uneven_files_are_dealt_evenly(spark, tmp_path):
+    cores, at = spark.sparkContext.defaultParallelism, tmp_path / "supplier.parquet"
+    many = spark.range(4000).selectExpr("id AS s_suppkey", "concat('Supplier#', id) AS s_name")
+    many.coalesce(1).write.parquet(str(at))
+    for i in range(4 * cores):  # a part holds several of these, and one the large file
+        many.where(f"s_suppkey = {i}").selectExpr(f"s_suppkey + {4000 + i} AS s_suppkey", "s_name").coalesce(1).write.mode("append").parquet(str(at))
+    for made in (views.full_files(spark, str(tmp_path)), resources.page_files(spark, str(tmp_path))):
+        held = made.rows.rdd.glom().map(len).collect()
+        assert sum(held) == 4000 + 4 * cores and max(held) < 2 * sum(held) / cores
+
+
 def test_graph_equal_joins_nothing(spark):
     plan = resources.graph_equal(spark, SF)._jdf.queryExecution().toString()
     assert "Join" not in plan and plan.count("MapInArrow") >= 1 and "MapInPandas" not in plan
