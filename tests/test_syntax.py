@@ -1,3 +1,5 @@
+import sys
+
 import pytest
 
 from folioforge.sources.files import File, node_rows
@@ -124,3 +126,22 @@ def test_reading_takes_one_step_a_token(monkeypatch):
     f = File.open(b.save({"Root": root}))
     assert f.root["A"][1] == {"B": "C", "D": Ref(3, 1)} and len(f.root["A"]) == 100
     assert len(made) == len(f.table) == 2 and not skips  # a row of the index is one entry; white space goes with its token
+
+
+def calls(f):
+    """Calls of Python functions that f() makes, once what is kept is known."""
+    f()
+    made = []
+    sys.setprofile(lambda frame, event, arg: event == "call" and made.append(frame.f_code.co_name))
+    try:
+        f()
+    finally:
+        sys.setprofile(None)
+    return len(made)
+
+
+def test_writing_takes_a_call_a_value_at_most():
+    value = {f"K{i}": [i, Name(f"N{i % 5}"), b"plain", Ref(i)] for i in range(50)} | {"None": None, "Empty": {}, "Zero": 0, "No": False, "List": [], "Text": b""}
+    assert serialize({"A": {}, "B": None, "C": 0, "D": [], "E": b"", "F": False}) == b"<</C 0 /D [] /E () /F false>>"
+    assert [serialize(v) for v in (b"a(b", b"a\\", b"a)\x7f", b"\n", b"\x7f", b"a\n")] == [b"(a\\(b)", b"(a\\\\)", b"(a\\)\x7f)", b"<0a>", b"(\x7f)", b"<610a>"]
+    assert calls(lambda: serialize(value)) < 250
