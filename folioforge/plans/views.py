@@ -20,33 +20,25 @@ def _salt(record: str, key: str) -> int:
     return sum(map(ord, record + key)) % 7 + 1
 
 
-#: A value of each kind for row (k, s), the salt m of its key, n = k * m and some object.
+#: A value of each kind for row (k, s), s as it stands in files, the salt m of its key, n = k * m and some object.
 VALUES = {
     "int": lambda k, s, m, n, some: n % 100, "number": lambda k, s, m, n, some: Real(n % 100 / 4), "bool": lambda k, s, m, n, some: (k + m) % 2 == 0,
-    "string": lambda k, s, m, n, some: encoded(s), "bytes": lambda k, s, m, n, some: encoded(s), "numbers": lambda k, s, m, n, some: [k % 7, m, k % 3],
-    "rect": lambda k, s, m, n, some: [k % 50 + 20, m, 5, k % 30 + 50], "names": lambda k, s, m, n, some: [Name("A"), Name(f"B{k % 4}")], "strings": lambda k, s, m, n, some: [encoded(s), b"x"],
+    "string": lambda k, s, m, n, some: s, "bytes": lambda k, s, m, n, some: s, "numbers": lambda k, s, m, n, some: [k % 7, m, k % 3],
+    "rect": lambda k, s, m, n, some: [k % 50 + 20, m, 5, k % 30 + 50], "names": lambda k, s, m, n, some: [Name("A"), Name(f"B{k % 4}")], "strings": lambda k, s, m, n, some: [s, b"x"],
     "keys": lambda k, s, m, n, some: {"K1": k % 9}, "text": lambda k, s, m, n, some: n % 11, "refs": lambda k, s, m, n, some: [some] * (k % 3 + 1),
     "dest": lambda k, s, m, n, some: [some, Name("XYZ"), k % 100, None, m],
 }
 
 
 @cache
-def _keys(record: str) -> tuple[tuple[views.Field, int, tuple[str, ...]], ...]:
-    """The fields of a record with their salts and the names that they choose from."""
-    return tuple((x, _salt(record, x.key), tuple(c for c in x.choices if c != "*")) for x in views.fields(record))
-
-
-def value(b: Builder, x: views.Field, m: int, choices: tuple[str, ...], k: int, s: str, some: Any) -> Any:
-    """The value of a key of salt m for row (k, s); None leaves the key out. `sql` says the same."""
-    n = k * m
-    if x.kind == "ref":
-        return some
-    if not x.required and (k + m) % 6 == 0:
-        return None
-    if x.kind == "name":
-        return Name(choices[n % len(choices)] if choices else f"N{n % 5}")
-    got = VALUES[x.kind](k, s, m, n, some)
-    return b.create(got) if m % 3 == 0 and x.kind not in ("refs", "dest") else got  # some stand behind a reference
+def _keys(record: str) -> tuple[tuple, ...]:
+    """(key, salt, whether it is required, names that it chooses from, maker of its value, whether some stand behind a reference) of each field; a reference has no maker."""
+    out = []
+    for x in views.fields(record):
+        m = _salt(record, x.key)
+        names = tuple(Name(c) for c in x.choices if c != "*") or tuple(Name(f"N{i}") for i in range(5))
+        out.append((x.key, m, x.required, names if x.kind == "name" else None, VALUES.get(x.kind), m % 3 == 0 and x.kind not in ("ref", "refs", "name", "dest")))
+    return tuple(out)
 
 
 def sql(record: str, x: views.Field, column: str) -> str:
@@ -76,14 +68,26 @@ def shown(kind: str, c: Column) -> Column:
     }.get(kind, lambda: c)()
 
 
-def made(b: Builder, record: str, k: int, s: str, some: Any, **more: Any) -> dict:
-    got = {x.key: value(b, x, m, choices, k, s, some) for x, m, choices in _keys(record)}
-    return {a: v for a, v in (got | more).items() if v is not None}
-
-
-def full_file(k: int, s: str) -> bytes:
+def made(b: Builder, record: str, k: int, s: bytes, some: Any, **more: Any) -> dict:
+    """The keys of a record for row (k, s), without those that are left out; `sql` says the same of their values."""
+    got = {}
+    for key, m, required, names, make, apart in _keys(record):
+        if not (make or names):
+            got[key] = some
+        elif not required and (k + m) % 6 == 0:
+            if key in more:
+                got[key] = None
+        elif names:
+            got[key] = names[k * m % len(names)]
+        else:
+            v = make(k, s, m, k * m, some)
+            got[key] = b.create(v) if apart else v
+    return got | more if more else got
+
+
+def full_file(k: int, text: str) -> bytes:
     """A file with one dictionary of every record."""
-    b = Builder()
+    b, s = Builder(), encoded(text)
     some, tree, page, item = b.create({}), b.promise(), b.promise(), b.promise()
     make = lambda record, **more: made(b, record, k, s, some, **more)
     stream = lambda record, **more: b.create(Stream(make(record, **more), b"data"))
@@ -107,7 +111,7 @@ def full_file(k: int, s: str) -> bytes:
         "Catalog", Type=Name("Catalog"), Pages=tree, Names=b.create(names), PageLabels=b.create({"Nums": [0, make("PageLabel")]}), ViewerPreferences=b.create(make("ViewerPreferences")), MarkInfo=b.create(make("MarkInformation")),
         Outlines=b.create(make("Outlines", First=item, Last=item)), AcroForm=b.create(make("InteractiveForm", Fields=[field])), StructTreeRoot=b.create({"K": [b.create(make("StructElem"))]}), OpenAction=some,
     ))
-    return b.save({"Root": root, "Info": b.create(make("Info")), "ID": [encoded(s), b"x"]})
+    return b.save({"Root": root, "Info": b.create(make("Info")), "ID": [s, b"x"]})
 
 
 def full_files(spark, d) -> Making:

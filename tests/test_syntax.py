@@ -145,3 +145,10 @@ def test_writing_takes_a_call_a_value_at_most():
     assert serialize({"A": {}, "B": None, "C": 0, "D": [], "E": b"", "F": False}) == b"<</C 0 /D [] /E () /F false>>"
     assert [serialize(v) for v in (b"a(b", b"a\\", b"a)\x7f", b"\n", b"\x7f", b"a\n")] == [b"(a\\(b)", b"(a\\\\)", b"(a\\)\x7f)", b"<0a>", b"(\x7f)", b"<610a>"]
     assert calls(lambda: serialize(value)) < 250
+
+
+def test_making_a_file_takes_no_call_a_key():
+    from folioforge.plans.views import full_file
+
+    assert max(calls(lambda k=k: full_file(k, "five")) for k in range(1, 13)) < 1150
+    assert File.open(full_file(5, "grün")).trailer["ID"] == [b"\xfe\xff" + "grün".encode("utf-16-be"), b"x"]
