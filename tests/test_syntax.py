@@ -152,3 +152,26 @@ def test_making_a_file_takes_no_call_a_key():
 
     assert max(calls(lambda k=k: full_file(k, "five")) for k in range(1, 13)) < 1150
     assert File.open(full_file(5, "grün")).trailer["ID"] == [b"\xfe\xff" + "grün".encode("utf-16-be"), b"x"]
+
+
+def test_index_rows_are_read_by_column():
+    from folioforge.sources.files import Options
+    from folioforge.sources.syntax import Stream
+
+    b, made = Builder(), []
+    refs = [b.create(i) for i in range(500)]
+    f = File.open(b.save({"Root": refs[0]}))
+    stream = f.get(501)
+    sys.setprofile(lambda frame, event, arg: event == "c_call" and arg.__name__ == "from_bytes" and made.append(1))
+    try:
+        f.packed_section(stream)
+    finally:
+        sys.setprofile(None)
+    assert len(made) == 501  # only the places are wider than a byte
+    cut = Stream({"W": [1, 1, 0], "Size": 3}, b"\x01\x07\x00\x02\x01")
+    assert [(i, e.kind, e.pos, e.gen) for i, e in f.packed_section(cut)] == [(0, "Raw", 7, 0), (1, "Free", 2, 0)]
+    f.options = Options(tolerant=False)
+    with pytest.raises(SyntaxIssue, match="EOF"):
+        f.packed_section(cut)
+    with pytest.raises(SyntaxIssue, match="XRefStreamType"):
+        f.packed_section(Stream({"W": [1, 1, 0], "Size": 3}, b"\x01\x07\x03\x02\x01"))
