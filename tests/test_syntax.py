@@ -175,3 +175,22 @@ def test_index_rows_are_read_by_column():
         f.packed_section(cut)
     with pytest.raises(SyntaxIssue, match="XRefStreamType"):
         f.packed_section(Stream({"W": [1, 1, 0], "Size": 3}, b"\x01\x07\x03\x02\x01"))
+
+
+def test_plain_pairs_and_items_take_one_step(monkeypatch):
+    from folioforge.sources import syntax
+
+    long, steps, following = b"k" * 64, [], syntax.Lexer.next
+    tricky = {
+        b"[5-6]": [Real(5)], b"[5 6.5]": [5, Real(6.5)], b"[5 6 R 7]": [Ref(5, 6), 7], b"[5 6%c\nR]": [Ref(5, 6)], b"[5%c\n6 R]": [Ref(5, 6)], b"[1 2 3 R]": [1, Ref(2, 3)], b"[/" + long + b"5 6]": [long.decode() + "5", 6],
+        b"<</" + long + b"5 6/B 1>>": {long.decode() + "5": 6, "B": 1}, b"<</A 5%c\n0 R>>": {"A": Ref(5)}, b"<</A/B#41/C(a\\n)/D(e)>>": {"A": "BA", "C": b"a\n", "D": b"e"}, b"<</A 1/A 2>>": {"A": 2},
+    }
+    for typed, value in tricky.items():
+        assert Parser(typed).value() == value
+    assert Parser(b"<</A(ab)/B[(cd) 1]>>", decrypt=lambda s: s[::-1]).value() == {"A": b"ba", "B": [b"dc", 1]}
+    for typed in (b"[1234567890123 5]", b"<</A 2147483648/B 1>>"):
+        with pytest.raises(SyntaxIssue, match="32-bit"):
+            Parser(typed).value()
+    monkeypatch.setattr(syntax.Lexer, "next", lambda self, issue="": steps.append(1) or following(self, issue))
+    want = {f"K{i}": (i, Name("N"), b"text", Ref(i), [i, i, Ref(i, 1), b"x"])[i % 5] for i in range(100)}
+    assert Parser(serialize(want)).value() == want and len(steps) < 100
