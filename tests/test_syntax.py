@@ -194,3 +194,15 @@ def test_plain_pairs_and_items_take_one_step(monkeypatch):
     monkeypatch.setattr(syntax.Lexer, "next", lambda self, issue="": steps.append(1) or following(self, issue))
     want = {f"K{i}": (i, Name("N"), b"text", Ref(i), [i, i, Ref(i, 1), b"x"])[i % 5] for i in range(100)}
     assert Parser(serialize(want)).value() == want and len(steps) < 100
+
+
+def test_object_heads_take_one_step(monkeypatch):
+    from folioforge.sources import syntax
+
+    steps, following = [], syntax.Lexer.next
+    monkeypatch.setattr(syntax.Lexer, "next", lambda self, issue="": steps.append(1) or following(self, issue))
+    assert Parser(b" 7 0 obj\n<</A 1>>\nendobj\n").indirect() == (Ref(7), {"A": 1}) and len(steps) == 2
+    assert Parser(b"7 %c\n0 obj[5]%c\nendobj").indirect(False) == (Ref(7), [5]) and Parser(b"7 0 obj<<>>endobjx").indirect() == (Ref(7), {})
+    for typed in (b"7 0 objx 5 endobj", b"7 0 obj 5 endobjx", b"7 x obj 5 endobj"):
+        with pytest.raises(SyntaxIssue):
+            Parser(typed).indirect(False)
