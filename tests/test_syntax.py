@@ -206,3 +206,24 @@ def test_object_heads_take_one_step(monkeypatch):
     for typed in (b"7 0 objx 5 endobj", b"7 0 obj 5 endobjx", b"7 x obj 5 endobj"):
         with pytest.raises(SyntaxIssue):
             Parser(typed).indirect(False)
+
+
+def steps_of(record, k):
+    """Python calls that make a file, open it and read the records."""
+    from folioforge.operators import views
+    from folioforge.plans.views import full_file
+
+    def run():
+        f = File.open(full_file(k, "five"))
+        for _, _, d, _ in views.found(f, record):
+            try:
+                views.row_of(f, record, d, views.fields(record))
+            except SyntaxIssue:
+                pass
+
+    return calls(run)
+
+
+def test_actions_are_read_in_few_steps():
+    assert serialize([0, -5, 2**31, True]) == b"[0 -5 2147483648 true]"
+    assert max(steps_of("Action", k) for k in range(1, 13)) < 1450
