@@ -227,3 +227,7 @@ def steps_of(record, k):
 def test_actions_are_read_in_few_steps():
     assert serialize([0, -5, 2**31, True]) == b"[0 -5 2147483648 true]"
     assert max(steps_of("Action", k) for k in range(1, 13)) < 1450
+
+
+def test_viewer_preferences_are_read_in_few_steps():
+    assert max(steps_of("ViewerPreferences", k) for k in range(1, 13)) < 1300
